@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: at the longest texts seen, a batch stays within tens of MB.
+#: Rows and bytes of one Arrow batch at most, so that long texts and whole files don't pile up in a worker.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts, unless the session already keeps them smaller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
@@ -27,8 +27,3 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A record batch of columns in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-
-def cast_all(table: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The batch itself, typed as ``schema``."""
-    yield pa.RecordBatch.from_arrays([table.column(i).cast(f.type) for i, f in enumerate(schema)], schema=schema)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from phyllo.llm import bpe, simhash
+from phyllo.llm import bpe, mixing, simhash, warc
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_pareto_mixing": mixing.op8_pareto_mixing,
+    "op9_warc_salvage": warc.op9_warc_salvage,
+}
+ORACLE_SQL = {
+    "op8_pareto_mixing": mixing.OP8_SQL,
+    "op9_warc_salvage": warc.OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
