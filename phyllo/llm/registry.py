@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from phyllo.llm import bpe, mixing, simhash, warc
+from phyllo.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_warc_salvage": warc.op9_warc_salvage,
 }
 ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_pareto_mixing": mixing.OP8_SQL,
     "op9_warc_salvage": warc.OP9_SQL,
 }
