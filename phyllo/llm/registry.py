@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phyllo.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc
+from phyllo.llm import bpe, line_dedup, mixing, quality, quality_rules, simhash, warc
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
