@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from phyllo.llm import bpe, line_dedup, mixing, quality, quality_rules, simhash, warc
+from phyllo.llm import bpe, imatch, line_dedup, mixing, pii, quality, quality_rules, simhash, token_tree, warc
 
 QUERIES = {
+    "op1_imatch_fingerprints": imatch.op1_imatch_fingerprints,
+    "op2_edit_token_counts": token_tree.op2_edit_token_counts,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -12,6 +14,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_warc_salvage": warc.op9_warc_salvage,
+    "op10_feistel_pii": pii.op10_feistel_pii,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
