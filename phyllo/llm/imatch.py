@@ -37,7 +37,7 @@ LOW, HIGH = 0.0005, 0.1
 MOST_TERMS = 1 << 21
 #: Documents with fewer terms in the lexicon are fingerprinted by all their terms.
 LEAST_TERMS = 8
-RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
+RATES = (1 / 32, 1 / 64, 1 / 128, 1 / 512)
 SUBSETS_PER_RATE = 16
 SUBSETS = SUBSETS_PER_RATE * len(RATES)
 SEED = 42
