@@ -205,8 +205,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """``docs`` without its text, plus ``n_tokens`` and digests of the ids and of the bytes decoded from them; ``ids`` (little-endian binary) on demand.
 
     A null or empty text has no tokens. Each row stands by itself, so nulls in
-    other columns, repeated rows and further columns pass through as they are.
+    other columns, repeated rows and further columns pass through as they are;
+    columns that are already called like an added one are replaced.
     """
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     path = path or public_tokenizers.path(RANKS)
     kept = [c for c in docs.columns if c != text]
     added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] + [("ids", "binary", pa.binary())] * with_ids

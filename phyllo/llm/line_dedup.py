@@ -59,16 +59,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     follows the text. A null text stays null and has no lines; a text all of whose
     lines go becomes empty. A null source is a site of its own. Rows that share an
     id and a text are treated alike; of rows with null ids only, all keep the line.
+    Columns that are already called ``n_lines`` or ``n_removed`` are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed")
     lines = cut(_lines_of(docs), "line-hashes")
     cuts = lines.select("doc_id", "text_key", F.explode("hashes").alias("hash")).join(boilerplate(lines), "hash")
     own = F.col("doc_id").eqNullSafe(F.col("keeper"))
-    cuts = cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~own, F.col("hash"))).alias("_drop"), F.collect_set(F.when(own, F.col("hash"))).alias("_first"))
+    cuts = cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~own, F.col("hash"))).alias("_phyllo_drop"), F.collect_set(F.when(own, F.col("hash"))).alias("_phyllo_first"))
     cuts = cut(cuts, "line-cuts")
     kept = list(docs.columns)
-    rows = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).alias("d")
-    rows = rows.join(cuts.alias("c"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.col("d._key") == F.col("c.text_key")), "left")
-    rows = rows.select(*[F.col(f"d.`{c}`") for c in kept], "c._drop", "c._first")
+    rows = docs.withColumn("_phyllo_key", F.md5(F.coalesce("text", F.lit("")))).alias("d")
+    rows = rows.join(cuts.alias("c"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.col("d._phyllo_key") == F.col("c.text_key")), "left")
+    rows = rows.select(*[F.col(f"d.`{c}`") for c in kept], "c._phyllo_drop", "c._phyllo_first")
     at = {c: i for i, c in enumerate(kept)}
 
     def run(batches):

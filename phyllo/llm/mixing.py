@@ -83,11 +83,12 @@ class Mix:
     plan: DataFrame
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``."""
+        """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``; columns already called so are replaced."""
+        docs = docs.drop("size", "source_size", "target", "copies")
         kept = [F.col(f"d.`{c}`") for c in docs.columns]
-        sized = docs.withColumn("_size", n_words("text"))
+        sized = docs.withColumn("_phyllo_size", n_words("text"))
         joined = sized.alias("d").join(self.plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        size, key = F.col("d._size"), _key(F.col("d.doc_id"))
+        size, key = F.col("d._phyllo_size"), _key(F.col("d.doc_id"))
         rank = _rank(size, F.col("d.doc_id"), F.col("p.per_word"))
         within = (rank < F.col("p.last_rank")) | ((rank == F.col("p.last_rank")) & (key <= F.col("p.last_key")))
         extra = (size > 0) & ((_cell(rank) < F.col("p.last_cell")) | ((_cell(rank) == F.col("p.last_cell")) & within))
@@ -144,8 +145,11 @@ def plan_mix(docs: DataFrame) -> Mix:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each as many times as the mix has it, with the columns of ``docs``."""
-    taken = plan_mix(docs).apply(docs).where(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_phyllo_{i}" for i in range(len(docs.columns))]  # no column is lost to a name that the plan adds
+    carried = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_phyllo_row"))
+    taken = plan_mix(docs).apply(carried).where(F.col("copies") > 0)
+    taken = taken.withColumn("_phyllo_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[F.col(f"_phyllo_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def op8_pareto_mixing(spark, sf_dir: str) -> DataFrame:

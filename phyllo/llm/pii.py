@@ -200,8 +200,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     A null text stays null with counts of 0. Rows stand by themselves, so equal
     values get equal pseudonyms in any row, partition or run with the same key.
-    ``n_chars``, where there is one, follows the text.
+    ``n_chars``, where there is one, follows the text. Columns that are already
+    called like an added one are replaced.
     """
+    docs = docs.drop("n_pii", *(f"n_{k}" for k in KINDS))
     kept = list(docs.columns)
     at = kept.index("text")
     added = ["n_pii", *(f"n_{k}" for k in KINDS)]

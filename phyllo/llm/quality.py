@@ -238,8 +238,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Only the text enters a score; a null or empty text is scored as the zero
     vector. Every row of ``docs`` stays, with its own columns; an empty table
-    gives no rows, and without labels all rows score alike.
+    gives no rows, and without labels all rows score alike. Columns that are
+    already called ``score`` or ``predicted`` are replaced.
     """
+    docs = docs.drop("score", "predicted")
     vectors, net = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
     kept = docs.columns
