@@ -37,7 +37,7 @@ NUMBERS = re.compile(
       (?P<iso>\d{4}-\d{2}-\d{2})(?![\w-])
     | (?P<day>\d{1,2}(?P<sep>[/.-])\d{1,2}(?P=sep)\d{4})(?![\w])
     | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
-    | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w])
+    | (?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w])
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)
     | (?P<card>\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![\w])
     )""",
