@@ -27,7 +27,7 @@ from phyllo.llm.arrow import batch, map_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that a worker keeps encoded, and characters of text met before a block is encoded.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 BLOCK_CHARS = 4_000_000
 
 
