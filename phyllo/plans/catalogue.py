@@ -366,7 +366,7 @@ def _with_holes(spark, sf):
 
 
 # Three cameras looking down the z axis, turned about it by 0, 90 and 180 degrees.
-VIEW_SQL = f"""{EVENTS_SQL}, vw AS (SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, 0.0::DOUBLE, 1.0::DOUBLE), (3, -1.0::DOUBLE, 0.0::DOUBLE)) t(view_id, c, s)),
+VIEW_SQL = f"""{EVENTS_SQL}, vw AS (SELECT view_id, 1 - 2 * qz * qz AS c, 2 * qw * qz AS s FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, sqrt(0.5::DOUBLE), sqrt(0.5::DOUBLE)), (3, 0.0::DOUBLE, 1.0::DOUBLE)) t(view_id, qw, qz)),
 cm AS (SELECT uid, vid, view_id, c * (x - 250) - s * (y - 700) AS cx, s * (x - 250) + c * (y - 700) AS cy, z + 400 AS cz FROM ev, vw),
 px AS (SELECT uid, vid, view_id, CAST(trunc(100 * cx / cz + 64) AS BIGINT) AS u, CAST(trunc(100 * cy / cz + 48) AS BIGINT) AS v, cz AS depth FROM cm),
 ht AS (SELECT * FROM px WHERE u >= 0 AND v >= 0 AND u < 128 AND v < 96 AND depth > 1e-6),
