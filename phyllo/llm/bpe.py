@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from phyllo.llm.arrow import batch, map_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens that a worker keeps encoded, and characters of text met before a block is encoded.
-KEPT_PIECES = 400_000
+#: Pre-tokens that a worker keeps encoded, the bytes of ids up to which one is kept when they become too many, and characters of text met before a block is encoded.
+KEPT_PIECES = 500_000
+KEPT_BYTES = 8
 BLOCK_CHARS = 4_000_000
 
 
@@ -47,6 +48,7 @@ class MergeReplay:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.singles = self.single.tolist()
         self.made: dict[int, int] = {}
         of = np.full(65536, -1, np.int64)
         for token, rank in ranks.items():
@@ -55,19 +57,14 @@ class MergeReplay:
         self.first = of
 
     def pair(self, left: int, right: int) -> int:
-        """The token that a pair makes, or -1."""
-        key = left * self.size + right
-        found = self.made.get(key)
-        if found is None:
-            if len(self.made) > 500_000:
-                self.made.clear()
-            found = self.made[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        """The token that a pair makes, or -1; kept for the next time."""
+        if len(self.made) > 500_000:
+            self.made.clear()
+        found = self.made[left * self.size + right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return found
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit token ids of each non-empty word."""
-        if not words:
-            return []
+    def _start(self, words: list[bytes]) -> tuple:
+        """Per byte of all words: its token, what it makes with the next, its neighbours, its word; the inverted index; the words' ends."""
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         starts = np.concatenate([[0], ends[:-1]])
@@ -81,61 +78,93 @@ class MergeReplay:
         order = np.flatnonzero(makes >= 0)
         order = order[np.argsort(makes[order], kind="stable")]
         ranks, firsts = np.unique(makes[order], return_index=True)
-        index = {r: places.tolist() for r, places in zip(ranks.tolist(), np.split(order, firsts[1:]), strict=False)} if len(order) else {}
-        word_of = np.repeat(np.arange(len(words)), ends - starts).tolist()
-        token, alive = self.single[data].tolist(), [True] * n
-        makes, after, before = makes.tolist(), after.tolist(), before.tolist()
-        heap, pair = ranks.tolist(), self.pair
+        index = {r: places.tolist() for r, places in zip(ranks.tolist(), np.split(order, firsts[1:]), strict=True)} if len(order) else {}
+        word_of = np.repeat(np.arange(len(words)), ends - starts)
+        return self.single[data].tolist(), makes.tolist(), after.tolist(), before.tolist(), word_of.tolist(), index, ends
+
+    def _start_few(self, words: list[bytes]) -> tuple:
+        """The same for a few bytes, without arrays."""
+        token, makes, after, before, word_of, index, ends = [], [], [], [], [], {}, []
+        for w, word in enumerate(words):
+            start, last = len(token), len(token) + len(word) - 1
+            for at, byte in enumerate(word, start):
+                token.append(self.singles[byte])
+                new = self.ranks.get(word[at - start : at - start + 2], -1) if at < last else -1
+                makes.append(new)
+                if new >= 0:
+                    index.setdefault(new, []).append(at)
+                after.append(at + 1 if at < last else -1)
+                before.append(at - 1 if at > start else -1)
+                word_of.append(w)
+            ends.append(last + 1)
+        return token, makes, after, before, word_of, index, np.array(ends)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit token ids of each non-empty word."""
+        if not words:
+            return []
+        token, makes, after, before, word_of, index, ends = self._start(words) if sum(map(len, words)) > 200 else self._start_few(words)
+        heap, made, size = list(index), self.made, self.size
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
-            places.sort()  # within a word, the leftmost of equal pairs merges first
+            if len(places) > 1:
+                places.sort()  # within a word, the leftmost of equal pairs merges first
             held: set[int] = set()
             left_over = []
             for at in places:
-                if makes[at] != rank or not alive[at]:
+                if makes[at] != rank:
                     continue
                 if held and word_of[at] in held:
                     left_over.append(at)
                     continue
                 gone = after[at]
-                alive[gone] = False
-                makes[gone] = -1
+                makes[gone] = token[gone] = -1
                 token[at] = rank
                 behind = after[at] = after[gone]
-                lower = False
+                ahead = before[at]
                 if behind >= 0:
                     before[behind] = at
-                    new = makes[at] = pair(rank, token[behind])
+                    right = token[behind]
+                    new = made.get(rank * size + right)
+                    if new is None:
+                        new = self.pair(rank, right)
+                    makes[at] = new
                     if new >= 0:
-                        lower = new < rank
-                        if new in index:
-                            index[new].append(at)
-                        else:
+                        there = index.get(new)
+                        if there is None:
                             index[new] = [at]
                             heapq.heappush(heap, new)
+                        else:
+                            there.append(at)
+                        if new < rank:  # this word has an earlier merge to make before it goes on
+                            held.add(word_of[at])
                 else:
                     makes[at] = -1
-                ahead = before[at]
                 if ahead >= 0:
-                    new = makes[ahead] = pair(token[ahead], rank)
+                    left = token[ahead]
+                    new = made.get(left * size + rank)
+                    if new is None:
+                        new = self.pair(left, rank)
+                    makes[ahead] = new
                     if new >= 0:
-                        lower = lower or new < rank
-                        if new in index:
-                            index[new].append(ahead)
-                        else:
+                        there = index.get(new)
+                        if there is None:
                             index[new] = [ahead]
                             heapq.heappush(heap, new)
-                if lower:  # this word has an earlier merge to make before it goes on
-                    held.add(word_of[at])
+                        else:
+                            there.append(ahead)
+                        if new < rank:
+                            held.add(word_of[at])
             if left_over:
                 index.setdefault(rank, []).extend(left_over)
                 heapq.heappush(heap, rank)
-        whole = np.flatnonzero(np.array(alive))
-        ids = np.array(token, "<u4")[whole].tobytes()
+        final = np.array(token, np.int64)
+        whole = np.flatnonzero(final >= 0)
+        ids = final[whole].astype("<u4").tobytes()
         edges = [0, *(4 * np.searchsorted(whole, ends)).tolist()]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -154,8 +183,10 @@ class Encoder:
         """Encode the pieces that are not held."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > KEPT_PIECES:
-            self.known.clear()
-            new = list(pieces)
+            self.known = {p: v for p, v in self.known.items() if len(v) <= KEPT_BYTES}  # the short ones are met most
+            if 2 * len(self.known) > KEPT_PIECES:
+                self.known = {}
+            new = [p for p in pieces if p not in self.known]
         coded = [p.encode() for p in new]
         whole = [self.replay.ranks.get(c) for c in coded]
         spelled = iter(self.replay.encode([c for c, w in zip(coded, whole, strict=True) if w is None]))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,20 +35,39 @@ CONTEXT = 2
 class TokenTree:
     """A text with its token count, kept under edits."""
 
-    def __init__(self, text: str, coder: Encoder):
+    def __init__(self, text: str, coder: Encoder, pieces: list[str] | None = None):
+        """``pieces``: the text's pre-tokens, if ``coder`` has split it and learnt them already."""
         self.text, self.coder, self.recounted = text, coder, 0
-        pieces = coder.split(text)
-        self._build(list(zip(map(len, pieces), coder.counts(pieces), strict=True)))
-
-    def _build(self, pieces: list[tuple[int, int]]) -> None:
-        """Leaves of the (characters, tokens) of all pre-tokens, and the sums above them."""
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(c for c, _ in leaf), sum(t for _, t in leaf)
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+        if pieces is None:
+            pieces = coder.split(text)
+            coder.learn(set(pieces))
+        n = len(pieces)
+        tokens = np.fromiter(map(len, map(coder.known.__getitem__, pieces)), np.int64, n) >> 2
+        self._build(np.fromiter(map(len, pieces), np.int64, n), tokens)
+
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """Leaves over the characters and tokens of all pre-tokens, and the sums above them. A leaf is spelled out when it is first touched."""
+        starts = np.arange(0, max(len(chars), 1), LEAF)
+        self.leaves: list[list[tuple[int, int]] | None] = [None] * len(starts)
+        self.flat = (chars, tokens)
+        self.size = 1 << (len(starts) - 1).bit_length()
+        self.chars, self.tokens = (self._sums(np.add.reduceat(a, starts) if len(a) else np.zeros(1, np.int64)) for a in self.flat)
+
+    def _sums(self, leaves: np.ndarray) -> list[int]:
+        level = self.size
+        tree = np.zeros(2 * level, np.int64)
+        tree[level : level + len(leaves)] = leaves
+        while level > 1:
+            level //= 2
+            tree[level : 2 * level] = tree[2 * level : 4 * level : 2] + tree[2 * level + 1 : 4 * level : 2]
+        return tree.tolist()
+
+    def _leaf(self, at: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of the pre-tokens of a leaf."""
+        if self.leaves[at] is None:
+            chars, tokens = (a[at * LEAF : (at + 1) * LEAF].tolist() for a in self.flat)
+            self.leaves[at] = list(zip(chars, tokens, strict=True))
+        return self.leaves[at]
 
     @property
     def count(self) -> int:
@@ -84,7 +104,7 @@ class TokenTree:
             first -= 1
             place -= self.chars[self.size + first]
         kept = []
-        for chars, tokens in self.leaves[first]:
+        for chars, tokens in self._leaf(first):
             if place + chars > start - CONTEXT:
                 break
             kept.append((chars, tokens))
@@ -96,8 +116,8 @@ class TokenTree:
         now = place
         while True:
             while now - shift > old or old < end:
-                if at < len(self.leaves[leaf]):
-                    old += self.leaves[leaf][at][0]
+                if at < len(self._leaf(leaf)):
+                    old += self._leaf(leaf)[at][0]
                     at += 1
                 elif leaf + 1 < len(self.leaves):
                     leaf, at = leaf + 1, 0
@@ -107,13 +127,13 @@ class TokenTree:
                 break
             match = next(matches, None)
             if match is None:
-                leaf, at = len(self.leaves) - 1, len(self.leaves[-1])
+                leaf, at = len(self.leaves) - 1, len(self._leaf(len(self.leaves) - 1))
                 break
             found.append(match[0])
             now = match.end()
         self.recounted += len(found)
         fresh = list(zip(map(len, found), self.coder.counts(found), strict=True))
-        rest = self.leaves[leaf][at:]
+        rest = self._leaf(leaf)[at:]
         if leaf == first:
             self._set_leaf(first, kept + fresh + rest)
         else:
@@ -122,7 +142,8 @@ class TokenTree:
                 self._set_leaf(i, [])
             self._set_leaf(leaf, rest)
         if len(self.leaves[first]) >= 4 * LEAF:
-            self._build([p for one in self.leaves for p in one])
+            whole = np.array([p for i in range(len(self.leaves)) for p in self._leaf(i)], np.int64).reshape(-1, 2)
+            self._build(whole[:, 0], whole[:, 1])
         return self.count
 
 
@@ -145,9 +166,10 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = publi
             out = []
             texts = [t or "" for t in b.column(1).to_pylist()]
             for at in range(0, len(texts), 200):
-                coder.learn(set().union(*map(coder.split, texts[at : at + 200])))
-                for i in range(at, min(at + 200, len(texts))):
-                    tree = TokenTree(texts[i], coder)
+                split = [coder.split(t) for t in texts[at : at + 200]]
+                coder.learn(set().union(*split))
+                trees = [TokenTree(t, coder, s) for t, s in zip(texts[at : at + 200], split, strict=True)]
+                for i, tree in enumerate(trees, at):
                     whole, edits = tree.count, b.column(2)[i].as_py() or []
                     for e in edits:
                         tree.edit(e["at"] or 0, e["until"] or 0, e["new"] or "")
