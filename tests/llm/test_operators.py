@@ -321,7 +321,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
             lines.append(line)
         cleaned[i] = "\n".join(lines)
     words = {i: simhash.fingerprint(t.encode(), 5) for i, t in cleaned.items()}
-    home = _components(set(words.values()), 4)
+    home = _components(set(words.values()), 6)
     first = {}
     for i in sorted(words):
         first.setdefault(home[words[i]], i)
