@@ -49,9 +49,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Cuts the lineage in a way that survives the loss of executors, computes a
     frame that several later stages read only once, and gives the optimizer the
     true size of the table, so that broadcast choices are checked against it.
+    Zstandard keeps the files small, and its buffers are not the kind that many
+    small tasks pile up outside of the heap.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
