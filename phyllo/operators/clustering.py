@@ -28,9 +28,9 @@ def _components_in_groups(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return found.select("node.*", F.col("component.vid").alias("component"))
 
 
-def mean_knn_distance(df: DataFrame, k: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
-    """``(*keys, vid, score)``: mean distance to the k nearest others."""
-    pairs = knn_join(df, df, k, keys, coords, vid, drop_self=True)
+def mean_knn_distance(df: DataFrame, k: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", sample: DataFrame | None = None) -> DataFrame:
+    """``(*keys, vid, score)``: mean distance to the k nearest others, of all rows or of a sample's."""
+    pairs = knn_join(df if sample is None else sample, df, k, keys, coords, vid, drop_self=True)
     return pairs.groupBy(*keys, F.col("src").alias(vid)).agg(F.avg("d").alias("score"))
 
 

@@ -15,9 +15,9 @@ from phyllo.operators.spatial import COORDS, knn_join
 from phyllo.session import cut
 
 
-def outlier_ratio(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
-    """``(*keys, outlier_ratio)``: share of rows whose mean neighbour distance exceeds median + 3 MAD; 0 for at most k rows or no deviation."""
-    scores = cut(mean_knn_distance(df, k, keys, coords, vid), "outliers")
+def outlier_ratio(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", sample: DataFrame | None = None) -> DataFrame:
+    """``(*keys, outlier_ratio)``: share of rows (of a sample's rows, against all) whose mean neighbour distance exceeds median + 3 MAD; 0 for at most k rows or no deviation."""
+    scores = cut(mean_knn_distance(df, k, keys, coords, vid, sample), "outliers")
     stats = mad_stats(scores, "score", keys)
     flagged = scores.alias("s").join(stats.alias("t"), _same("s", "t", keys))
     over = F.avg(F.when((F.col("t.mad") > 0) & (F.col("s.score") > F.col("t.median") + 3 * F.col("t.mad")), 1.0).otherwise(0.0))

@@ -523,3 +523,164 @@ def selected_ratio(spark, sf):
 @query(f"WITH {EVENTS_SQL}, b AS (SELECT uid, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 + 1e-10 AS h FROM ev GROUP BY uid) SELECT ev.uid, vid, round((x - cx) / h, 6) AS x_n, round((y - cy) / h, 6) AS y_n, round((z - cz) / h, 6) AS z_n FROM ev JOIN b USING (uid)")
 def bbox_normalise(spark, sf):
     return rounded(scalars.normalise_bbox(events(spark, sf)).select("uid", "vid", "x_n", "y_n", "z_n"))
+
+
+@query(f"WITH {EVENTS_SQL}, f AS (SELECT round_even(x / 5.0::DOUBLE, 0)::BIGINT AS a, round_even(y / 60.0::DOUBLE, 0)::BIGINT AS b, vid FROM ev), g AS (SELECT a, b, count(*) AS n FROM f GROUP BY a, b), p AS (SELECT a, b, count(*) AS m FROM f WHERE vid % 7 = 0 GROUP BY a, b), h AS (SELECT n, m FROM g FULL JOIN p USING (a, b)) SELECT CAST(sum(n) AS BIGINT) AS full_, CAST(sum(m) AS BIGINT) AS part, count(*) FILTER (WHERE n IS NOT NULL AND m IS NOT NULL) AS matched, CAST(coalesce(sum(m) FILTER (WHERE n IS NULL), 0) AS BIGINT) AS unmatched, CAST(sum(n - 1) AS BIGINT) AS duplicate_full_keys, CAST(sum(m - 1) FILTER (WHERE n IS NOT NULL) AS BIGINT) AS duplicate_part_hits FROM h")
+def quantized_counts(spark, sf):
+    e = events(spark, sf).select(F.lit("e").alias("uid"), "vid", (F.col("x") / 5).alias("x"), (F.col("y") / 60).alias("y"))
+    _, counts = spatial.quantised_match(e, e.where("vid % 7 = 0"), 1.0, coords=("x", "y"))
+    return counts.drop("uid").withColumnRenamed("full", "full_")
+
+
+@query(f"WITH {EVENTS_SQL}, r AS (SELECT uid, vid, z AS depth, sqrt((x - 100) * (x - 100) + (y - 700) * (y - 700)) AS off FROM ev WHERE z > 0) SELECT uid, vid, round(depth, 6) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY off >= 20, depth, vid) AS k FROM r WHERE off < 60) WHERE k = 1")
+def ray_pick(spark, sf):
+    return rounded(spatial.pick_on_ray(events(spark, sf), (100.0, 700.0, 0.0), (0.0, 0.0, 1.0), 20.0, 60.0))
+
+
+@query(f"WITH {EMB_SQL}, c AS (SELECT uid, label, vid % 6 AS part, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM em GROUP BY ALL), p AS (SELECT s.uid, s.label, s.part, d.part AS near_part, sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y) + (s.z - d.z) * (s.z - d.z)) AS dd FROM c s JOIN c d ON s.uid = d.uid AND s.label = d.label WHERE s.part >= 4 AND d.part < 4) SELECT uid, label, part, near_part FROM (SELECT *, row_number() OVER (PARTITION BY uid, label, part ORDER BY dd, near_part) AS k FROM p) WHERE k = 1")
+def nearest_centroid(spark, sf):
+    c = vectors(spark, sf).groupBy("uid", "label", (F.col("vid") % 6).alias("part")).agg(*[F.avg(n).alias(n) for n in "xyz"])
+    return spatial.nearest_centroid(c.where("part >= 4"), c.where("part < 4"), "label")
+
+
+@query(f"WITH {EMB_SQL} SELECT a.uid, a.vid AS src, b.vid AS dst FROM em a JOIN em b ON a.uid = b.uid AND a.vid < b.vid WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.04")
+def close_centroids(spark, sf):
+    return spatial.close_pairs(vectors(spark, sf), 0.04, ("uid",)).select("uid", "src", "dst")
+
+
+@query("WITH l AS (SELECT l_suppkey AS uid, l_orderkey * 10 + l_linenumber AS vid, CASE WHEN l_partkey % 40 < 30 THEN -1 ELSE l_partkey % 9 END AS label FROM lineitem), c AS (SELECT uid, label, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY uid) AS al FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, label) AS k FROM s WHERE label <> -1) SELECT l.uid, l.vid, l.label FROM l JOIN r ON r.uid = l.uid AND r.label = l.label WHERE k = 1 OR (k <= 5 AND n >= 0.01 * al)")
+def largest_clusters(spark, sf):
+    l_ = read_table(spark, sf, "lineitem")
+    rows = l_.select(F.col("l_suppkey").alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("vid"), F.when(F.col("l_partkey") % 40 < 30, -1).otherwise(F.col("l_partkey") % 9).alias("label"))
+    return aggregates.largest_clusters(rows)
+
+
+@query("WITH m AS (SELECT l_orderkey % 50 AS view_id, l_suppkey % 4 AS box_id, l_partkey % 3 AS mask_id, count(*) AS n_pixels, count(*) FILTER (WHERE l_quantity > 44) AS n_green, sum(l_linenumber) AS score FROM lineitem GROUP BY ALL), s AS (SELECT *, n_green::DOUBLE / n_pixels AS sh FROM m), t AS (SELECT *, row_number() OVER (PARTITION BY view_id, box_id ORDER BY sh DESC, mask_id) AS g, row_number() OVER (PARTITION BY view_id, box_id ORDER BY score DESC, mask_id) AS k FROM s) SELECT view_id, box_id, CASE WHEN max(sh) > 0.1 THEN max(mask_id) FILTER (WHERE g = 1) ELSE max(mask_id) FILTER (WHERE k = 1) END AS mask_id FROM t GROUP BY view_id, box_id")
+def choose_masks(spark, sf):
+    cells = read_table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("view_id"), (F.col("l_suppkey") % 4).alias("box_id"), (F.col("l_partkey") % 3).alias("mask_id"))
+    return refine.choose_masks(cells.agg(F.count(F.lit(1)).alias("n_pixels"), F.count_if(F.col("l_quantity") > 44).alias("n_green"), F.sum("l_linenumber").alias("score")))
+
+
+SUPER_SQL = """st AS (SELECT l_suppkey AS sp, avg(l_discount * 4) AS confidence FROM lineitem GROUP BY l_suppkey), c AS (SELECT l_suppkey AS sp, l_linenumber AS view_id, l_partkey % 3 + 1 AS label, count(*) AS n FROM lineitem WHERE l_linenumber > 3 + l_suppkey % 4 GROUP BY ALL),
+vw AS (SELECT sp, view_id, label FROM (SELECT *, row_number() OVER (PARTITION BY sp, view_id ORDER BY n DESC, label) AS r FROM c) WHERE r = 1)"""
+
+
+@query(f"WITH {SUPER_SQL}, ag AS (SELECT p.sp AS a, q.sp AS b, avg(CASE WHEN p.label = q.label THEN 1.0::DOUBLE ELSE 0 END) AS ag FROM vw p JOIN vw q ON p.view_id = q.view_id AND p.sp < q.sp GROUP BY ALL) SELECT x.sp AS a, y.sp AS b, round(CASE WHEN ag >= 0.65 THEN 0.02 * (1 - ag) WHEN ag IS NOT NULL THEN 50 WHEN x.confidence < 0.25 OR y.confidence < 0.25 THEN 2 ELSE 0.25 END, 6) AS distance FROM st x JOIN st y ON x.sp < y.sp LEFT JOIN ag ON ag.a = x.sp AND ag.b = y.sp")
+def superpoint_distances(spark, sf):
+    rows = read_table(spark, sf, "lineitem")
+    stats = rows.groupBy(F.col("l_suppkey").alias("sp")).agg(F.avg(F.col("l_discount") * 4).alias("confidence"))
+    votes = rows.where(F.col("l_linenumber") > 3 + F.col("l_suppkey") % 4).select(F.col("l_suppkey").alias("sp"), F.col("l_linenumber").alias("view_id"), (F.col("l_partkey") % 3 + 1).alias("label"))
+    return rounded(features.superpoint_distances(stats, features.superpoint_views(votes)))
+
+
+@query(f"WITH {VIEW_SQL}, c AS (SELECT uid, vid, CAST(round_even(avg((u * 3 + v) % 256), 0) AS INTEGER) AS red FROM ht GROUP BY ALL) SELECT ev.uid, ev.vid, coalesce(c.red, 180) AS red FROM ev LEFT JOIN c ON c.uid = ev.uid AND c.vid = ev.vid")
+def colourise(spark, sf):
+    hits = cut(_hits(spark, sf), "hits")
+    shade = (F.col("u") * 3 + F.col("v")) % 256
+    pixels = hits.select("view_id", "v", "u", shade.alias("red"), shade.alias("green"), shade.alias("blue")).distinct()
+    return views.colourise(events(spark, sf), hits, pixels).select("uid", "vid", F.col("red").cast("int").alias("red"))
+
+
+@query(f"WITH {VIEW_SQL}, o AS (SELECT * FROM (VALUES (0, -1), (-1, 0), (0, 0), (1, 0), (0, 1)) t(dx, dy)), d AS (SELECT view_id, u + dx AS u, v + dy AS v, depth FROM ht, o WHERE u + dx >= 0 AND v + dy >= 0 AND u + dx < 128 AND v + dy < 96) SELECT view_id, v, u, round(min(depth), 6) AS depth FROM d GROUP BY ALL")
+def splat_canvas(spark, sf):
+    hits = cut(_hits(spark, sf), "hits")
+    points = events(spark, sf).select("uid", "vid", *[F.lit(1).alias(c) for c in ("red", "green", "blue")])
+    frame = hits.select("view_id").distinct().withColumns({"width": F.lit(128), "height": F.lit(96)})
+    return rounded(views.render(points, hits, frame, 1)[0].select("view_id", "v", "u", "depth"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS image_id, l_partkey % 640 + l_discount AS x, (l_partkey * 7) % 480 + l_tax AS y FROM lineitem WHERE l_linenumber > 1), q AS (SELECT image_id, count(*) AS n, quantile_cont(x, 0.01) AS x0, quantile_cont(x, 0.99) AS x1, quantile_cont(y, 0.01) AS y0, quantile_cont(y, 0.99) AS y1 FROM p GROUP BY image_id),
+m AS (SELECT image_id, n, x0 - greatest(1.0, x1 - x0) * 0.1::DOUBLE AS a, x1 + greatest(1.0, x1 - x0) * 0.1::DOUBLE AS b, y0 - greatest(1.0, y1 - y0) * 0.1::DOUBLE AS c, y1 + greatest(1.0, y1 - y0) * 0.1::DOUBLE AS d FROM q)
+SELECT image_id, CAST(greatest(0, floor(a)) AS BIGINT) AS "left", CAST(greatest(0, floor(c)) AS BIGINT) AS top, CAST(least(640, ceil(b)) AS BIGINT) AS "right", CAST(least(480, ceil(d)) AS BIGINT) AS bottom, n AS valid_points FROM m""")
+def roi_crop(spark, sf):
+    spot = F.struct((F.col("l_partkey") % 640 + F.col("l_discount")).alias("x"), (F.col("l_partkey") * 7 % 480 + F.col("l_tax")).alias("y"), F.when(F.col("l_linenumber") > 1, F.col("l_partkey")).otherwise(-1).cast("long").alias("point3d_id"))
+    ims = read_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("image_id")).agg(F.collect_list(spot).alias("points2d"))
+    return views.roi_crop(ims.withColumns({"width": F.lit(640).cast("long"), "height": F.lit(480).cast("long")}))
+
+
+@query("WITH l AS (SELECT event_type AS uid, user_id AS vid, CAST(value AS DOUBLE) AS v FROM events), m AS (SELECT uid, max(v) AS mx FROM l GROUP BY uid) SELECT l.uid, vid, count(*) AS n, round(sum(CASE WHEN mx > 1.5 THEN v / 255.0::DOUBLE ELSE v END), 4) AS s FROM l JOIN m USING (uid) GROUP BY ALL")
+def rescale_colors(spark, sf):
+    e = read_table(spark, sf, "events").select(F.col("event_type").alias("uid"), F.col("user_id").alias("vid"), F.col("value").alias("red"))
+    return rounded(scalars.rescale_colors(e, names=("red", "red")).groupBy("uid", "vid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("red"), 4).alias("s")))
+
+
+@query("WITH r AS (SELECT o_orderkey AS k, o_custkey % 11 AS a, CASE WHEN o_orderstatus = 'F' THEN 'late' ELSE '' END AS e1, CASE WHEN o_custkey % 3 = 0 THEN 'x' END AS e2 FROM orders) SELECT k, concat_ws('; ', nullif(e1, ''), nullif(e2, '')) AS errors, CASE WHEN e1 <> '' OR coalesce(e2, '') <> '' THEN 'failed' WHEN a > 0 THEN 'ok' ELSE 'pending' END AS status FROM r")
+def run_status(spark, sf):
+    o = read_table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 11 > 0, 1).alias("a"), F.when(F.col("o_orderstatus") == "F", "late").otherwise("").alias("e1"), F.when(F.col("o_custkey") % 3 == 0, "x").alias("e2"))
+    return aggregates.run_status(rows, ["a"], ["e1", "e2"]).select("k", "errors", "status")
+
+
+@query("SELECT p_brand AS uid, round(avg(p_size), 6) AS mean_size, max(p_type) AS kind FROM part GROUP BY p_brand UNION ALL SELECT 'MEAN', round((SELECT avg(m) FROM (SELECT round(avg(p_size), 6) AS m FROM part GROUP BY p_brand)), 6), ''")
+def mean_row(spark, sf):
+    p = read_table(spark, sf, "part").groupBy(F.col("p_brand").alias("uid")).agg(F.round(F.avg("p_size"), 6).alias("mean_size"), F.max("p_type").alias("kind"))
+    out = aggregates.mean_row(p)
+    return rounded(out.select("uid", F.col("mean_size").cast("double").alias("mean_size"), "kind"))
+
+
+@query("WITH c AS (SELECT c_nationkey AS image_id, c_custkey % 50 AS value, count(*) AS n FROM customer GROUP BY ALL) SELECT image_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, value) AS r FROM c) WHERE r = 1")
+def dominant_ids(spark, sf):
+    c = read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("image_id"), (F.col("c_custkey") % 50).alias("value"))
+    return aggregates.dominant(c, "value", ("image_id",))
+
+
+@query()
+def split_components(spark, sf):
+    p = parts(spark, sf).withColumn("label", (F.col("vid") % 3 + 1).cast("int"))
+    return clustering.split_labels(p, 12.0, 10).select("vid", "label")
+
+
+@query()
+def refine_instances(spark, sf):
+    e = vectors(spark, sf).withColumn("label", F.col("label").cast("int"))
+    return refine.refine_instances(e, 8, 10, 0.9, 20, 1, 4).select("uid", "vid", "label")
+
+
+@query()
+def nms_masks(spark, sf):
+    cells = read_table(spark, sf, "lineitem").select(F.lit(1).alias("uid"), (F.col("l_orderkey") % 200).alias("vid"), (F.col("l_suppkey") % 12).alias("mask_id")).distinct()
+    scores = cells.groupBy("uid", "mask_id").agg(F.avg("vid").alias("score"))
+    return rounded(refine.nms_masks(cells, scores, 0.5))
+
+
+@query()
+def auto_k(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("feat"))
+    return features.auto_k(e, 2, 5)[2].select("vid", "cluster_id")
+
+
+@query()
+def farthest_points(spark, sf):
+    return features.farthest_points(vectors(spark, sf), 20)
+
+
+@query()
+def leaf_parameters(spark, sf):
+    p = parts(spark, sf).withColumn("instance_id", (F.col("vid") % 5 + 1).cast("int"))
+    return rounded(phenotype.leaf_parameters(p, 25.0).select("uid", "instance_id", "n_points", "cx", "cy", "cz", "length", "width", "area"))
+
+
+@query()
+def adaptive_thin(spark, sf):
+    return rounded(aggregates.adaptive_thin(parts(spark, sf), 100).select("vid", "opacity"))
+
+
+@query()
+def sampled_rows(spark, sf):
+    return aggregates.sample_rows(events(spark, sf).select("uid", "vid"), 100, 7)
+
+
+@query()
+def denoise_flow(spark, sf):
+    from phyllo.plans import pipelines
+
+    return pipelines.denoise_cloud(parts(spark, sf), 8).select("vid")
+
+
+@query()
+def evaluate_flow(spark, sf):
+    from phyllo.plans import pipelines
+
+    e = cut(vectors(spark, sf).withColumn("uid", F.col("uid").cast("string")), "emb")
+    pred = e.select("uid", "vid", (F.when(F.col("vid") % 5 < 4, F.col("label")).otherwise(F.col("vid") % 10) - 1).alias("label0"))
+    return pipelines.evaluate(e.withColumnRenamed("label", "gt"), e.select("uid", "vid", "x", "y", "z"), pred)

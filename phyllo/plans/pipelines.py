@@ -10,6 +10,12 @@ from phyllo.operators import aggregates, clustering, features, filters, metrics,
 from phyllo.session import cut
 
 
+def unmatched_clouds(gt: DataFrame, source: DataFrame, pred: DataFrame) -> DataFrame:
+    """``(uid, missing)`` of clouds with a ground truth that lack a source or a prediction."""
+    lacks = lambda df, name: gt.select("uid").distinct().join(df.select("uid").distinct(), "uid", "left_anti").select("uid", F.lit(name).alias("missing"))
+    return lacks(source, "source").unionByName(lacks(pred, "prediction"))
+
+
 def evaluate(gt: DataFrame, source: DataFrame, pred: DataFrame, max_distance: float = -1.0, iou_threshold: float = 0.1) -> DataFrame:
     """One metric row per cloud and a MEAN row.
 

@@ -73,6 +73,21 @@ def read_npz(spark: SparkSession, path: str, name: str, uid: str = "") -> DataFr
     return rows.select(F.lit(uid).alias("uid"), "vid", "value")
 
 
+def read_cloud_npz(spark: SparkSession, path: str, uid: str = "") -> DataFrame:
+    """``(uid, vid, x, y, z, red, green, blue[, feat])`` of an archive with ``coord`` and maybe ``color`` (white by default) and ``feat``.
+
+    Pickled dictionaries are not loaded; they are turned into archives offline.
+    """
+    with np.load(path, allow_pickle=False) as archive:
+        coord = archive["coord"].astype(np.float64)
+        color = archive["color"].astype(np.float64) if "color" in archive else np.ones((len(coord), 3))
+        columns = {"vid": np.arange(len(coord)), **{c: coord[:, i] for i, c in enumerate("xyz")}, **{c: color[:, i] for i, c in enumerate(("red", "green", "blue"))}}
+        table = pa.table(columns)
+        if "feat" in archive:
+            table = table.append_column("feat", pa.array(archive["feat"].astype(np.float32).tolist(), pa.list_(pa.float32())))
+    return spark.createDataFrame(table).select(F.lit(uid).alias("uid"), "*")
+
+
 def write_npy(df: DataFrame, path: str, value: str, vid: str = "vid", dtype: str = "int32") -> int:
     """One value for each vertex in vertex order; ids must be 0..n-1. Blocks come to the driver one at a time."""
     n = df.count()

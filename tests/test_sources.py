@@ -101,6 +101,9 @@ def test_arrays(spark, tmp_path):
     assert [tuple(r) for r in arrays.read_npy(spark, str(tmp_path / "l.npy"), "label", "u").sort("vid").collect()] == [("u", 0, 1), ("u", 1, 2), ("u", 2, 3)]
     assert arrays.read_npy(spark, str(tmp_path / "f.npy"), "feat").sort("vid").collect()[2]["feat"] == [4.0, 5.0]
     assert arrays.read_npz(spark, str(tmp_path / "m.npz"), "mask").where("value").count() == 1
+    np.savez(tmp_path / "c.npz", coord=np.eye(3), feat=np.eye(3))
+    whole = arrays.read_cloud_npz(spark, str(tmp_path / "c.npz"), "u").sort("vid").collect()
+    assert (whole[1]["y"], whole[1]["red"], whole[2]["feat"]) == (1.0, 1.0, [0.0, 0.0, 1.0])
     df = spark.createDataFrame([(1, 5), (0, 4)], "vid long, label int")
     assert arrays.write_npy(df, str(tmp_path / "o.npy"), "label") == 2 and np.load(tmp_path / "o.npy").tolist() == [4, 5]
     with pytest.raises(ValueError):
