@@ -145,6 +145,19 @@ def sample_rows(df: DataFrame, most: int, seed: int = 0, order: str = "vid", pre
     return df.join(chosen, order, "left_semi")
 
 
+def numbered(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """``df`` with each row's place from 0 in the order of a column without ties.
+
+    Rows are dealt by ranges of the column; the counts of the ranges, one row for
+    each, give the number that a range starts at.
+    """
+    dealt = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0)))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1 + F.col("_start")
+    return dealt.join(starts.select("_range", "_start"), "_range").withColumn(name, place.cast("long")).select(*df.columns, name)
+
+
 def best_k(scores: DataFrame, k: str = "k", score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """The k of the largest score; of equals the smallest."""
     return scores.groupBy(*keys).agg(F.max_by(k, F.struct(F.col(score), -F.col(k))).alias("best_k"), F.max(score).alias("best_score"))

@@ -208,6 +208,8 @@ def test_aggregates(spark):
     assert aggregates.bounding_box(df.limit(0), ()).first()["bbox_volume"] == 0
     picked = sorted(r["vid"] for r in aggregates.sample_rows(df, 10, 3).collect())
     assert picked == sorted(np.random.default_rng(3).choice(len(p), 10, replace=False).tolist())
+    shuffled = spark.range(1000).select((F.col("id") * 7919 % 1000 * 3).alias("k")).repartition(7)
+    assert all(r["position"] * 3 == r["k"] for r in aggregates.numbered(shuffled, "k").collect())
     rows = spark.createDataFrame([("a", 1.0, "x", None), ("b", 3.0, "2", 4.0)], "uid string, m double, t string, n double")
     assert [tuple(r) for r in aggregates.mean_row(rows).where("uid = 'MEAN'").collect()] == [("MEAN", "2.0", "", "")]
     labels = spark.createDataFrame([("a", i, v) for i, v in enumerate([0] * 200 + [1] * 50 + [2] + [-1] * 20)] + [("b", 0, -1)], "uid string, vid int, label int")
