@@ -70,45 +70,59 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 class BKTree:
-    """Distinct 64-bit words under Hamming distance; children keyed by their distance to the parent."""
+    """Distinct 64-bit words under Hamming distance, and their components over links of at most ``radius`` bits.
 
-    def __init__(self):
-        self.root: tuple[int, dict] | None = None
+    Children are keyed by their distance to the parent. A node also says whether
+    all words below it are of its own component: a search that has reached that
+    component already need not enter there, so a crowd of near copies costs each
+    of its words a short walk and not a visit to all others.
+    """
 
-    def add(self, word: int, radius: int) -> list[int]:
-        """The words already held within ``radius``; ``word`` is held from now on."""
-        node = (word, {})
+    def __init__(self, radius: int):
+        self.radius, self.root = radius, None
+        self.up: dict[int, int] = {}
+
+    def top(self, word: int) -> int:
+        """The smallest word of a component."""
+        up = self.up
+        while up[word] != word:
+            up[word] = word = up[up[word]]
+        return word
+
+    def add(self, word: int) -> None:
+        """Link ``word`` with the components that it comes near, and hold it."""
+        self.up[word] = word
+        node = [word, {}, True]
         if self.root is None:
             self.root = node
-            return []
-        found, open_nodes, home = [], [self.root], self.root
+            return
+        radius, top, open_nodes = self.radius, self.top, [self.root]
         while open_nodes:
-            held, children = open_nodes.pop()
+            held, children, alike = open_nodes.pop()
             apart = (held ^ word).bit_count()
             if apart <= radius:
-                found.append(held)
-            open_nodes += [child for key, child in children.items() if apart - radius <= key <= apart + radius]
-        while (apart := (home[0] ^ word).bit_count()) in home[1]:
+                a, b = sorted((top(held), top(word)))
+                self.up[b] = a
+            if children and not (alike and top(held) == top(word)):
+                low, high = apart - radius, apart + radius
+                open_nodes += [child for key, child in children.items() if low <= key <= high]
+        home, own = self.root, top(word)
+        while True:
+            if home[2] and top(home[0]) != own:
+                home[2] = False
+            apart = (home[0] ^ word).bit_count()
+            if apart not in home[1]:
+                home[1][apart] = node
+                return
             home = home[1][apart]
-        home[1][apart] = node
-        return found
 
 
 def shard_links(words: list[int], radius: int) -> list[tuple[int, int]]:
-    """(word, smallest word of its component) for the words of one shard that have a partner in it."""
-    up = {w: w for w in words}
-
-    def top(w: int) -> int:
-        while up[w] != w:
-            up[w] = w = up[up[w]]
-        return w
-
-    tree = BKTree()
+    """(word, smallest word of its component) for the distinct words of one shard that have a partner in it."""
+    tree = BKTree(radius)
     for w in words:
-        for other in tree.add(w, radius):
-            a, b = sorted((top(w), top(other)))
-            up[b] = a
-    return [(w, root) for w in words if (root := top(w)) != w]
+        tree.add(w)
+    return [(w, root) for w in words if (root := tree.top(w)) != w]
 
 
 def _blocks(radius: int, distinct: int) -> int:
