@@ -67,42 +67,44 @@ class Fingerprinter:
     """Fingerprints by a lexicon of term hashes."""
 
     def __init__(self, lexicon: np.ndarray):
-        self.held = {int(h): int(m) for h, m in zip(lexicon, subset_masks(lexicon), strict=True)}
-        self.known: dict[str, tuple[int, int | None]] = {}
+        self.lexicon, self.masks = lexicon, subset_masks(lexicon)
+        self.place = {h: i for i, h in enumerate(lexicon.tolist())}
+        self.known: dict[str, int] = {}
 
-    def _look(self, term: str) -> tuple[int, int | None]:
+    def _look(self, term: str) -> int:
+        """The place of a term in the lexicon, or -1."""
         if len(self.known) >= KEPT_TERMS:
             self.known.clear()
-        h = _hash(term)
-        found = self.known[term] = (h, self.held.get(h))
+        found = self.known[term] = self.place.get(_hash(term), -1)
         return found
 
     def __call__(self, text: str) -> str:
         terms = set(TERM.findall(text.lower()))
-        known = self.known
-        found = [known.get(t) or self._look(t) for t in terms]
-        chosen = sorted(f for f in found if f[1] is not None)
-        if len(chosen) < LEAST_TERMS:
-            hashes = np.array(sorted(f[0] for f in found), np.uint64)
+        found = list(map(self.known.get, terms))
+        if None in found:
+            found = [self._look(t) if f is None else f for t, f in zip(terms, found, strict=True)]
+        places = np.array(found, np.int64)
+        places = np.sort(places[places >= 0])  # the lexicon is in the order of its hashes
+        if len(places) < LEAST_TERMS:
+            hashes = np.array(sorted(map(_hash, terms)), np.uint64)
             masks = subset_masks(hashes)
         else:
-            hashes, masks = (np.array(c, np.uint64) for c in zip(*chosen, strict=True))
+            hashes, masks = self.lexicon[places], self.masks[places]
         bits = np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :SUBSETS]
         subset, place = np.nonzero(bits.T)
         data, ends = hashes[place].tobytes(), np.searchsorted(subset, np.arange(SUBSETS + 1)).tolist()
-        parts = [xxhash.xxh64_hexdigest(hashes.tobytes(), SEED)]
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            parts.append(f"{xxhash.xxh32_intdigest(data[8 * a : 8 * b], SEED) % 65535 + 1:04x}" if b > a else "0000")
-        return "".join(parts)
+        digest = xxhash.xxh32_intdigest
+        values = [digest(data[8 * a : 8 * b], SEED) % 65535 + 1 if b > a else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return xxhash.xxh64_hexdigest(hashes.tobytes(), SEED) + "%04x" * SUBSETS % tuple(values)
 
 
 def likeness(one: str, other: str) -> float:
     """How alike two fingerprints are, 0 to 1."""
     if one == other:
         return 1.0
-    a, b = ([f[i : i + 4] for i in range(16, len(f), 4)] for f in (one, other))
-    told = [x == y for x, y in zip(a, b, strict=True) if x != "0000" or y != "0000"]
-    return sum(told) / len(told) if told else 0.0
+    a, b = (np.frombuffer(bytes.fromhex(f[16:]), ">u2") for f in (one, other))
+    told = (a != 0) | (b != 0)
+    return float((a == b)[told].mean()) if told.any() else 0.0
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
