@@ -58,7 +58,7 @@ class MergeReplay:
 
     def pair(self, left: int, right: int) -> int:
         """The token that a pair makes, or -1; kept for the next time."""
-        if len(self.made) > 500_000:
+        if len(self.made) > 200_000:
             self.made.clear()
         found = self.made[left * self.size + right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return found
