@@ -30,6 +30,8 @@ KINDS = ["email", "phone", "card", "ip", "ssn", "iban", "date"]
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 # Alphabets of mail names; letters of other scripts stay as they are.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
+#: Country codes of two digits; 1 and 7 stand alone, and all others have three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PLACE = {c: (len(a), i, a) for a in ALPHABETS for i, c in enumerate(a)}
 
 NUMBERS = re.compile(
@@ -81,6 +83,11 @@ def luhn_digit(digits: str) -> int:
     return -sum(d - 9 * (d > 9) for d in doubled) % 10
 
 
+def country_digits(digits: str) -> int:
+    """How many digits the country code of an international number has, by its first ones."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+
+
 def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -121,7 +128,7 @@ class Pseudonyms:
 
     def phone(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
-        country = len(re.match(r"\+?(\d*)", found)[1]) if found[0] == "+" else 0
+        country = country_digits(digits) if found[0] == "+" else 0
         if not 7 <= len(digits) <= 15 or len(digits) - country < 6:
             return None
         return _refill(found, digits[:country] + self._digits(digits[country:], "phone" + digits[:country]))
