@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, sample_rows
+from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, numbered, sample_rows
 from phyllo.operators.components import connected_components
 from phyllo.operators.grouped import per_group
 from phyllo.operators.spatial import COORDS, knn_join, nearest_centroid, nearest_join, radius_join
@@ -110,8 +110,12 @@ def point_spacing(df: DataFrame, k: int = 8, keys: tuple[str, ...] = ("uid",), c
 
 
 def sampled_dbscan_filter(df: DataFrame, eps: float, min_points: int, most: int, seed: int = 0, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
-    """Rows within ``eps`` of a sampled row of a large cluster; if the clusters leave nothing, all rows."""
-    sample = cut(sample_rows(df, most, seed, vid), "dbscan-sample")
+    """Rows within ``eps`` of a sampled row of a large cluster; if the clusters leave nothing, all rows.
+
+    The sample is drawn by the rows' places in the order of keys and ``vid``, which may have gaps.
+    """
+    placed = df.withColumn("_order", F.struct(*keys, vid))
+    sample = cut(sample_rows(numbered(placed, "_order", "_place"), most, seed, "_place").drop("_order", "_place"), "dbscan-sample")
     kept = largest_clusters(dbscan(sample, eps, min_points, keys, coords, vid), keys=keys)
     chosen = sample.alias("a").join(kept.alias("k"), _same("a", "k", (*keys, vid)), "left_semi")
     near = nearest_join(df, chosen, keys, coords, vid, eps).where(F.col("near_vid").isNotNull())
