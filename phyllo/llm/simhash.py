@@ -17,17 +17,23 @@ A task emits one link from each fingerprint to the smallest fingerprint of its
 component in the shard, never all pairs; the components of those links are found
 by joins. Only distinct fingerprints take part, so thousands of copies count as
 one.
+
+``similar_components`` links by the Jaccard similarity of the shingle sets. Its
+trees are searched within a radius of some twenty bits, for which no choice of
+blocks is selective; so its shards are keyed by bands of minima of the sets
+instead, and what the trees find is checked on the sets.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phyllo.llm.arrow import batch, map_batches
@@ -39,6 +45,8 @@ SEED = 42
 SHARD_ROWS = 64
 #: Bands of minima of a shingle set, and minima in a band: a pair of Jaccard j shares a band with probability 1 - (1 - j**BAND_ROWS)**BANDS.
 BANDS, BAND_ROWS = 24, 4
+#: Members of a band's shard that one tree holds, and members and bytes of a block that is checked against another one.
+TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES = 1024, 128, 4 << 20
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
 _FACTORS, _SHIFTS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -75,12 +83,57 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 class BKTree:
-    """Distinct 64-bit words under Hamming distance, and their components over links of at most ``radius`` bits.
+    """Distinct 64-bit words under Hamming distance: children are keyed by their integer distance to the parent."""
+
+    def __init__(self):
+        self.root: list | None = None
+
+    def put(self, word: int) -> None:
+        node = [word, {}]
+        if self.root is None:
+            self.root = node
+            return
+        home = self.root
+        while True:
+            apart = (home[0] ^ word).bit_count()
+            if apart not in home[1]:
+                home[1][apart] = node
+                return
+            home = home[1][apart]
 
-    Children are keyed by their distance to the parent. A node also says whether
-    all words below it are of its own component: a search that has reached that
-    component already need not enter there, so a crowd of near copies costs each
-    of its words a short walk and not a visit to all others.
+    def near(self, word: int, radius: int) -> list[int]:
+        """The words at most ``radius`` bits away; only edges whose key the radius reaches are followed."""
+        found, open_nodes = [], [self.root] if self.root else []
+        while open_nodes:
+            held, children = open_nodes.pop()
+            apart = (held ^ word).bit_count()
+            if apart <= radius:
+                found.append(held)
+            low, high = apart - radius, apart + radius
+            open_nodes += [child for key, child in children.items() if low <= key <= high]
+        return found
+
+    def nearest(self, word: int, radius: int) -> int | None:
+        """A word of the least distance within ``radius``, which shrinks with what is found."""
+        found, open_nodes = None, [(0, self.root)] if self.root else []
+        while open_nodes:
+            least, (held, children) = open_nodes.pop()
+            if least > radius:
+                continue
+            apart = (held ^ word).bit_count()
+            if apart <= radius:
+                found, radius = held, apart - 1
+            open_nodes += sorted(((abs(key - apart), child) for key, child in children.items() if abs(key - apart) <= radius), key=lambda n: -n[0])
+        return found
+
+
+class LinkedTree:
+    """Words in a BK-tree, and their components over links of at most ``radius`` bits.
+
+    A node also says whether all words below it are of its own component: a
+    search that has reached that component already need not enter there, so a
+    crowd of near copies costs each of its words a short walk and not a visit to
+    all others.
     """
 
     def __init__(self, radius: int):
@@ -124,7 +177,7 @@ class BKTree:
 
 def shard_links(words: list[int], radius: int) -> list[tuple[int, int]]:
     """(word, smallest word of its component) for the distinct words of one shard that have a partner in it."""
-    tree = BKTree(radius)
+    tree = LinkedTree(radius)
     for w in words:
         tree.add(w)
     return [(w, root) for w in words if (root := tree.top(w)) != w]
@@ -251,17 +304,24 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
+def reach(similarity: float) -> int:
+    """Bits by which the fingerprints of sets of this Jaccard similarity differ, and six standard deviations more."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(64 * share + 6 * math.sqrt(64 * share * (1 - share)))
+
+
 def _shingled(docs: DataFrame, words: int) -> DataFrame:
-    """``(key, text)`` with ``node`` (the hash of its shingle set), ``size`` of the set and ``bands``."""
+    """``(key, text)`` with ``node`` (the hash of its shingle set), ``size`` and ``word`` (the fingerprint) of the set, and ``bands``."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            word = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int32()), bands], names=["key", "text", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(word), bands], names=["key", "text", "node", "size", "word", "bands"])
 
-    return map_batches(docs.select("key", "text"), run, f"key {docs.schema['key'].dataType.simpleString()}, text string, node long, size int, bands array<long>")
+    return map_batches(docs.select("key", "text"), run, f"key {docs.schema['key'].dataType.simpleString()}, text string, node long, size int, word long, bands array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -275,6 +335,12 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts.select("node", "text"), run, "node long, hashes binary")
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have at least this Jaccard similarity."""
+    both = shared(a, b)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(src, dst)`` of the ``(a, b)`` whose sets have at least this Jaccard similarity, by the sets themselves."""
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -284,46 +350,193 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch_ in batches:
-            a, b = (batch_.column(i).to_pylist() for i in (2, 3))
-            kept = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = shared(x, y)
-                kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            kept = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(*(batch_.column(i).to_pylist() for i in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch_.column(0), batch_.column(1)], names=["src", "dst"]).filter(pa.array(kept, pa.bool_()))
 
     return map_batches(both, run, "src long, dst long")
 
 
+def tree_pairs(nodes: list[int], sizes: list[int], words: list[int], similarity: float, radius: int) -> set[tuple[int, int]]:
+    """For every member of a shard, its nearest before it in the shard's BK-tree, and the member nearest to the middle of all."""
+    tree, first, found = BKTree(), {}, []
+    bits = np.unpackbits(np.array(words, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words), bitorder="little").view(np.uint64)[0])
+    hub = min(range(len(words)), key=lambda i: (words[i] ^ middle).bit_count())
+    for i, word in enumerate(words):
+        near = word if word in first else tree.nearest(word, radius)
+        if near is not None:
+            found.append((i, first[near]))
+        if word not in first:
+            first[word] = i
+            tree.put(word)
+        found.append((i, hub))
+    return {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in found if i != j and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]) - 1e-9}
+
+
+def _runs(batches, n_keys: int):
+    """Rows of consecutive equal values of the first columns, as lists of columns; a run may span batches."""
+    held, key = None, None
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        keys = list(zip(*columns[:n_keys], strict=True))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[start]:
+                continue
+            part = [c[start:i] for c in columns[n_keys:]]
+            if held is not None and keys[start] == key:
+                for mine, more in zip(held, part, strict=True):
+                    mine += more
+            else:
+                if held is not None:
+                    yield key, held
+                held, key = part, keys[start]
+            start = i
+    if held is not None:
+        yield key, held
+
+
+def _first_pairs(members: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``(a, b)``: the pairs of ``tree_pairs`` of every shard ``(band, salt)``."""
+
+    def run(batches):
+        for _, (nodes, sizes, words) in _runs(batches, 2):
+            pairs = sorted(tree_pairs(nodes, sizes, [w & (1 << 64) - 1 for w in words], similarity, radius))
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = members.select("band", "salt", "node", "size", "word").repartition("band", "salt").sortWithinPartitions("band", "salt", "word", "node")
+    return map_batches(dealt, run, "a long, b long").distinct()
+
+
+_BLOCK = "band long, block long, low long, high long, nodes binary, homes binary, words binary, bands binary, hashes array<binary>"
+
+
+def _blocks_of(members: DataFrame) -> DataFrame:
+    """Rows of at most ``BLOCK_ROWS`` members of one shard, in the order of their homes, so that most blocks of a crowd have one home."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+
+        def out(band, rows):
+            nonlocal number
+            number += 1
+            homes, nodes, words, bands, hashes = zip(*rows, strict=True)
+            as_bytes = lambda values: np.array(values, np.int64).tobytes()
+            values = [band, number, min(homes), max(homes), as_bytes(nodes), as_bytes(homes), as_bytes(words), as_bytes(bands), list(hashes)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
+
+        types = [*[pa.int64()] * 4, *[pa.binary()] * 4, pa.list_(pa.binary())]
+        held, size, key = [], 0, None
+        for b in batches:
+            for band, salt, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and ((band, salt) != key or len(held) >= BLOCK_ROWS or size >= BLOCK_BYTES):
+                    yield out(key[0], held)
+                    held, size = [], 0
+                key = band, salt
+                held.append(row)
+                size += len(row[-1])
+        if held:
+            yield out(key[0], held)
+
+    dealt = members.select("band", "salt", "home", "node", "word", "bands", "hashes").repartition("band", "salt").sortWithinPartitions("band", "salt", "home", "node")
+    return map_batches(dealt, run, _BLOCK)
+
+
+def block_links(band: int, one: tuple, other: tuple, similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links between members of two blocks (or of one) whose homes differ: what the BK-tree of the one finds for the other, checked on the sets.
+
+    A pair is checked only in the first band that it shares. Homes that a link
+    has joined count as one from then on.
+    """
+    (nodes, homes, words, bands, sets), (their_nodes, their_homes, their_words, their_bands, their_sets) = one, other
+    up: dict[int, int] = {}
+
+    def top(home: int) -> int:
+        while (above := up.get(home, home)) != home:
+            home = above
+        return home
+
+    tree, held, links = BKTree(), {}, []
+    for i, word in enumerate(words):
+        if word in held:
+            held[word].append(i)
+        else:
+            held[word] = [i]
+            tree.put(word)
+    sizes, place = np.array([len(s) for s in sets]), int(np.flatnonzero(bands[0] == band)[0])
+    for j, word in enumerate(their_words):
+        mine, size = their_homes[j], len(their_sets[j])
+        at = np.array([i for w in tree.near(word, radius) for i in held[w] if homes[i] != mine], np.int64)
+        at = at[np.minimum(sizes[at], size) >= similarity * np.maximum(sizes[at], size) - 1e-9]
+        at = at[~(bands[at, :place] == their_bands[j, :place]).any(axis=1)]
+        for i in at.tolist():
+            a, b = top(homes[i]), top(mine)
+            if a != b and alike(sets[i], their_sets[j], similarity):
+                up[max(a, b)] = min(a, b)
+                links.append((nodes[i], their_nodes[j]))
+    return links
+
+
+def _rest_links(members: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``(src, dst)`` links between members of different homes, by pairs of blocks of a band. Two blocks of one and the same home are not paired."""
+    blocks = cut(_blocks_of(members), "similar-blocks")
+    other = blocks.select("band", *[F.col(c).alias(f"_{c}") for c in blocks.columns if c != "band"])
+    one_home = (F.col("low") == F.col("high")) & (F.col("_low") == F.col("_high")) & (F.col("low") == F.col("_low"))
+    pairs = blocks.join(other, "band").where((F.col("block") <= F.col("_block")) & ~one_home)
+    names = ["nodes", "homes", "words", "bands", "hashes"]
+
+    def unpacked(nodes, homes, words, bands, hashes):
+        as_array = lambda data, kind: np.frombuffer(data, kind)
+        return as_array(nodes, np.int64).tolist(), as_array(homes, np.int64).tolist(), as_array(words, np.uint64).tolist(), as_array(bands, np.int64).reshape(-1, BANDS), [as_array(h, np.uint64) for h in hashes]
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                band, *values = (c[row].as_py() for c in b.columns)
+                links = block_links(band, unpacked(*values[:5]), unpacked(*values[5:]), similarity, radius)
+                src, dst = zip(*links, strict=True) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return map_batches(pairs.select("band", *names, *[f"_{n}" for n in names]), run, "src long, dst long")
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``key``, ``node`` (the hash of its shingle set) and ``component_id``, the smallest key reached over links.
 
     Two texts link when the Jaccard similarity of their shingle sets is at least
-    ``similarity``, which is always checked on the sets. The pairs to check are
-    those that share a band: a pair at 0.8 shares none with probability 3e-6, a
-    closer one with less. Of a band's texts, neighbours in two random orders are
-    checked first; after that every pair that is not yet in one component is,
-    so a crowd of near copies does not cost all its pairs and no link is lost.
+    ``similarity``, which is always checked on the sets. The candidates are found
+    in BK-trees over the sets' SimHash words, searched within ``reach`` of the
+    similarity (a pair is farther apart about once in a million). A shard is what
+    shares a band of minima; a pair at 0.8 shares none with probability 3e-6.
+
+    In each shard every member is first checked against its nearest in the tree
+    and against the member in the middle, so a crowd of near copies falls into
+    few components at a cost in proportion to its members. Then blocks of the
+    shards that still hold several components are searched against each other,
+    for pairs of different components only; so no link is lost. Crowded shards
+    are dealt to many tasks by a salt, and no task holds more than two blocks or
+    ``TREE_ROWS`` fingerprints of them.
+
+    A null or wordless text has an empty set and links with its like; rows with a
+    null key take part, and a component of null keys only has a null id. Repeated
+    rows stay; other columns are ignored; an empty table gives no rows.
     """
+    radius = reach(similarity)
     rows = cut(_shingled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words), "similar")
-    distinct = cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "similar-nodes")
-    orders = {"next": W.partitionBy("band").orderBy("node"), "other": W.partitionBy("band").orderBy(F.xxhash64("node"), "node")}
-    members = distinct.select("node", "size", F.explode("bands").alias("band"))
-    members = members.withColumns({name: F.lead(F.struct("node", "size")).over(order) for name, order in orders.items()} | {"before": F.lag("node").over(orders["next"])})
-    members = cut(members.where("next IS NOT NULL OR before IS NOT NULL").drop("before"), "similar-bands")
-    near_size = F.least("size", "next.size") >= similarity * F.greatest("size", "next.size") - 1e-9
-    pair = [F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")]
+    distinct = cut(rows.groupBy("node").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "word", "bands")]), "similar-nodes")
+    dealt = distinct.select("node", "size", "word", F.explode("bands").alias("band"))
+    crowds = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TREE_ROWS)).cast("int").alias("salt")
+    members = cut(dealt.join(crowds, "band").select("band", "n", salt, "node", "size", "word"), "similar-members")
     texts = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(_sets(texts, words), "similar-sets")
-    first = members.select("node", "size", F.explode(F.array("next", "other")).alias("next")).where("next IS NOT NULL")
-    tried = cut(first.where(near_size).select(*pair).distinct(), "similar-pairs")
+    tried = cut(_first_pairs(members, similarity, radius), "similar-pairs")
     homes = connected_components(cut(_alike(tried, sets, similarity), "similar-links"))
-    placed = members.select("node", "size", "band").join(homes, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("home"))
+    placed = members.where("n > 2").join(homes, "node", "left").select("band", "salt", "node", "word", F.coalesce("component", "node").alias("home"))  # the pair of two has been checked
     mixed = placed.groupBy("band").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where("_low < _high").select("band")
-    placed = cut(placed.join(mixed, "band", "left_semi"), "similar-open")
-    other = placed.select("band", F.struct("node", "size").alias("next"), F.col("home").alias("next_home"))
-    rest = placed.join(other, "band").where((F.col("home") < F.col("next_home")) & near_size).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    links = cut(_alike(cut(rest, "similar-pairs"), sets, similarity), "similar-links")
+    left = placed.join(mixed, "band", "left_semi").join(sets, "node").join(distinct.select("node", "bands"), "node")
+    links = cut(_rest_links(left, similarity, radius), "similar-links")
     if links.limit(1).count():
         homes = connected_components(links.unionByName(homes.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
     grouped = distinct.select("node", "least").join(homes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("home"))
@@ -333,10 +546,11 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each component of texts with at least this Jaccard similarity of word shingles; of its repeated rows, one. Rows with a null id stay.
+    """The document with the smallest ``doc_id`` of each component of ``similar_components``; of its repeated rows, one.
 
-    A pair at 0.8 differs in about ten of 64 bits of its fingerprints, too far for
-    the trees, so the pairs to check come from bands of minima here.
+    Rows with a null id stay. Null and wordless texts are near copies of each
+    other. All columns of ``docs`` are kept, whatever their names; an empty table
+    gives no rows.
     """
     labelled = similar_components(docs.select("doc_id", "text"), words, similarity).where(F.col("doc_id") == F.col("component_id"))
     named = docs.where(F.col("doc_id").isNotNull()).join(labelled.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
