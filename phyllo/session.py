@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,25 +17,46 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
-    "spark.ui.enabled": "false",
 }
+#: Of sessions in one process only; a cluster's number of shuffle partitions is its own matter.
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8"}
+
+
+def _in_one_process(master: str) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings above; a cluster's own settings win where it names them."""
-    builder = SparkSession.builder.appName("phyllo")
+    """A session with ``conf``, and with the settings above where neither ``conf`` nor the cluster names them.
+
+    What ``spark-submit --conf``, ``spark-defaults.conf`` or a session that is
+    there already says stays as it is.
+    """
+    there = SparkSession.getActiveSession()
+    builder = SparkSession.builder
     if master:
         builder = builder.master(master)
-    for key, value in (SESSION_CONF | conf).items():
+        if _in_one_process(master):
+            conf = {"spark.ui.enabled": "false"} | conf
+    if "spark.app.name" not in conf:
+        builder = builder.appName("phyllo")
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if there is None:
+        given = spark.sparkContext.getConf()
+        for key, value in (SESSION_CONF | (LOCAL_CONF if _in_one_process(spark.sparkContext.master) else {})).items():
+            if not given.contains(key):
+                spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is named and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not _in_one_process(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="phyllo-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -42,9 +64,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder, which goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark).rstrip('/')}/phyllo-{app}"
+        atexit.register(_leave, spark, app)
+    return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _leave(spark: SparkSession, app: str) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        _delete(spark, _FOLDERS[app])
+
+
+#: Paths of cut tables, with a weak reference to the file index that every plan over such a table holds.
+_CUT: dict[str, tuple[str, object]] = {}
+
+
+def sweep(spark: SparkSession) -> list[str]:
+    """Delete the cut tables that no plan reads any more, and name them."""
+    app = spark.sparkContext.applicationId
+    gone = [path for path, (owner, index) in _CUT.items() if owner == app and index.refersTo(None)]
+    for path in gone:
+        _delete(spark, path)
+        del _CUT[path]
+    return gone
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -54,11 +107,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     frame that several later stages read only once, and gives the optimizer the
     true size of the table, so that broadcast choices are checked against it.
     Zstandard keeps the files small, and its buffers are not the kind that many
-    small tasks pile up outside of the heap.
+    small tasks pile up outside of the heap. Tables that no plan reads any more,
+    as the JVM's garbage collection tells, are deleted on the way.
     """
-    path = shared_path(df.sparkSession, name)
+    spark = df.sparkSession
+    sweep(spark)
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _CUT[path] = spark.sparkContext.applicationId, spark._jvm.java.lang.ref.WeakReference(back._jdf.queryExecution().analyzed().relation().location())
+    return back
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +133,9 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="phyllo-"), "phyllo.zip")
+    folder_of_zip = tempfile.mkdtemp(prefix="phyllo-")
+    atexit.register(shutil.rmtree, folder_of_zip, ignore_errors=True)
+    target = os.path.join(folder_of_zip, "phyllo.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in sorted(n for n in names if n.endswith(".py")):
