@@ -1,8 +1,10 @@
-"""NPY label vectors and feature matrices as a data source; masks, sample tables and metric rows."""
+"""NPY and NPZ arrays as a data source; masks, sample tables and metric rows."""
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -10,29 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-STEP = 200_000
+from phyllo.session import cut
+from phyllo.sources.stores import opened, write_joined, write_whole
+
+STEP, BATCH = 200_000, 10_000
+
+
+def _head(f) -> tuple[tuple[int, ...], np.dtype]:
+    """(shape, type) of the array that begins here; ``f`` is left at its first value. Objects and column order are refused."""
+    version = np.lib.format.read_magic(f)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if dtype.hasobject:
+        raise ValueError("pickled objects are not read")
+    if fortran and len(shape) > 1:
+        raise ValueError("arrays in column order are not read")
+    return shape, dtype
+
+
+def _opened(path: str, name: str | None):
+    """An array's bytes from its head on: a file, or a member of an archive."""
+    f = opened(path)
+    return zipfile.ZipFile(f).open(f"{name}.npy") if name else f
+
+
+def _shape(path: str, name: str | None) -> tuple[tuple[int, ...], np.dtype]:
+    """An array's shape with all but the first axis as one, and its type."""
+    with _opened(path, name) as f:
+        shape, dtype = _head(f)
+    return ((shape[0], int(np.prod(shape[1:]))) if len(shape) > 1 else (int(np.prod(shape)),)), dtype
 
 
 class _NpyReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, name: str | None):
+        self.path, self.name = path, name
 
     def partitions(self):
-        n = len(np.load(self.path, mmap_mode="r", allow_pickle=False).reshape(-1)) if _ndim(self.path) < 2 else len(np.load(self.path, mmap_mode="r", allow_pickle=False))
-        return [InputPartition(i) for i in range(0, max(n, 1), STEP)]
+        n = _shape(self.path, self.name)[0][0]
+        step = max(n, 1) if self.name else STEP  # a packed member is read from its start
+        return [InputPartition((i, min(step, n - i))) for i in range(0, n, step)] or [InputPartition((0, 0))]
 
     def read(self, part):
-        array = np.load(self.path, mmap_mode="r", allow_pickle=False)
-        array = array.reshape(-1) if array.ndim < 2 else array
-        for at in range(part.value, min(part.value + STEP, len(array)), 10_000):
-            rows = np.array(array[at : min(at + 10_000, part.value + STEP)])
-            place = pa.array(np.arange(at, at + len(rows), dtype=np.int64))
-            value = pa.array(rows.tolist(), pa.list_(pa.float32())) if rows.ndim == 2 else pa.array(rows.astype(_scalar(array.dtype)))
-            yield pa.RecordBatch.from_arrays([place, value], names=["vid", "value"])
-
-
-def _ndim(path: str) -> int:
-    return np.load(path, mmap_mode="r", allow_pickle=False).ndim
+        first, count = part.value
+        shape, dtype = _shape(self.path, self.name)
+        width = dtype.itemsize * (shape[1] if len(shape) > 1 else 1)
+        with _opened(self.path, self.name) as f:
+            _head(f)
+            f.seek(f.tell() + first * width)
+            for at in range(first, first + count, BATCH):
+                n = min(BATCH, first + count - at)
+                raw = f.read(n * width)
+                if len(raw) < n * width:
+                    raise ValueError(f"{self.path}: the file is cut off")
+                rows = np.frombuffer(raw, dtype)
+                if len(shape) > 1:
+                    flat = pa.array(rows.astype(np.float32))
+                    value = pa.ListArray.from_arrays(pa.array(np.arange(0, n * shape[1] + 1, shape[1], dtype=np.int32)), flat)
+                else:
+                    value = pa.array(rows.astype(_scalar(dtype)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n, dtype=np.int64)), value], names=["vid", "value"])
 
 
 def _scalar(dtype: np.dtype) -> str:
@@ -40,37 +77,39 @@ def _scalar(dtype: np.dtype) -> str:
 
 
 class NpyDataSource(DataSource):
-    """``format("npy")``: ``vid`` (the place) and ``value``: a number, a truth value, or for matrices an array of floats. Pickled objects are refused."""
+    """``format("npy")``: ``vid`` (the place) and ``value``: a number, a truth value, or for matrices an array of floats.
+
+    Option ``array`` names an array of an ``.npz`` archive. Pickled objects are
+    refused. Files are read by place with pyarrow's file systems, in parts.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "npy"
 
-    def _path(self) -> str:
-        return self.options["path"].removeprefix("file://")
+    def _of(self) -> tuple[str, str | None]:
+        return self.options["path"], self.options.get("array")
 
     def schema(self) -> str:
-        array = np.load(self._path(), mmap_mode="r", allow_pickle=False)
-        kind = "array<float>" if array.ndim > 1 else {"bool": "boolean", "float64": "double", "int64": "bigint"}[_scalar(array.dtype)]
+        shape, dtype = _shape(*self._of())
+        kind = "array<float>" if len(shape) > 1 else {"bool": "boolean", "float64": "double", "int64": "bigint"}[_scalar(dtype)]
         return f"vid bigint, value {kind}"
 
     def reader(self, schema) -> DataSourceReader:
-        return _NpyReader(self._path())
+        return _NpyReader(*self._of())
 
 
-def read_npy(spark: SparkSession, path: str, value: str = "value", uid: str | None = None) -> DataFrame:
-    """An array with its column named, and the cloud's id beside it if given."""
+def read_npy(spark: SparkSession, path: str, value: str = "value", uid: str | None = None, array: str | None = None) -> DataFrame:
+    """An array, of an archive if it is named, with its column named and the cloud's id beside it if given."""
     spark.dataSource.register(NpyDataSource)
-    df = spark.read.format("npy").load(path).withColumnRenamed("value", value)
+    reader = spark.read.format("npy")
+    df = (reader if array is None else reader.option("array", array)).load(path).withColumnRenamed("value", value)
     return df if uid is None else df.select(F.lit(uid).alias("uid"), "*")
 
 
 def read_npz(spark: SparkSession, path: str, name: str, uid: str = "") -> DataFrame:
-    """``(uid, vid, value)`` of one array of an archive; a small file, read by the driver."""
-    with np.load(path, allow_pickle=False) as archive:
-        array = archive[name].reshape(-1)
-    rows = spark.createDataFrame(pa.table({"vid": np.arange(len(array)), "value": array}).to_pandas())
-    return rows.select(F.lit(uid).alias("uid"), "vid", "value")
+    """``(uid, vid, value)`` of one array of an archive."""
+    return read_npy(spark, path, uid=uid, array=name)
 
 
 def read_cloud_npz(spark: SparkSession, path: str, uid: str = "") -> DataFrame:
@@ -78,28 +117,68 @@ def read_cloud_npz(spark: SparkSession, path: str, uid: str = "") -> DataFrame:
 
     Pickled dictionaries are not loaded; they are turned into archives offline.
     """
-    with np.load(path, allow_pickle=False) as archive:
-        coord = archive["coord"].astype(np.float64)
-        color = archive["color"].astype(np.float64) if "color" in archive else np.ones((len(coord), 3))
-        columns = {"vid": np.arange(len(coord)), **{c: coord[:, i] for i, c in enumerate("xyz")}, **{c: color[:, i] for i, c in enumerate(("red", "green", "blue"))}}
-        table = pa.table(columns)
-        if "feat" in archive:
-            table = table.append_column("feat", pa.array(archive["feat"].astype(np.float32).tolist(), pa.list_(pa.float32())))
-    return spark.createDataFrame(table).select(F.lit(uid).alias("uid"), "*")
+    with opened(path) as f:
+        there = set(zipfile.ZipFile(f).namelist())
+    spread = lambda df, names: df.select("vid", *[F.col("value")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    colors = ("red", "green", "blue")
+    out = spread(read_npy(spark, path, array="coord"), "xyz")
+    out = out.join(spread(read_npy(spark, path, array="color"), colors), "vid") if "color.npy" in there else out.withColumns({c: F.lit(1.0) for c in colors})
+    if "feat.npy" in there:
+        out = out.join(read_npy(spark, path, "feat", array="feat"), "vid")
+    return out.select(F.lit(uid).alias("uid"), "*")
+
+
+def _npy_head(shape: tuple[int, ...], dtype: np.dtype) -> bytes:
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": np.lib.format.dtype_to_descr(dtype), "fortran_order": False, "shape": shape})
+    return head.getvalue()
+
+
+def _value_bytes(df: DataFrame, value: str, vid: str, dtype: np.dtype) -> DataFrame:
+    """``(at, n, raw)``: the values of runs of vertices in order, whose ids must be 0..n-1 without a gap."""
+    ordered = df.select(F.col(vid).cast("long").alias("vid"), F.col(value).alias("value")).repartitionByRange("vid").sortWithinPartitions("vid")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            if (np.diff(ids) != 1).any():
+                raise ValueError(f"vertex {int(ids[np.flatnonzero(np.diff(ids) != 1)[0]]) + 1} is missing or repeated")
+            raw = np.array(b.column(1).to_pylist(), dtype).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([b.num_rows], pa.int64()), pa.array([raw], pa.binary())], names=["at", "n", "raw"])
+
+    return cut(ordered.mapInArrow(run, "at long, n long, raw binary"), "npy-parts")
 
 
 def write_npy(df: DataFrame, path: str, value: str, vid: str = "vid", dtype: str = "int32") -> int:
-    """One value for each vertex in vertex order; ids must be 0..n-1. Blocks come to the driver one at a time."""
-    n = df.count()
-    array = np.lib.format.open_memmap(path, mode="w+", dtype=dtype, shape=(n,))
-    at = 0
-    for row in df.select(vid, value).sort(vid).toLocalIterator():
-        if row[vid] != at:
-            raise ValueError(f"vertex {at} is missing or repeated")
-        array[at] = row[value]
-        at += 1
-    array.flush()
-    return n
+    """One value (or one array of equal length) for each vertex in vertex order; ids must be 0..n-1. Tasks make the bytes and one joins them."""
+    try:
+        parts = _value_bytes(df, value, vid, np.dtype(dtype))
+    except Exception as e:
+        if "is missing or repeated" in str(e):
+            raise ValueError("a vertex is missing or repeated") from e
+        raise
+    from pyspark.sql import Window as W
+
+    whole = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.min("at"), F.lit(0)).alias("first")).first()
+    gaps = parts.select("at", (F.lag(F.col("at") + F.col("n")).over(W.orderBy("at"))).alias("due")).where("due <> at").limit(1).count()  # a row for each part
+    if gaps or whole["first"]:
+        raise ValueError("a vertex is missing or repeated")
+    one = df.select(value).first()
+    shape = (whole["n"], len(one[0])) if one is not None and isinstance(one[0], list) else (whole["n"],)
+    write_joined(parts, path, _npy_head(shape, np.dtype(dtype)))
+    return int(whole["n"])
+
+
+def write_npz(parts: dict[str, str], path: str) -> None:
+    """An archive of arrays that have been written as ``.npy`` files: name to path. Members are stored, not packed."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, part in parts.items():
+            with opened(part) as f:
+                z.writestr(f"{name}.npy", f.read())
+    write_whole(path, out.getvalue())
 
 
 def read_selection(spark: SparkSession, path: str) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from phyllo.functions.scalars import CAMERA_MODELS
+from phyllo.session import cut
+from phyllo.sources.stores import exists, opened, write_joined
 
 CAMERA_SCHEMA = "camera_id int, model_id int, width bigint, height bigint, params array<double>"
 IMAGE_SCHEMA = "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string"
@@ -18,21 +23,29 @@ POINTS = "points2d array<struct<x: double, y: double, point3d_id: bigint>>"
 def sparse_dir(root: str) -> str:
     """``sparse/0`` of a dataset, else ``sparse``."""
     for folder in (os.path.join(root, "sparse", "0"), os.path.join(root, "sparse")):
-        if os.path.isfile(os.path.join(folder, "cameras.bin")):
+        if exists(os.path.join(folder, "cameras.bin")):
             return folder
     raise FileNotFoundError(f"no sparse model below {root}")
 
 
+#: Images of a batch of observations.
+IMAGES = 256
+_SPOT = np.dtype([("x", "<f8"), ("y", "<f8"), ("point3d_id", "<i8")])
+
+
+def _bytes(f, n: int) -> bytes:
+    raw = f.read(n)
+    if len(raw) < n:
+        raise ValueError("the file is cut off")
+    return raw
+
+
 def _take(f, form: str) -> tuple:
-    size = struct.calcsize(form)
-    raw = f.read(size)
-    if len(raw) < size:
-        raise ValueError(f"{f.name}: the file is cut off")
-    return struct.unpack(form, raw)
+    return struct.unpack(form, _bytes(f, struct.calcsize(form)))
 
 
 def camera_rows(path: str):
-    with open(path, "rb") as f:
+    with opened(path) as f:
         for _ in range(_take(f, "<Q")[0]):
             camera, model, width, height = _take(f, "<iiQQ")
             if model not in CAMERA_MODELS:
@@ -40,21 +53,52 @@ def camera_rows(path: str):
             yield camera, model, width, height, list(_take(f, f"<{CAMERA_MODELS[model][1]}d"))
 
 
-def image_rows(path: str, points: bool = True):
-    with open(path, "rb") as f:
+def _name(f) -> str:
+    """Text up to a zero byte, looked for in what the reader holds."""
+    out = b""
+    while True:
+        ahead = f.peek(1)
+        if not ahead:
+            raise ValueError("the file is cut off")
+        end = ahead.find(b"\0")
+        out += f.read(len(ahead) if end < 0 else end)
+        if end >= 0:
+            f.read(1)
+            return out.decode()
+
+
+def image_batches(path: str, points: bool = True):
+    """Arrow batches of an ``images.bin``; observations are taken as they lie in the file."""
+    spots = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("point3d_id", pa.int64())])
+    names = ["image_id", "qvec", "tvec", "camera_id", "name"] + ["points2d"] * points
+
+    def out(rows):
+        ids, poses, cameras, texts, seen = zip(*rows, strict=True)
+        lists = lambda a, b: pa.array([p[a:b] for p in poses], pa.list_(pa.float64()))
+        columns = [pa.array(ids, pa.int32()), lists(0, 4), lists(4, 7), pa.array(cameras, pa.int32()), pa.array(texts)]
+        if points:
+            flat = np.concatenate(seen)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in seen])]).astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[n])) for n in _SPOT.names], fields=list(spots))
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), values))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    with opened(path) as f:
+        rows = []
         for _ in range(_take(f, "<Q")[0]):
             image, *pose, camera = _take(f, "<idddddddi")
-            name = bytearray()
-            while (c := _take(f, "<c")[0]) != b"\0":
-                name += c
-            n = _take(f, "<Q")[0]
+            name, n = _name(f), _take(f, "<Q")[0]
             if points:
-                flat = _take(f, "<" + "ddq" * n)
-                spots = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-                yield image, list(pose[:4]), list(pose[4:]), camera, name.decode(), spots
+                seen = np.frombuffer(_bytes(f, 24 * n), _SPOT)
             else:
                 f.seek(24 * n, os.SEEK_CUR)
-                yield image, list(pose[:4]), list(pose[4:]), camera, name.decode()
+                seen = None
+            rows.append((image, pose, camera, name, seen))
+            if len(rows) == IMAGES:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
 
 
 class _Reader(DataSourceReader):
@@ -79,7 +123,7 @@ class ColmapCameras(DataSource):
         return CAMERA_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(camera_rows, self.options["path"].removeprefix("file://"))
+        return _Reader(camera_rows, self.options["path"])
 
 
 class ColmapImages(DataSource):
@@ -96,7 +140,7 @@ class ColmapImages(DataSource):
         return f"{IMAGE_SCHEMA}, {POINTS}" if self._points() else IMAGE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(image_rows, self.options["path"].removeprefix("file://"), self._points())
+        return _Reader(image_batches, self.options["path"], self._points())
 
 
 def read_model(spark: SparkSession, root: str, points2d: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -109,19 +153,28 @@ def read_model(spark: SparkSession, root: str, points2d: bool = True) -> tuple[D
     return cameras, images
 
 
+def _write(rows: DataFrame, path: str, key: str, pack) -> None:
+    """A count and the packed rows by rising key; tasks pack them, and one joins them behind the count."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([r[key]], pa.int64()), pa.array([pack(r)], pa.binary())], names=["at", "raw"])
+
+    packed = cut(rows.mapInArrow(run, "at long, raw binary"), "colmap")
+    write_joined(packed, path, struct.pack("<Q", packed.count()))
+
+
 def write_cameras(cameras: DataFrame, path: str) -> None:
-    """``cameras.bin`` by rising id; rows come to the driver one partition at a time."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", cameras.count()))
-        for r in cameras.select("camera_id", "model_id", "width", "height", "params").sort("camera_id").toLocalIterator():
-            f.write(struct.pack("<iiQQ", r["camera_id"], r["model_id"], r["width"], r["height"]) + struct.pack(f"<{len(r['params'])}d", *r["params"]))
+    """``cameras.bin`` by rising id."""
+    _write(cameras.select("camera_id", "model_id", "width", "height", "params"), path, "camera_id", lambda r: struct.pack("<iiQQ", r["camera_id"], r["model_id"], r["width"], r["height"]) + struct.pack(f"<{len(r['params'])}d", *r["params"]))
 
 
 def write_images(images: DataFrame, path: str) -> None:
     """``images.bin`` by rising id."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", images.count()))
-        for r in images.sort("image_id").toLocalIterator():
-            f.write(struct.pack("<idddddddi", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(r["points2d"])))
-            for p in r["points2d"]:
-                f.write(struct.pack("<ddq", p["x"], p["y"], p["point3d_id"]))
+
+    def pack(r: dict) -> bytes:
+        seen = np.array([(p["x"], p["y"], p["point3d_id"]) for p in r["points2d"]], _SPOT)
+        return struct.pack("<idddddddi", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(seen)) + seen.tobytes()
+
+    _write(images.select("image_id", "qvec", "tvec", "camera_id", "name", F.col("points2d")), path, "image_id", pack)

@@ -42,10 +42,11 @@ def ready_datasets(files: DataFrame, key: str = "plant", path: str = "path", pre
 
 
 def image_paths(images: DataFrame, files: DataFrame) -> DataFrame:
-    """``(name, path)``: ``images/<name>`` if there, else ``<name>``."""
-    tail = files.select("path", F.lit(1).alias("one"))
-    names = images.select("name")
-    hits = names.join(tail, F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))))
+    """``(name, path)``: ``images/<name>`` if there, else ``<name>``; met by the last part of the name, so that files and names are joined by equality."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    tail = files.select("path", last(F.col("path")).alias("_last"))
+    names = images.select("name", last(F.col("name")).alias("_last"))
+    hits = names.join(tail, "_last").where(F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))))
     return hits.groupBy("name").agg(F.max_by("path", F.struct(F.col("path").endswith(F.concat(F.lit("/images/"), F.col("name"))), -F.length("path"))).alias("path"))
 
 

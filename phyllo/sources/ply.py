@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+import itertools
+import posixpath
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from phyllo.session import cut
+from phyllo.sources.stores import exists, files_of, opened, write_joined
 
 # Names of the format's scalar types.
 TYPES = {
@@ -23,7 +24,8 @@ TYPES = {
 SPARK = {"i1": "tinyint", "u1": "smallint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "f4": "float", "f8": "double"}
 ARROW = {"i1": pa.int8(), "u1": pa.int16(), "i2": pa.int16(), "u2": pa.int32(), "i4": pa.int32(), "u4": pa.int64(), "f4": pa.float32(), "f8": pa.float64()}
 WRITTEN = {"tinyint": "char", "smallint": "short", "int": "int", "bigint": "int", "float": "float", "double": "double", "boolean": "uchar"}
-CHUNK = 500_000
+#: Vertices of a partition of a binary file, and of a batch.
+CHUNK, BATCH = 500_000, 65_536
 
 
 class PlyError(ValueError):
@@ -46,7 +48,7 @@ class Header:
 
 def read_header(path: str) -> Header:
     """The header; only properties of ``vertex`` count, which must be the first element and hold no lists."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         if f.readline().strip() != b"ply":
             raise PlyError(f"{path}: no PLY file")
         kind, element, count, found, before = "", "", -1, [], 0
@@ -108,47 +110,59 @@ class PlyReader(DataSourceReader):
 
     def read(self, part: VertexRange):
         header = read_header(part.path)
-        table = self._ascii(part, header) if header.ascii else self._binary(part, header)
-        if len(table) < part.count and not self.prefix:
-            raise PlyError(f"{part.path}: {part.first + len(table)} of {header.count} vertices are there")
-        stem, kinds = os.path.basename(part.path).rsplit(".", 1)[0], dict(header.properties)
-        for at in range(0, len(table), 65_536):
-            rows = table[at : at + 65_536]
-            columns = [pa.array([stem] * len(rows)), pa.array(np.arange(part.first + at, part.first + at + len(rows), dtype=np.int64))]
+        stem, kinds, at = posixpath.basename(part.path).rsplit(".", 1)[0], dict(header.properties), part.first
+        for rows in self._ascii(part, header) if header.ascii else self._binary(part, header):
+            columns = [pa.array([stem] * len(rows)), pa.array(np.arange(at, at + len(rows), dtype=np.int64))]
             columns += [pa.array(np.ascontiguousarray(rows[n])).cast(ARROW[kinds[n]]) if n in kinds else pa.nulls(len(rows), pa.float32()) for n in self.names]
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "vid", *self.names])
+            at += len(rows)
+        if at < part.first + part.count and not self.prefix:
+            raise PlyError(f"{part.path}: {at} of {header.count} vertices are there")
 
     @staticmethod
-    def _binary(part: VertexRange, header: Header) -> np.ndarray:
-        with open(part.path, "rb") as f:
+    def _binary(part: VertexRange, header: Header):
+        with opened(part.path) as f:
             f.seek(header.size + part.first * header.dtype.itemsize)
-            raw = f.read(part.count * header.dtype.itemsize)
-        return np.frombuffer(raw, header.dtype, count=len(raw) // header.dtype.itemsize)
+            for at in range(0, part.count, BATCH):
+                raw = f.read(min(BATCH, part.count - at) * header.dtype.itemsize)
+                yield np.frombuffer(raw, header.dtype, count=len(raw) // header.dtype.itemsize)
 
-    def _ascii(self, part: VertexRange, header: Header) -> np.ndarray:
-        rows = []
-        with open(part.path, "rb") as f:
+    def _ascii(self, part: VertexRange, header: Header):
+        done, width = 0, len(header.properties)
+        with opened(part.path) as f:
             f.seek(header.size)
-            for line in f:
-                if len(rows) == part.count:
-                    break
-                words = line.split()
-                if not words:
-                    continue
+            lines = (line for line in f if not line.isspace())
+            while block := list(itertools.islice(lines, min(BATCH, part.count - done))):
                 try:
-                    rows.append(tuple(float(w) if t[0] == "f" else int(float(w)) for w, (_, t) in zip(words, header.properties, strict=True)))
+                    values, bad = np.loadtxt(block, np.float64, comments=None, ndmin=2), False
+                    bad = values.shape[1] != width
                 except ValueError:
-                    if self.prefix:
-                        break
-                    raise PlyError(f"{part.path}: vertex {len(rows)} is malformed") from None
-        return np.array(rows, header.dtype)
+                    bad = True
+                if bad:  # up to the line that is wrong
+                    good = []
+                    for line in block:
+                        try:
+                            good.append([float(w) for w, _ in zip(line.split(), header.properties, strict=True)])
+                        except ValueError:
+                            break
+                    if not self.prefix:
+                        raise PlyError(f"{part.path}: vertex {done + len(good)} is malformed")
+                    values = np.array(good, np.float64).reshape(-1, width)
+                rows = np.empty(len(values), header.dtype)
+                for i, (n, t) in enumerate(header.properties):
+                    rows[n] = values[:, i].astype(f"<{t}")
+                yield rows
+                done += len(rows)
+                if bad:
+                    return
 
 
 class PlyDataSource(DataSource):
     """``format("ply")``: ``uid`` (the file's stem), ``vid`` (the vertex's place) and the properties of a file or a folder of files.
 
     Options: ``path``; ``mode`` FAILFAST or PREFIX (keep the whole vertices of a
-    cut-off file); ``required``, a comma list of properties that must be there.
+    cut-off file); ``required``, a comma list of properties that must be there;
+    ``columns``, a comma list of the properties to read, all by default.
     """
 
     @classmethod
@@ -156,10 +170,7 @@ class PlyDataSource(DataSource):
         return "ply"
 
     def _paths(self) -> list[str]:
-        path = self.options["path"].removeprefix("file://")
-        if os.path.isdir(path):
-            return sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".ply"))
-        return [path]
+        return files_of(self.options["path"], ".ply")
 
     def _properties(self) -> dict[str, str]:
         found: dict[str, str] = {}
@@ -167,6 +178,10 @@ class PlyDataSource(DataSource):
             for n, t in read_header(path).properties:
                 if found.setdefault(n, t) != t:
                     raise PlyError(f"{path}: property {n} has another type than in the other files")
+        if wanted := [n for n in self.options.get("columns", "").split(",") if n]:
+            if missing := [n for n in wanted if n not in found]:
+                raise PlyError(f"missing properties: {', '.join(missing)}")
+            found = {n: found[n] for n in wanted}
         return found
 
     def schema(self) -> str:
@@ -177,11 +192,16 @@ class PlyDataSource(DataSource):
 
 
 def read_ply(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The vertex table of a file or folder. Land it as Parquet before querying it often: that prunes columns and pushes filters down."""
+    """The vertex table of a file or folder. Land it as Parquet before querying it often: that prunes columns and pushes filters down; here only ``columns`` prunes."""
     spark.dataSource.register(PlyDataSource)
     return spark.read.format("ply").options(**options).load(path)
 
 
+def read_xyz(spark: SparkSession, path: str) -> DataFrame:
+    """``(uid, vid, x, y, z)`` as doubles; a file without coordinates raises."""
+    return read_ply(spark, path, columns="x,y,z", required="x,y,z").select("uid", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
 def count_vertices(path: str) -> int:
     """From the header alone."""
     return read_header(path).count
@@ -197,15 +217,13 @@ def write_ply(df: DataFrame, path: str, mode: str = "errorifexists", ascii: bool
     """Write the columns other than ``uid`` and ``vid``, in their order and in vertex order; the number of vertices.
 
     Tasks turn their share of the ordered rows into bytes; the shares are kept in
-    the shared folder and joined one after another behind the header, so the
-    driver holds one of them at a time.
+    the shared folder, and one task joins them behind the header.
     """
-    target = path.removeprefix("file://")
-    if os.path.exists(target):
+    if exists(path):
         if mode == "errorifexists":
-            raise FileExistsError(target)
+            raise FileExistsError(path)
         if mode == "ignore":
-            return count_vertices(target)
+            return count_vertices(path)
     names = [c for c in df.columns if c not in ("uid", vid)]
     kinds = {n: _ply_type(n, df.schema[n].dataType.simpleString(), unsigned) for n in names}
     dtype = np.dtype([(n, f"<{TYPES[t]}") for n, t in kinds.items()])
@@ -223,13 +241,7 @@ def write_ply(df: DataFrame, path: str, mode: str = "errorifexists", ascii: bool
     parts = cut(ordered.mapInArrow(run, "n long, raw binary").withColumn("at", F.monotonically_increasing_id()), "ply-parts")
     count = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lines = ["ply", f"format {'ascii' if ascii else 'binary_little_endian'} 1.0", f"element vertex {count}", *[f"property {t} {n}" for n, t in kinds.items()], "end_header"]
-    part = f"{target}.{uuid.uuid4().hex}"
-    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-    with open(part, "wb") as f:
-        f.write("\n".join(lines).encode() + b"\n")
-        for row in parts.sort("at").toLocalIterator():
-            f.write(row["raw"])
-    os.replace(part, target)
+    write_joined(parts, path, "\n".join(lines).encode() + b"\n")
     return int(count)
 
 
