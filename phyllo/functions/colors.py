@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import col
@@ -58,8 +57,10 @@ def instance_palette(df: DataFrame, instance: str = "instance_id", **options) ->
 
 def label_palette(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, red, green, blue)``: the n-th distinct label has the n-th of the twenty colours, spread over them; 0 is light grey."""
-    ids = df.select(label).distinct()
-    ranked = ids.withColumn("_n", F.row_number().over(W.orderBy(label)) - 1).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy()))
+    from phyllo.operators.aggregates import numbered
+
+    ranked = numbered(df.select(label).distinct(), label, "_n")
+    ranked = ranked.crossJoin(ranked.agg(F.count(F.lit(1)).alias("_all")))  # one row
     place = F.least(F.floor(F.coalesce(F.try_divide(F.col("_n"), F.col("_all") - 1), F.lit(0.0)) * len(TAB20)), F.lit(len(TAB20) - 1))
     color = F.when(F.col(label) == 0, constant(NO_LABEL)).otherwise(F.element_at(F.array(*map(constant, TAB20)), (place + 1).cast("int")))
     return ranked.select(label, color.alias("_c")).select(label, "_c.*")

@@ -228,10 +228,17 @@ def nested_json(*columns: str) -> Column:
 
 
 def positional_zip(vertices: DataFrame, labels: DataFrame, on: tuple[str, ...] = ("uid", "vid")) -> DataFrame:
-    """Vertices with the labels of their position; what one side has more of drops out."""
+    """Vertices with the labels of their position; what one side has more of drops out (``length_mismatches`` tells where)."""
     return vertices.join(labels, list(on))
 
 
+def length_mismatches(vertices: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """``(*keys, n_vertices, n_labels)`` of the clouds whose counts differ, for a caller to warn of what ``positional_zip`` leaves out."""
+    counts = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = counts(vertices, "n_vertices").join(counts(labels, "n_labels"), list(keys), "full_outer").na.fill(0, ["n_vertices", "n_labels"])
+    return both.where("n_vertices <> n_labels")
+
+
 def relabel_contiguous(df: DataFrame, label: str = "label", keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """Positive labels become 1..n in their order, others 0. Ranks run over one row for each label."""
     from pyspark.sql import Window as W

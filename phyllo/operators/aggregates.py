@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,8 +104,8 @@ def top_by(df: DataFrame, most: int, by: str = "opacity", vid: str = "vid") -> D
 
 
 def zbuffer(hits: DataFrame, keys: tuple[str, ...] = ("view_id", "v", "u"), depth: str = "depth") -> DataFrame:
-    """``hits`` with ``front``, the smallest depth at their pixel."""
-    return per_group(hits, {"front": F.min(depth)}, keys)
+    """``hits`` with ``front``, the smallest depth at their pixel. The hits, which come from every point in every view, are computed once."""
+    return per_group(cut(hits, "zbuffer"), {"front": F.min(depth)}, keys)
 
 
 def front_surface(hits: DataFrame, tolerance: float = 0.012, keys: tuple[str, ...] = ("view_id", "v", "u"), depth: str = "depth") -> DataFrame:
@@ -129,20 +130,31 @@ def cluster_sizes(df: DataFrame, label: str = "label", keys: tuple[str, ...] = (
     return per_group(counts, {"_all": F.sum("n_points")}, keys).withColumn("share", F.col("n_points") / F.col("_all")).drop("_all")
 
 
-def sample_rows(df: DataFrame, most: int, seed: int = 0, order: str = "vid", presorted: bool = False) -> DataFrame:
-    """``most`` rows without replacement, the same as NumPy's generator draws by position; all if there are no more.
+def sample_rows(df: DataFrame, most: int, seed: int = 0, order: str = "vid", presorted: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``most`` rows of each cloud without replacement, the same as NumPy's generator draws by position; all of clouds that have no more.
 
-    ``order`` holds the positions 0..n-1. The positions drawn are at most ``most``
-    numbers, a bound that the caller sets, and are joined back.
+    A row's position is its place in its cloud in the order of a column without
+    ties, which may have gaps. The draws are made where the clouds' sizes are,
+    and joined back.
     """
-    n = df.count()
-    if n <= most:
-        return df
-    picked = np.random.default_rng(seed).choice(n, size=most, replace=False)
-    if presorted:
-        picked = np.sort(picked)
-    chosen = df.sparkSession.createDataFrame([(int(i),) for i in picked], f"`{order}` long")
-    return df.join(chosen, order, "left_semi")
+    placed = cut(numbered(df.withColumn("_order", F.struct(*keys, order)), "_order", "_place").drop("_order"), "sample")
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
+    large = cut(sizes.where(F.col("_n") > most), "sample-sizes")
+    if not large.limit(1).count():
+        return placed.drop("_place")
+
+    def draw(batches):
+        for pdf in batches:
+            for n, start in zip(pdf["_n"], pdf["_start"], strict=True):
+                picked = np.random.default_rng(seed).choice(n, size=most, replace=False)
+                yield pd.DataFrame({"_place": (np.sort(picked) if presorted else picked) + start})
+
+    chosen = large.select("_n", "_start").mapInPandas(draw, "_place long")
+    if keys:
+        small = sizes.where(F.col("_n") <= most).select(*[F.col(k).alias(f"_s_{k}") for k in keys])
+        whole = placed.join(small, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "left_semi")
+        return placed.join(chosen, "_place", "left_semi").unionByName(whole).drop("_place")
+    return placed.join(chosen, "_place", "left_semi").drop("_place")
 
 
 def numbered(df: DataFrame, order: str, name: str = "position") -> DataFrame:
@@ -211,3 +223,17 @@ def histogram(df: DataFrame, value: str, bins: int = 80, keys: tuple[str, ...] =
     place = F.least(F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     step = (F.col("_hi") - F.col("_lo")) / bins
     return out.groupBy(*keys, place.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")).select(*keys, "bin", (F.col("_lo") + step * F.col("bin")).alias("low"), (F.col("_lo") + step * (F.col("bin") + 1)).alias("high"), "n")
+
+
+def heatmap(iou: DataFrame, value: str = "iou", keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """``(*keys, row, column, value)``: plot data of a matrix of instances, rows and columns counted from 0 in the order of their ids."""
+    row = F.dense_rank().over(W.partitionBy(*keys).orderBy("gt")) - 1
+    column = F.dense_rank().over(W.partitionBy(*keys).orderBy("pred")) - 1
+    return iou.select(*keys, row.alias("row"), column.alias("column"), F.col(value).alias("value"))
+
+
+def scatter(df: DataFrame, most: int = 20_000, seed: int = 0, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
+    """``(*keys, vid, plane, a, b)``: plot data of a sample of each cloud, seen along every axis."""
+    planes = [(a, b) for i, a in enumerate(coords) for b in coords[i + 1 :]]
+    shown = F.explode(F.array(*[F.struct(F.lit(a + b).alias("plane"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in planes]))
+    return sample_rows(df.select(*keys, vid, *coords), most, seed, vid, keys=keys).select(*keys, vid, shown.alias("_p")).select(*keys, vid, "_p.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, numbered, sample_rows
+from phyllo.functions.scalars import is_finite, relabel_contiguous
+from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, sample_rows
 from phyllo.operators.components import connected_components
 from phyllo.operators.grouped import per_group
 from phyllo.operators.spatial import COORDS, knn_join, nearest_centroid, nearest_join, radius_join
@@ -54,24 +56,105 @@ def sor_std(df: DataFrame, k: int = 16, ratio: float = 2.0, keys: tuple[str, ...
     return df.alias("a").join(bad.alias("b"), _same("a", "b", (*keys, vid)), "left_anti")
 
 
+def _extremes(points: DataFrame, cells: tuple[str, ...], coords: tuple[str, ...]) -> DataFrame:
+    """Per cell the coordinates' ends, and for every direction of the neighbouring cells the point that lies farthest that way."""
+    ends = [f(c).alias(f"_{s}_{c}") for c in coords for s, f in (("lo", F.min), ("hi", F.max))]
+    spot = F.struct(*[F.col(c).alias(c) for c in coords])
+    ways = [way for way in itertools.product((-1, 0, 1), repeat=len(coords)) if any(way)]
+    far = [F.max_by(spot, reduce(lambda x, y: x + y, [F.col(c) * w for c, w in zip(coords, way, strict=True)])).alias(_way(way)) for way in ways]
+    return points.groupBy(*cells).agg(*ends, *far)
+
+
+def _way(way) -> str:
+    return "_f" + "".join("mzp"[w + 1] for w in way)
+
+
+def _dense_links(dense: DataFrame, homes, keys: tuple[str, ...], coords: tuple[str, ...]) -> DataFrame:
+    """``(src, dst)``: links between cells of core points only, of which two points are within ``_eps``.
+
+    Two cells are first tried by the points of each that lie farthest towards the
+    other. ``homes`` gives the components of cells by the links so far; pairs of
+    cells that are not in one component by then are searched point by point, of
+    which only those near the other cell's box take part.
+    """
+    cells = (*keys, *[f"_k{i}" for i in range(len(coords))])
+    table = cut(_extremes(dense, (*cells, "_eps"), coords), "dbscan-cells")
+    steps = [step for step in itertools.product((-2, -1, 0, 1, 2), repeat=len(coords)) if step > (0,) * len(coords)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(s)]) for s in steps]))
+    one = table.withColumn("_s", step).alias("a")
+    there = [F.col(f"a._k{i}") + F.col(f"_s.s{i}") == F.col(f"b._k{i}") for i in range(len(coords))]
+    pairs = one.join(table.alias("b"), reduce(lambda x, y: x & y, there + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]))
+    sign = [F.signum(F.col(f"_s.s{i}").cast("double")).cast("int") for i in range(len(coords))]
+
+    def tip(side: str, turn: int):
+        found = F.lit(None)
+        for way in itertools.product((-1, 0, 1), repeat=len(coords)):
+            if any(way):
+                found = F.when(reduce(lambda x, y: x & y, [s == w for s, w in zip(sign, way, strict=True)]), F.col(f"{side}.{_way(tuple(turn * w for w in way))}")).otherwise(found)
+        return found
+
+    tried = pairs.select(F.struct(*[F.col(f"a.{c}").alias(c) for c in cells]).alias("src"), F.struct(*[F.col(f"b.{c}").alias(c) for c in cells]).alias("dst"), F.col("a._eps").alias("_eps"), tip("a", 1).alias("_p"), tip("b", -1).alias("_q"))
+    apart = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"_p.{c}") - F.col(f"_q.{c}")) * (F.col(f"_p.{c}") - F.col(f"_q.{c}")) for c in coords]))
+    tried = cut(tried.select("src", "dst", (apart <= F.col("_eps")).alias("near")), "dbscan-tried")
+    links = tried.where("near").select("src", "dst")
+    home = homes(links)
+    of = lambda end: home.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    open_ = cut(tried.where("NOT near").join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(~F.coalesce("_src", "src").eqNullSafe(F.coalesce("_dst", "dst"))).select("src", "dst"), "dbscan-open")
+    if not open_.limit(1).count():
+        return links
+    node = F.struct(*[F.col(c) for c in cells])
+    boxes = table.select(node.alias("node"), *[f"_{s}_{c}" for c in coords for s in ("lo", "hi")])
+    points = dense.select(node.alias("node"), "_eps", *coords)
+    away = reduce(lambda x, y: x + y, [F.pow(F.greatest(F.col(f"_lo_{c}") - F.col(c), F.col(c) - F.col(f"_hi_{c}"), F.lit(0.0)), F.lit(2)) for c in coords])
+
+    def facing(own: str, other: str) -> DataFrame:
+        met = open_.join(boxes.withColumnRenamed("node", other), other).join(points.withColumnRenamed("node", own), own)
+        return met.where(away <= F.col("_eps") * F.col("_eps") * 1.000001).select("src", "dst", "_eps", *[F.col(c).alias(f"{own}_{c}") for c in coords])
+
+    met = facing("src", "dst").join(facing("dst", "src").drop("_eps"), ["src", "dst"])
+    apart = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"src_{c}") - F.col(f"dst_{c}")) * (F.col(f"src_{c}") - F.col(f"dst_{c}")) for c in coords]))
+    return links.unionByName(met.where(apart <= F.col("_eps")).select("src", "dst").distinct())
+
+
 def dbscan(df: DataFrame, eps: float | str, min_points: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
     """``(*keys, vid, label, is_core)``: density clusters numbered from 0 by their smallest core vid, -1 for noise.
 
     A core point has at least ``min_points`` rows within ``eps``, itself counted;
     clusters are the components of core points within ``eps`` of each other; a
-    border point joins the first cluster that it touches.
+    border point joins the first cluster that it touches. Rows with a null or
+    non-finite coordinate are noise.
+
+    Points lie in cells whose diagonal is ``eps``, so the points of a cell are all
+    within ``eps`` of each other: a cell with ``min_points`` of them is dense, all
+    its points are core and in one cluster. Only points of other cells, of which
+    a cell has fewer than ``min_points``, meet their neighbours one by one; so
+    the pairs grow with the points and not with the square of their density.
     """
-    pairs = cut(radius_join(df, df, eps, keys, coords, vid), "dbscan-pairs")
-    core = cut(pairs.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(*keys, F.col("src").alias("core")), "dbscan-core")
-    touching = pairs.alias("p").join(core.alias("c"), _same("p", "c", keys) & (F.col("p.dst") == F.col("c.core"))).select("p.*")  # dst is a core point
-    inner = touching.alias("p").join(core.alias("c"), _same("p", "c", keys) & (F.col("p.src") == F.col("c.core")), "left_semi")
-    homes = _components_in_groups(inner, keys)
-    heads = homes.select(*keys, "component").distinct().withColumn("label", (F.row_number().over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("component")) - 1).cast("int"))
-    homes = cut(homes.alias("h").join(heads.alias("n"), _same("h", "n", (*keys, "component"))).select(*[F.col(f"h.{c}").alias(c) for c in (*keys, "vid")], "n.label"), "dbscan-labels")
-    border = touching.alias("p").join(homes.alias("h"), _same("p", "h", keys) & (F.col("p.dst") == F.col("h.vid"))).groupBy(*[F.col(f"p.{c}").alias(c) for c in keys], F.col("p.src").alias("vid")).agg(F.min("h.label").alias("label"))
-    cores = core.select(*keys, F.col("core").alias("vid"), F.lit(True).alias("is_core"))
-    out = df.select(*keys, F.col(vid).alias("vid")).alias("d").join(homes.alias("h"), _same("d", "h", (*keys, "vid")), "left").join(border.alias("b"), _same("d", "b", (*keys, "vid")), "left").join(cores.alias("c"), _same("d", "c", (*keys, "vid")), "left")
-    return out.select(*[F.col(f"d.{c}").alias(c) for c in keys], F.col("d.vid").alias(vid), F.coalesce("h.label", "b.label", F.lit(-1)).alias("label"), F.coalesce("c.is_core", F.lit(False)).alias("is_core"))
+    width = (F.col(eps).cast("double") if isinstance(eps, str) else F.lit(float(eps))) / len(coords) ** 0.5
+    fine = reduce(lambda x, y: x & y, [is_finite(c) for c in coords])
+    places = {f"_k{i}": F.floor(F.col(c) / (width * 0.999999)).cast("long") for i, c in enumerate(coords)}
+    rows = df.where(fine).select(*keys, F.col(vid).alias("vid"), *[F.col(c).cast("double").alias(c) for c in coords], (F.col(eps).cast("double") if isinstance(eps, str) else F.lit(float(eps))).alias("_eps"))
+    cells = (*keys, *places)
+    rows = cut(per_group(cut(rows.withColumns(places), "dbscan-rows"), {"_n": F.count(F.lit(1))}, cells), "dbscan-rows")
+    dense, sparse = rows.where(F.col("_n") >= min_points), rows.where(F.col("_n") < min_points)
+    pairs = cut(radius_join(sparse, rows, "_eps", keys, coords, "vid").select(*keys, "src", "dst"), "dbscan-pairs")
+    counted = pairs.groupBy(*keys, F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(*keys, "vid")
+    cell = F.struct(*[F.col(c) for c in cells]).alias("cell")
+    core = dense.select(*keys, "vid", cell).unionByName(sparse.alias("s").join(counted.alias("c"), _same("s", "c", (*keys, "vid")), "left_semi").select("s.*").select(*keys, "vid", cell))
+    core = cut(core, "dbscan-core")
+    end = lambda name: core.select(*keys, F.col("vid").alias(name), F.col("cell").alias(f"{name}_cell"))
+    touching = cut(pairs.alias("p").join(end("dst").alias("c"), _same("p", "c", (*keys, "dst"))).select("p.*", "c.dst_cell"), "dbscan-touching")  # dst is a core point
+    inner = touching.alias("p").join(end("src").alias("c"), _same("p", "c", (*keys, "src"))).select(F.col("c.src_cell").alias("src"), F.col("p.dst_cell").alias("dst")).distinct()
+    links = cut(inner.unionByName(core.select(F.col("cell").alias("src"), F.col("cell").alias("dst")).distinct()), "dbscan-links")
+    homes = lambda more: connected_components(links.unionByName(more))
+    found = homes(_dense_links(dense, homes, keys, coords)) if dense.limit(1).count() else connected_components(links)
+    placed = cut(core.join(found, F.col("cell") == F.col("node")).select(*keys, "vid", "component"), "dbscan-homes")
+    heads = placed.groupBy(*keys, "component").agg(F.min("vid").alias("_first"))
+    heads = heads.withColumn("label", (F.row_number().over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("_first")) - 1).cast("int"))  # a row for each cluster
+    labels = cut(placed.alias("h").join(heads.alias("n"), _same("h", "n", (*keys, "component"))).select(*[F.col(f"h.{c}").alias(c) for c in (*keys, "vid")], "n.label"), "dbscan-labels")
+    border = touching.alias("p").join(labels.alias("h"), _same("p", "h", keys) & (F.col("p.dst") == F.col("h.vid"))).groupBy(*[F.col(f"p.{c}").alias(c) for c in keys], F.col("p.src").alias("vid")).agg(F.min("h.label").alias("label"))
+    out = df.select(*keys, F.col(vid).alias("vid")).alias("d").join(labels.alias("h"), _same("d", "h", (*keys, "vid")), "left").join(border.alias("b"), _same("d", "b", (*keys, "vid")), "left")
+    return out.select(*[F.col(f"d.{c}").alias(c) for c in keys], F.col("d.vid").alias(vid), F.coalesce("h.label", "b.label", F.lit(-1)).alias("label"), F.col("h.label").isNotNull().alias("is_core"))
 
 
 def dbscan_keep(df: DataFrame, eps: float, min_points: int, least_core: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
@@ -110,12 +193,8 @@ def point_spacing(df: DataFrame, k: int = 8, keys: tuple[str, ...] = ("uid",), c
 
 
 def sampled_dbscan_filter(df: DataFrame, eps: float, min_points: int, most: int, seed: int = 0, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
-    """Rows within ``eps`` of a sampled row of a large cluster; if the clusters leave nothing, all rows.
-
-    The sample is drawn by the rows' places in the order of keys and ``vid``, which may have gaps.
-    """
-    placed = df.withColumn("_order", F.struct(*keys, vid))
-    sample = cut(sample_rows(numbered(placed, "_order", "_place"), most, seed, "_place").drop("_order", "_place"), "dbscan-sample")
+    """Rows within ``eps`` of a sampled row of a large cluster; if the clusters leave nothing, all rows. The sample has ``most`` rows of each cloud."""
+    sample = cut(sample_rows(df, most, seed, vid, keys=keys), "dbscan-sample")
     kept = largest_clusters(dbscan(sample, eps, min_points, keys, coords, vid), keys=keys)
     chosen = sample.alias("a").join(kept.alias("k"), _same("a", "k", (*keys, vid)), "left_semi")
     near = nearest_join(df, chosen, keys, coords, vid, eps).where(F.col("near_vid").isNotNull())
@@ -123,8 +202,8 @@ def sampled_dbscan_filter(df: DataFrame, eps: float, min_points: int, most: int,
     return out if out.limit(1).count() else df
 
 
-def largest_component(df: DataFrame, radius: float = 0.03, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", least: int = 150) -> DataFrame:
-    """Labels with the rows outside of an instance's largest component set to 0; instances of fewer than ``least`` rows, and components of no more, go."""
+def largest_component(df: DataFrame, radius: float = 0.03, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", least: int = 150, renumber: bool = False) -> DataFrame:
+    """Labels with the rows outside of an instance's largest component set to 0; instances of fewer than ``least`` rows, and components of no more, go. ``renumber``: those kept count from 1."""
     groups = (*keys, label)
     rows = df.where(F.col(label) > 0)
     sized = per_group(rows, {"_n": F.count(F.lit(1))}, groups).where(F.col("_n") >= least)
@@ -133,7 +212,8 @@ def largest_component(df: DataFrame, radius: float = 0.03, label: str = "label",
     best = counts.groupBy(*groups).agg(F.max(F.struct("n", -F.col("component"))).alias("b")).where(F.col("b.n") > least).select(*groups, (-F.col("b.col2")).alias("component"))
     kept = homes.alias("h").join(best.alias("b"), _same("h", "b", (*groups, "component")), "left_semi").select(*keys, F.col("vid").alias(vid), F.lit(True).alias("_k"))
     out = df.alias("a").join(kept.alias("k"), _same("a", "k", (*keys, vid)), "left")
-    return out.select(*[F.when(F.col("k._k"), F.col(f"a.{c}")).otherwise(F.lit(0).cast(df.schema[c].dataType)).alias(c) if c == label else F.col(f"a.{c}") for c in df.columns])
+    out = out.select(*[F.when(F.col("k._k"), F.col(f"a.{c}")).otherwise(F.lit(0).cast(df.schema[c].dataType)).alias(c) if c == label else F.col(f"a.{c}") for c in df.columns])
+    return relabel_contiguous(cut(out, "components"), label, keys) if renumber else out
 
 
 def _directed_scan(neighbours: list[list[int]]) -> list[int]:

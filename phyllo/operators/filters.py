@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import is_finite
+from phyllo.operators.aggregates import numbered
 from phyllo.operators.grouped import per_group
 
 COORDS = ("x", "y", "z")
@@ -59,8 +60,19 @@ def masks_of_size(cells: DataFrame, sizes: DataFrame, least: int, most_share: fl
 
 def holdout_split(images: DataFrame, every: int = 8, name: str = "name", keys: tuple[str, ...] = ()) -> DataFrame:
     """``images`` with ``is_test``: by name, every so many-th from the first on."""
-    order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(name)
-    return images.withColumn("is_test", (F.row_number().over(order) - 1) % every == 0)
+    if not keys:
+        return numbered(images, name, "_place").withColumn("is_test", F.col("_place") % every == 0).drop("_place")
+    return images.withColumn("is_test", (F.row_number().over(W.partitionBy(*keys).orderBy(name)) - 1) % every == 0)
+
+
+def limit_views(views: DataFrame, most: int | None, order: str = "name") -> DataFrame:
+    """The first ``most`` views by name; all if there is no limit or it is 0."""
+    return views.orderBy(order).limit(most) if most else views
+
+
+def prompt_batches(prompts: DataFrame, size: int = 8, order: str = "rank", keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """``prompts`` with ``batch``, counted from 0: so many prompts of a cloud each, in their order. Prompts are hundreds of rows for a cloud."""
+    return prompts.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1) / size).cast("int"))
 
 
 def vote_filter(votes: DataFrame, least_views: int = 3, share: float = 0.60) -> DataFrame:

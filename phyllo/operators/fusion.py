@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import is_finite, normalise_quaternion, sanitise_opacity
-from phyllo.operators.aggregates import numbered, safe_quantile, sample_rows, union_with_source
+from phyllo.operators.aggregates import safe_quantile, sample_rows, union_with_source
 from phyllo.operators.spatial import COORDS, nearest_join
 from phyllo.session import cut
 
@@ -33,8 +33,7 @@ def fuse(main: DataFrame, fill: DataFrame, keep_q: float = 0.75, fill_q: float =
     else:
         kept, extra = main, fill
     if extra.limit(most_fill + 1).count() > most_fill:
-        placed = numbered(extra.select(vid), vid, "_p")
-        drawn = sample_rows(placed, most_fill, seed, "_p", presorted=True)
+        drawn = sample_rows(extra.select(vid), most_fill, seed, vid, presorted=True)
         extra = extra.join(drawn, vid, "left_semi")
     out = union_with_source({names[0]: kept.select(main.columns), names[1]: extra.select(main.columns)}, vid)
     replaced = 0

@@ -26,10 +26,10 @@ def outlier_ratio(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("uid",),
     return sizes.alias("g").join(ratios.alias("r"), _same("g", "r", keys), "left").select(*[F.col(f"g.{c}").alias(c) for c in keys], F.when(F.col("g._n") > k, F.coalesce("r._r", F.lit(0.0))).otherwise(0.0).alias("outlier_ratio"))
 
 
-def main_component_ratio(df: DataFrame, min_points: int = 10, share: float = 0.02, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
-    """``(*keys, main_component_ratio)``: the largest density cluster's share of all rows; 0 if all are noise."""
+def main_component_ratio(df: DataFrame, min_points: int = 10, share: float = 0.02, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", sample: DataFrame | None = None) -> DataFrame:
+    """``(*keys, main_component_ratio)``: the largest density cluster's share of all rows, or of a sample's; 0 if all are noise. The reach is a share of the whole cloud's diagonal."""
     boxes = bounding_box(df, keys, coords).select(*keys, F.greatest(share * F.col("bbox_diagonal"), F.lit(1e-6)).alias("_eps"))
-    with_eps = df.alias("a").join(boxes.alias("b"), _same("a", "b", keys)).select("a.*", "b._eps")
+    with_eps = (df if sample is None else sample).alias("a").join(boxes.alias("b"), _same("a", "b", keys)).select("a.*", "b._eps")
     labels = dbscan(with_eps, "_eps", min_points, keys, coords, vid)
     counts = labels.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*keys).agg((F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)) / F.sum("n")).alias("main_component_ratio"))

@@ -118,7 +118,11 @@ def nearest_join(src: DataFrame, dst: DataFrame, keys: tuple[str, ...] = ("uid",
 
 def transfer_labels(src: DataFrame, labelled: DataFrame, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", max_distance: float | None = None) -> DataFrame:
     """``(*keys, vid, near_vid, d, label)``: the nearest point's label; 0 where none is near enough."""
-    near = nearest_join(src, labelled, keys, coords, vid, max_distance)
+    return with_labels(nearest_join(src, labelled, keys, coords, vid, max_distance), labelled, label, keys, vid)
+
+
+def with_labels(near: DataFrame, labelled: DataFrame, label: str = "label", keys: tuple[str, ...] = ("uid",), vid: str = "vid") -> DataFrame:
+    """``near`` with the label of the point ``near_vid``; 0 where that is null."""
     labels = labelled.select(*keys, F.col(vid).alias("near_vid"), F.col(label).alias(label))
     on = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"l.{c}")) for c in keys] + [F.col("n.near_vid") == F.col("l.near_vid")])
     return near.alias("n").join(labels.alias("l"), on, "left").select("n.*", F.coalesce(f"l.{label}", F.lit(0)).alias(label))

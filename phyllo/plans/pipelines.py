@@ -39,7 +39,7 @@ def evaluate(gt: DataFrame, source: DataFrame, pred: DataFrame, max_distance: fl
 
 def clean_cloud(df: DataFrame, q: float = 0.35, low: float = 0.005, high: float = 0.995, most: int = 200_000) -> DataFrame:
     """Finite rows, opaque ones, those in the box, thinned by voxels. Each quantile is of the rows that the step before leaves."""
-    kept = filters.crop_box(filters.above_quantile(filters.finite_rows(df), "opacity", q), low, high)
+    kept = filters.crop_box(cut(filters.above_quantile(filters.finite_rows(df), "opacity", q), "clean"), low, high)
     return aggregates.adaptive_thin(cut(kept, "clean"), most)
 
 
@@ -68,4 +68,4 @@ def leaf_instances(points: DataFrame, view: DataFrame, mask: DataFrame, k: int =
     by_view = features.superpoint_views(votes.join(tagged.select("uid", "vid", "sp"), ["uid", "vid"]))
     clusters = features.agglomerate(stats, features.superpoint_distances(stats, by_view))
     labelled = tagged.join(clusters, "sp").withColumn("label", (F.col("cluster") + 1).cast("int")).select(*points.columns, "label")
-    return instance_palette(clustering.largest_component(cut(labelled, "leaf-labels"), radius, least=least), "label")
+    return instance_palette(clustering.largest_component(cut(labelled, "leaf-labels"), radius, least=least, renumber=True), "label")
