@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_feistel_pii": pii.op10_feistel_pii,
+    "warc_damaged": warc.warc_damaged,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_pareto_mixing": mixing.OP8_SQL,
     "op9_warc_salvage": warc.OP9_SQL,
+    "warc_damaged": warc.DAMAGED_SQL,
 }
