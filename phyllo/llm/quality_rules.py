@@ -1,9 +1,10 @@
 """Quality rules: base counts of a text, and cross-document line frequency by host.
 
 Lines are normalised and hashed; for every host the distinct documents that show
-a line are counted, exact copies once; lines that more than ``MOST_DOCS`` of a
-host's documents show are removed; a document that loses more than half of its
-words that way is depleted and rejected.
+a line are counted, exact copies once; lines that more than ``MOST_DOCS`` and more
+than ``MOST_PERCENT`` of a host's documents show are removed; a document that
+loses more than half of its words that way, or of which too few words are left to
+pass the base rules, is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from phyllo.llm.arrow import map_batches
 from phyllo.llm.lines import hashed_lines
 from phyllo.session import cut
 
-#: Documents of a host that may share a line; percent of a document's words that must be left.
-MOST_DOCS = 20
+#: Documents of a host that may share a line whatever their share, and percent of a host's documents that may; percent of a document's words that must be left.
+MOST_DOCS = 3
+MOST_PERCENT = 1
 LEAST_LEFT = 50
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -76,18 +78,24 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails the base rules. A null host is a
     host of its own. Repeated rows are judged alike and count once for their
-    lines, as do documents of one host with equal texts. An empty table gives no rows.
+    lines, as do documents of one host with equal texts: a line of a text that is
+    copied a thousand times is no boilerplate. Rows with null ids are judged too.
+    Texts are read whole, however long. Columns of ``docs`` beside the three are
+    ignored, whatever their names. An empty table gives no rows.
     """
     rows = cut(_rows(docs), "rules-rows")
     texts = rows.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
     lines = cut(texts.select("host", "text_key", F.inline("lines")), "rules-lines")
-    common = cut(lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_DOCS).select("host", "hash"), "rules-common")
+    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    spread = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_DOCS)
+    common = cut(spread.join(hosts, "host").where(100 * F.col("n") > MOST_PERCENT * F.col("texts")).select("host", "hash"), "rules-common")
     removed = lines.join(common, ["host", "hash"], "left_semi").groupBy("host", "text_key").agg(F.sum("words").alias("n_removed_words"))
     removed = cut(removed, "rules-removed")
     judged = rows.drop("lines").join(removed, ["host", "text_key"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= LEAST_LEFT * F.col("n_words")
-    return judged.select("doc_id", *COUNTS, "n_removed_words", failed.alias("base_failed"), (~failed & left).alias("kept"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (100 * left < LEAST_LEFT * F.col("n_words")) | (left < LEAST_WORDS)
+    return judged.select("doc_id", *COUNTS, "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -115,7 +123,8 @@ WITH d AS (
   SELECT doc_id, host, md5(text) AS text_key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
     trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw
 ), common AS (
-  SELECT host, norm FROM norm WHERE n > 0 GROUP BY host, norm HAVING count(DISTINCT text_key) > 20
+  SELECT host, norm FROM norm JOIN (SELECT host, count(DISTINCT md5(text)) AS texts FROM d GROUP BY host) USING (host) WHERE n > 0
+  GROUP BY host, norm HAVING count(DISTINCT text_key) > 3 AND 100 * count(DISTINCT text_key) > any_value(texts)
 ), gone AS (
   SELECT doc_id, sum(n) AS n_removed_words FROM norm SEMI JOIN common USING (host, norm) GROUP BY doc_id
 ), c AS (
@@ -126,6 +135,6 @@ WITH d AS (
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AND n_words - n_removed_words >= 50 AS kept
 FROM c
 """
