@@ -7,12 +7,15 @@ their length. Each kind is numbered from 0 to its count of valid values, a keyed
 Feistel network permutes the numbers (walking on while a number falls outside),
 and the new number is written in the form the old one had. So equal values stay
 equal across documents however they are written, different ones stay different,
-and check digits hold again.
+and check digits hold again. Dates are permuted among those whose day and month
+have as many digits each, so that no form of writing them changes its width.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from phyllo.llm.arrow import map_batches
 
-#: The key of the test runs; others are passed in.
+#: The key of the test runs, and the session's setting that names another one.
 KEY = b"phyllo-test-key"
+KEY_SETTING = "spark.phyllo.pii.key"
 ROUNDS = 10
 KINDS = ["email", "phone", "card", "ip", "ssn", "iban", "date"]
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 # Alphabets of mail names; letters of other scripts stay as they are.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 #: Country codes of two digits; 1 and 7 stand alone, and all others have three.
@@ -53,7 +57,7 @@ class Feistel:
     """A keyed permutation of the numbers below any bound."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        self.key = key if len(key) <= 64 else hashlib.sha512(key).digest()
 
     def _round(self, tweak: bytes, step: int, value: int, bound: int) -> int:
         data = step.to_bytes(1, "big") + len(tweak).to_bytes(2, "big") + tweak + value.to_bytes(max(1, (value.bit_length() + 7) // 8), "big")
@@ -88,6 +92,16 @@ def country_digits(digits: str) -> int:
     return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
 
 
+@functools.cache
+def days_alike() -> dict[tuple[bool, bool], list[int]]:
+    """The days that can be replaced, by whether day and month have two digits."""
+    found: dict[tuple[bool, bool], list[int]] = {}
+    for number in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+        day = datetime.date.fromordinal(number)
+        found.setdefault((day.day > 9, day.month > 9), []).append(number)
+    return found
+
+
 def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -128,7 +142,9 @@ class Pseudonyms:
 
     def phone(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
-        country = country_digits(digits) if found[0] == "+" else 0
+        if found[0] != "+":  # the forms without a country code are those of code 1
+            return _refill(found, self._digits(digits, "phone1"))
+        country = country_digits(digits)
         if not 7 <= len(digits) <= 15 or len(digits) - country < 6:
             return None
         return _refill(found, digits[:country] + self._digits(digits[country:], "phone" + digits[:country]))
@@ -169,16 +185,17 @@ class Pseudonyms:
         orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
         for order in orders:
             try:
-                day = datetime.date(*(int(parts[i]) for i in order)).toordinal() - FIRST_DAY
+                day = datetime.date(*(int(parts[i]) for i in order))
             except ValueError:
                 continue
-            if not 0 <= day < DAYS:
+            if not FIRST_DAY <= day <= LAST_DAY:
                 return None
-            new = datetime.date.fromordinal(self.permute(day, DAYS, b"date") + FIRST_DAY)
+            form = day.day > 9, day.month > 9
+            days = days_alike()[form]
+            new = datetime.date.fromordinal(days[self.permute(bisect.bisect_left(days, day.toordinal()), len(days), b"date%d%d" % form)])
             out = ["", "", ""]
-            padded = len(parts[0]) > 1 and len(parts[1]) > 1
             for i, value in zip(order, (new.year, new.month, new.day), strict=True):
-                out[i] = f"{value:04d}" if i == order[0] else f"{value:02d}" if padded else str(value)
+                out[i] = str(value).zfill(len(parts[i]))
             return sep.join(out)
         return None
 
@@ -202,14 +219,19 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, plus ``n_pii`` and a count for each kind (``n_email`` and so on).
 
-    A null text stays null with counts of 0. Rows stand by themselves, so equal
-    values get equal pseudonyms in any row, partition or run with the same key.
-    ``n_chars``, where there is one, follows the text. Columns that are already
-    called like an added one are replaced.
+    Without a key, the session's ``KEY_SETTING`` names it, or else it is that of
+    the tests. A null text stays null with counts of 0, an empty one empty; texts
+    are read whole, however long. Rows stand by themselves, so equal values get
+    equal pseudonyms in any row, partition or run with the same key, and repeated
+    rows stay. ``n_chars``, where there is one, follows the text. Columns that are
+    already called like an added one are replaced; an empty table gives no rows.
     """
+    if key is None:
+        named = docs.sparkSession.conf.get(KEY_SETTING, None)
+        key = named.encode() if named else KEY
     docs = docs.drop("n_pii", *(f"n_{k}" for k in KINDS))
     kept = list(docs.columns)
     at = kept.index("text")
