@@ -81,12 +81,19 @@ class Mix:
     """The plan of a mix: what each source takes, and how far its rank order is taken."""
 
     plan: DataFrame
+    sizes: DataFrame
+
+    def counted(self) -> DataFrame:
+        """``(doc_id, source)`` of the documents that were planned for, plus the columns of ``apply``; their words are not counted again."""
+        return self._decide(self.sizes.withColumnRenamed("size", "_phyllo_size"), ["doc_id", "source"])
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` plus ``size``, ``source_size``, ``target`` and ``copies``; columns already called so are replaced."""
         docs = docs.drop("size", "source_size", "target", "copies")
-        kept = [F.col(f"d.`{c}`") for c in docs.columns]
-        sized = docs.withColumn("_phyllo_size", n_words("text"))
+        return self._decide(docs.withColumn("_phyllo_size", n_words("text")), docs.columns)
+
+    def _decide(self, sized: DataFrame, names: list[str]) -> DataFrame:
+        kept = [F.col(f"d.`{c}`") for c in names]
         joined = sized.alias("d").join(self.plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         size, key = F.col("d._phyllo_size"), _key(F.col("d.doc_id"))
         rank = _rank(size, F.col("d.doc_id"), F.col("p.per_word"))
@@ -140,7 +147,7 @@ def plan_mix(docs: DataFrame) -> Mix:
     taken = edge.withColumn("up_to", F.col("before") + up_to).where(F.col("up_to") - F.col("size") / 2 <= F.col("missing"))
     ends = taken.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("end")).select("source", F.col("end.rank").alias("last_rank"), F.col("end.key").alias("last_key"))
     out = plan.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    return Mix(cut(out.select("p.*", F.col("l.cell").alias("last_cell"), "e.last_rank", "e.last_key"), "mix-plan"))
+    return Mix(cut(out.select("p.*", F.col("l.cell").alias("last_cell"), "e.last_rank", "e.last_key"), "mix-plan"), rows)
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def op8_pareto_mixing(spark, sf_dir: str) -> DataFrame:
     """Words of every document in the mix, beside its size and its source's size and target."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = plan_mix(docs).apply(docs)
+    mixed = plan_mix(docs).counted()
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
