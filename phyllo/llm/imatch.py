@@ -8,6 +8,9 @@ the lexicon. Subsets keep shares of the lexicon from ``RATES``, small ones
 included, so that some subset holds only a few terms of a long or a short
 document and outlives an edit of the others.
 
+A document without any term in the lexicon has all its terms hashed instead, so
+that short texts of rare words don't all look alike.
+
 A fingerprint is 16 hex digits for all terms, then 4 for each subset (``0000``:
 none of the document's terms are in it). The likeness of two fingerprints is 1 if
 they are equal, else the share of equal subsets among those that hold a term of
@@ -33,10 +36,6 @@ from phyllo.session import cut
 #: Document-frequency band as shares of all documents. The lower one bounds the lexicon: a term in it takes LOW * N of the
 #: N * (mean distinct terms) pairs of document and term, so the lexicon has at most (mean distinct terms) / LOW entries.
 LOW, HIGH = 0.0005, 0.1
-#: A lexicon beyond this many terms (8 bytes each when sent) has its lower bound doubled until it fits.
-MOST_TERMS = 1 << 21
-#: Documents with fewer terms in the lexicon are fingerprinted by all their terms.
-LEAST_TERMS = 8
 RATES = (1 / 32, 1 / 64, 1 / 128, 1 / 512)
 SUBSETS_PER_RATE = 16
 SUBSETS = SUBSETS_PER_RATE * len(RATES)
@@ -68,24 +67,26 @@ class Fingerprinter:
 
     def __init__(self, lexicon: np.ndarray):
         self.lexicon, self.masks = lexicon, subset_masks(lexicon)
-        self.place = {h: i for i, h in enumerate(lexicon.tolist())}
         self.known: dict[str, int] = {}
 
-    def _look(self, term: str) -> int:
-        """The place of a term in the lexicon, or -1."""
+    def _look(self, terms: list[str]) -> None:
+        """Keep the places of terms in the lexicon, or -1."""
         if len(self.known) >= KEPT_TERMS:
             self.known.clear()
-        found = self.known[term] = self.place.get(_hash(term), -1)
-        return found
+        hashes = np.array(list(map(_hash, terms)), np.uint64)
+        places = np.minimum(np.searchsorted(self.lexicon, hashes), max(len(self.lexicon) - 1, 0))
+        here = self.lexicon[places] == hashes if len(self.lexicon) else np.zeros(len(hashes), bool)
+        self.known.update(zip(terms, np.where(here, places, -1).tolist(), strict=True))
 
     def __call__(self, text: str) -> str:
         terms = set(TERM.findall(text.lower()))
         found = list(map(self.known.get, terms))
         if None in found:
-            found = [self._look(t) if f is None else f for t, f in zip(terms, found, strict=True)]
+            self._look([t for t, f in zip(terms, found, strict=True) if f is None] if len(self.known) < KEPT_TERMS else list(terms))
+            found = list(map(self.known.__getitem__, terms))
         places = np.array(found, np.int64)
         places = np.sort(places[places >= 0])  # the lexicon is in the order of its hashes
-        if len(places) < LEAST_TERMS:
+        if not len(places):
             hashes = np.array(sorted(map(_hash, terms)), np.uint64)
             masks = subset_masks(hashes)
         else:
@@ -127,12 +128,15 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms within the band; a term of one document only is never in it."""
-    n, low = docs.count(), LOW
-    counted = cut(document_frequencies(docs).where((F.col("df") >= max(2, LOW * n)) & (F.col("df") <= max(2, HIGH * n))), "imatch-terms")
-    while (chosen := counted.where(F.col("df") >= low * n)).count() > MOST_TERMS:
-        low *= 2
-    return np.sort(np.frombuffer(chosen.select("term").toArrow()["term"].combine_chunks().to_numpy().tobytes(), np.uint64))
+    """Sorted hashes of the terms within the band; a term of one document only is never in it.
+
+    Its size is bounded, whatever the number of documents: each of its terms takes
+    at least ``LOW`` of all documents, so there are at most (mean distinct terms
+    of a document) / ``LOW`` of them, of 8 bytes each.
+    """
+    n = docs.count()
+    chosen = document_frequencies(docs).where((F.col("df") >= max(2, LOW * n)) & (F.col("df") <= max(2, HIGH * n)))
+    return np.sort(np.frombuffer(cut(chosen.select("term"), "imatch-terms").toArrow()["term"].combine_chunks().to_numpy().tobytes(), np.uint64))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -167,7 +171,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     A null text is empty; an empty text has no terms and the fingerprint of the
     empty list. Null ids come first in the order; rows of one id follow each
     other by text. The next document of the last is the first, so a lone document
-    is edited with itself. An empty table gives no rows.
+    is edited with itself. Texts are read whole, however long; equal ones have
+    equal fingerprints. Other columns are ignored, whatever their names. An empty
+    table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
