@@ -16,7 +16,9 @@ with the corpus, and so have no size bound that a broadcast would need.
 A task emits one link from each fingerprint to the smallest fingerprint of its
 component in the shard, never all pairs; the components of those links are found
 by joins. Only distinct fingerprints take part, so thousands of copies count as
-one.
+one. A shard with more words than a tree may hold is dealt to several trees by a
+salt; the words of such shards whose components still differ are then searched
+for in the trees of each other's blocks.
 
 ``similar_components`` links by the Jaccard similarity of the shingle sets. Its
 trees are searched within a radius of some twenty bits, for which no choice of
@@ -45,6 +47,8 @@ SEED = 42
 SHARD_ROWS = 64
 #: Bands of minima of a shingle set, and minima in a band: a pair of Jaccard j shares a band with probability 1 - (1 - j**BAND_ROWS)**BANDS.
 BANDS, BAND_ROWS = 24, 4
+#: Words that one tree of a shard holds; a shard with more is dealt to several trees, of which pairs are then searched by blocks of so many words.
+TREE_WORDS, BLOCK_WORDS = 1 << 16, 1 << 12
 #: Members of a band's shard that one tree holds, and members and bytes of a block that is checked against another one.
 TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES = 1024, 128, 4 << 20
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
@@ -205,38 +209,123 @@ def _shard_keys(word: Column, radius: int, blocks: int) -> list[Column]:
     return keys
 
 
+def _runs(batches, n_keys: int):
+    """Rows of consecutive equal values of the first columns, as lists of columns; a run may span batches."""
+    held, key = None, None
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        keys = list(zip(*columns[:n_keys], strict=True))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[start]:
+                continue
+            part = [c[start:i] for c in columns[n_keys:]]
+            if held is not None and keys[start] == key:
+                for mine, more in zip(held, part, strict=True):
+                    mine += more
+            else:
+                if held is not None:
+                    yield key, held
+                held, key = part, keys[start]
+            start = i
+    if held is not None:
+        yield key, held
+
+
 def _search(radius: int):
+    """Links within the parts ``(shard, salt)`` of rows ``(shard, salt, word)`` that are in this order."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-    def links(keys: np.ndarray, words: np.ndarray):
-        out = []
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for part in np.split(words, cuts):
-            if len(part) > 1:
-                out += shard_links(part.view(np.uint64).tolist(), radius)
-        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+    def links(part: np.ndarray) -> pa.RecordBatch:
+        found = shard_links(part.view(np.uint64).tolist(), radius) if len(part) > 1 else []
+        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return batch(schema, [pairs[:, 0], pairs[:, 1]])
 
     def run(batches):
-        held_keys, held_words = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, key = [], None  # the pieces of a part that may go on in the next batch
         for b in batches:
-            keys = np.concatenate([held_keys, b.column(0).to_numpy()])
-            words = np.concatenate([held_words, b.column(1).to_numpy()])
-            if not len(keys):
+            shard, salt, word = (b.column(i).to_numpy() for i in range(3))
+            if not len(word):
                 continue
-            last = np.searchsorted(keys, keys[-1])  # the last shard may go on in the next batch
-            yield links(keys[:last], words[:last])
-            held_keys, held_words = keys[last:], words[last:]
-        yield links(held_keys, held_words)
+            starts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1).tolist(), len(word)]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if key is not None and (shard[i], salt[i]) != key:
+                    yield links(np.concatenate(held))
+                    held = []
+                key = shard[i], salt[i]
+                held.append(word[i:j])
+        if held:
+            yield links(np.concatenate(held))
 
     return run
 
 
-def near_links(words: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """``(src, dst)`` links that connect all distinct long ``word``s of which at most ``radius`` bits differ."""
+def cross_links(one: np.ndarray, homes: np.ndarray, other: np.ndarray, their_homes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links between words of two blocks whose homes differ, found in the one's tree; homes that a link has joined count as one from then on."""
+    tree, up, links = BKTree(), {}, []
+    home_of = dict(zip(one.tolist(), homes.tolist(), strict=True))
+    for word in home_of:
+        tree.put(word)
+
+    def top(home: int) -> int:
+        while (above := up.get(home, home)) != home:
+            home = above
+        return home
+
+    for word, home in zip(other.tolist(), their_homes.tolist(), strict=True):
+        for near in tree.near(word, radius):
+            a, b = top(home_of[near]), top(home)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((near, word))
+    return links
+
+
+def _across(placed: DataFrame, radius: int) -> DataFrame:
+    """Links between words of ``(shard, salt, word, home)`` that are in different parts of a shard and have different homes."""
+    names = ["shard", "salt", "block", "low", "high", "words", "homes"]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
+
+    def blocks(batches):
+        number = TaskContext.get().partitionId() << 32
+        for (shard, salt), (words, homes) in _runs(batches, 2):
+            for at in range(0, len(words), BLOCK_WORDS):
+                number += 1
+                word, home = (np.array(c[at : at + BLOCK_WORDS], np.int64) for c in (words, homes))
+                values = [shard, salt, number, int(home.min()), int(home.max()), word.tobytes(), home.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                one, homes, other, their_homes = (np.frombuffer(c[row].as_py(), np.int64) for c in b.columns)
+                pairs = np.array(cross_links(one.view(np.uint64), homes, other.view(np.uint64), their_homes, radius), np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+
+    dealt = placed.select("shard", "salt", "word", "home").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "home", "word")
+    made = cut(map_batches(dealt, blocks, "shard long, salt int, block long, low long, high long, words binary, homes binary"), "simhash-blocks")
+    other = made.select("shard", *[F.col(n).alias(f"_{n}") for n in names[1:]])
+    one_home = (F.col("low") == F.col("high")) & (F.col("_low") == F.col("_high")) & (F.col("low") == F.col("_low"))
+    pairs = made.join(other, "shard").where((F.col("salt") < F.col("_salt")) & ~one_home)
+    return map_batches(pairs.select("words", "homes", "_words", "_homes"), run, "src long, dst long")
+
+
+def near_links(words: DataFrame, radius: int, blocks: int, most: int = TREE_WORDS) -> DataFrame:
+    """``(src, dst)`` links that connect all distinct long ``word``s of which at most ``radius`` bits differ; a tree holds about ``most`` words."""
     dealt = words.select(F.explode(F.array(*_shard_keys(F.col("word"), radius, blocks))).alias("shard"), "word")
-    dealt = dealt.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "word")
-    return dealt.mapInArrow(_search(radius), "src long, dst long").distinct()
+    crowded = cut(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "simhash-crowded")
+    split = crowded.limit(1).count() > 0
+    salt = F.pmod(F.xxhash64("word"), F.ceil(F.col("n") / most)).cast("int")
+    parts = (dealt.join(crowded, "shard", "left").withColumn("salt", F.coalesce(salt, F.lit(0))) if split else dealt.withColumn("salt", F.lit(0))).select("shard", "salt", "word")
+    ordered = parts.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "salt").sortWithinPartitions("shard", "salt", "word")
+    links = ordered.mapInArrow(_search(radius), "src long, dst long").distinct()
+    if not split:
+        return links
+    links = cut(links, "simhash-links")
+    placed = parts.join(crowded.select("shard"), "shard", "left_semi").join(connected_components(links), F.col("word") == F.col("node"), "left")
+    placed = cut(placed.select("shard", "salt", "word", F.coalesce("component", "word").alias("home")), "simhash-placed")
+    mixed = placed.groupBy("shard").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).where("_low < _high").select("shard")
+    return links.unionByName(_across(placed.join(mixed, "shard", "left_semi"), radius))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text") -> DataFrame:
@@ -373,29 +462,6 @@ def tree_pairs(nodes: list[int], sizes: list[int], words: list[int], similarity:
     return {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in found if i != j and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]) - 1e-9}
 
 
-def _runs(batches, n_keys: int):
-    """Rows of consecutive equal values of the first columns, as lists of columns; a run may span batches."""
-    held, key = None, None
-    for b in batches:
-        columns = [c.to_pylist() for c in b.columns]
-        keys = list(zip(*columns[:n_keys], strict=True))
-        start = 0
-        for i in range(1, len(keys) + 1):
-            if i < len(keys) and keys[i] == keys[start]:
-                continue
-            part = [c[start:i] for c in columns[n_keys:]]
-            if held is not None and keys[start] == key:
-                for mine, more in zip(held, part, strict=True):
-                    mine += more
-            else:
-                if held is not None:
-                    yield key, held
-                held, key = part, keys[start]
-            start = i
-    if held is not None:
-        yield key, held
-
-
 def _first_pairs(members: DataFrame, similarity: float, radius: int) -> DataFrame:
     """``(a, b)``: the pairs of ``tree_pairs`` of every shard ``(band, salt)``."""
 
