@@ -87,7 +87,10 @@ def adaptive_thin(df: DataFrame, most: int, by: str = "opacity", keys: tuple[str
     """
     box = bounding_box(df, (), coords).first()
     if box["n_points"] > most:
-        voxel, thin = max(box["bbox_volume"] / most, 1e-18) ** (1 / 3), df
+        volume = 1.0
+        for c in coords:
+            volume *= max(box[f"max_{c}"] - box[f"min_{c}"], 1e-6)
+        voxel, thin = (volume / most) ** (1 / 3), df
         for _ in range(rounds):
             thin = cut(voxel_top1(df, voxel, by, keys, coords, vid), "thin")
             n = thin.count()

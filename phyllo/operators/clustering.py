@@ -69,13 +69,12 @@ def _way(way) -> str:
     return "_f" + "".join("mzp"[w + 1] for w in way)
 
 
-def _dense_links(dense: DataFrame, homes, keys: tuple[str, ...], coords: tuple[str, ...]) -> DataFrame:
-    """``(src, dst)``: links between cells of core points only, of which two points are within ``_eps``.
+def _joined_cells(dense: DataFrame, links: DataFrame, keys: tuple[str, ...], coords: tuple[str, ...]) -> DataFrame:
+    """``(node, component)`` of cells over ``links`` and over those between ``dense`` cells, of which two points are within ``_eps``.
 
-    Two cells are first tried by the points of each that lie farthest towards the
-    other. ``homes`` gives the components of cells by the links so far; pairs of
-    cells that are not in one component by then are searched point by point, of
-    which only those near the other cell's box take part.
+    Two dense cells are first tried by the points of each that lie farthest
+    towards the other. Pairs of cells that are not in one component by then are
+    searched point by point, of which only those near the other cell's box take part.
     """
     cells = (*keys, *[f"_k{i}" for i in range(len(coords))])
     table = cut(_extremes(dense, (*cells, "_eps"), coords), "dbscan-cells")
@@ -96,12 +95,11 @@ def _dense_links(dense: DataFrame, homes, keys: tuple[str, ...], coords: tuple[s
     tried = pairs.select(F.struct(*[F.col(f"a.{c}").alias(c) for c in cells]).alias("src"), F.struct(*[F.col(f"b.{c}").alias(c) for c in cells]).alias("dst"), F.col("a._eps").alias("_eps"), tip("a", 1).alias("_p"), tip("b", -1).alias("_q"))
     apart = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"_p.{c}") - F.col(f"_q.{c}")) * (F.col(f"_p.{c}") - F.col(f"_q.{c}")) for c in coords]))
     tried = cut(tried.select("src", "dst", (apart <= F.col("_eps")).alias("near")), "dbscan-tried")
-    links = tried.where("near").select("src", "dst")
-    home = homes(links)
+    home = connected_components(links.unionByName(tried.where("near").select("src", "dst")))
     of = lambda end: home.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
     open_ = cut(tried.where("NOT near").join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(~F.coalesce("_src", "src").eqNullSafe(F.coalesce("_dst", "dst"))).select("src", "dst"), "dbscan-open")
     if not open_.limit(1).count():
-        return links
+        return home
     node = F.struct(*[F.col(c) for c in cells])
     boxes = table.select(node.alias("node"), *[f"_{s}_{c}" for c in coords for s in ("lo", "hi")])
     points = dense.select(node.alias("node"), "_eps", *coords)
@@ -113,7 +111,10 @@ def _dense_links(dense: DataFrame, homes, keys: tuple[str, ...], coords: tuple[s
 
     met = facing("src", "dst").join(facing("dst", "src").drop("_eps"), ["src", "dst"])
     apart = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"src_{c}") - F.col(f"dst_{c}")) * (F.col(f"src_{c}") - F.col(f"dst_{c}")) for c in coords]))
-    return links.unionByName(met.where(apart <= F.col("_eps")).select("src", "dst").distinct())
+    more = cut(met.where(apart <= F.col("_eps")).select("src", "dst").distinct(), "dbscan-more")
+    if not more.limit(1).count():
+        return home
+    return connected_components(more.unionByName(home.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
 
 def dbscan(df: DataFrame, eps: float | str, min_points: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
@@ -146,8 +147,7 @@ def dbscan(df: DataFrame, eps: float | str, min_points: int, keys: tuple[str, ..
     touching = cut(pairs.alias("p").join(end("dst").alias("c"), _same("p", "c", (*keys, "dst"))).select("p.*", "c.dst_cell"), "dbscan-touching")  # dst is a core point
     inner = touching.alias("p").join(end("src").alias("c"), _same("p", "c", (*keys, "src"))).select(F.col("c.src_cell").alias("src"), F.col("p.dst_cell").alias("dst")).distinct()
     links = cut(inner.unionByName(core.select(F.col("cell").alias("src"), F.col("cell").alias("dst")).distinct()), "dbscan-links")
-    homes = lambda more: connected_components(links.unionByName(more))
-    found = homes(_dense_links(dense, homes, keys, coords)) if dense.limit(1).count() else connected_components(links)
+    found = _joined_cells(dense, links, keys, coords) if dense.limit(1).count() else connected_components(links)
     placed = cut(core.join(found, F.col("cell") == F.col("node")).select(*keys, "vid", "component"), "dbscan-homes")
     heads = placed.groupBy(*keys, "component").agg(F.min("vid").alias("_first"))
     heads = heads.withColumn("label", (F.row_number().over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("_first")) - 1).cast("int"))  # a row for each cluster

@@ -114,11 +114,6 @@ def seg_pq(spark, sf):
     return rounded(metrics.instance_metrics(segments(spark, sf)).select("uid", "n_gt", "n_pred", "sq", "rq", "pq"))
 
 
-@query()
-def seg_hungarian(spark, sf):
-    return rounded(metrics.one_to_one(metrics.iou_matrix(segments(spark, sf))))
-
-
 @query(f"""WITH {EVENTS_SQL} SELECT uid, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z,
 round(sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)), 6) AS bbox_diagonal, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 6) AS bbox_volume FROM ev GROUP BY uid""")
 def cloud_bbox(spark, sf):
@@ -196,9 +191,7 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d,
 def nearest_within(spark, sf):
     e = cut(vectors(spark, sf), "emb")
     a, b = e.where("vid % 4 < 2"), e.where("vid % 4 >= 2")
-    near = spatial.match_within(a, b, 0.05)
-    labels = spatial.transfer_labels(a, b).select("uid", "vid", F.col("label").alias("l"))
-    return rounded(near.join(labels, ["uid", "vid"]).select("uid", "vid", "near_vid", "d", F.when(F.col("near_vid").isNotNull(), F.col("l")).otherwise(F.lit(0)).alias("label")))
+    return rounded(spatial.with_labels(spatial.match_within(a, b, 0.05), b))
 
 
 @query(f"WITH {NEAR_SQL} SELECT uid, count(*) AS n_points, count(*) FILTER (WHERE d <= 0.05) AS n_matched, round(count(*) FILTER (WHERE d <= 0.05)::DOUBLE / count(*), 6) AS match_rate, round(quantile_cont(d, 0.5), 6) AS nn_p50, round(quantile_cont(d, 0.95), 6) AS nn_p95, round(quantile_cont(d, 0.99), 6) AS nn_p99 FROM nn GROUP BY uid")
@@ -243,11 +236,6 @@ def largest_cluster_ratio(spark, sf):
     return rounded(sizes.agg((F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)) / F.sum("n")).alias("ratio")))
 
 
-@query()
-def main_component_ratio(spark, sf):
-    return rounded(metrics.main_component_ratio(parts(spark, sf)))
-
-
 @query(f"WITH RECURSIVE {DBSCAN_SQL}, big AS (SELECT label FROM db WHERE is_core GROUP BY label HAVING count(*) >= 20) SELECT vid FROM db WHERE is_core AND label IN (SELECT label FROM big) UNION SELECT nb.src FROM nb JOIN db ON db.vid = nb.dst WHERE db.is_core AND db.label IN (SELECT label FROM big)")
 def dbscan_keep(spark, sf):
     return clustering.dbscan_keep(parts(spark, sf), 8.0, 5, 20).select("vid")
@@ -453,11 +441,6 @@ def phenotype_size(spark, sf):
     return rounded(phenotype.plant_size(p, ("instance_id",)).withColumnRenamed("point_count", "n_points"))
 
 
-@query()
-def local_thickness(spark, sf):
-    return rounded(metrics.local_thickness(parts(spark, sf), 8))
-
-
 @query("WITH m AS (SELECT l_orderkey AS vid, l_suppkey % 9 AS rank, max(l_quantity) AS score FROM lineitem GROUP BY ALL) SELECT vid, CAST(arg_max(rank, score * 100 - rank) + 1 AS BIGINT) AS instance_id FROM m GROUP BY vid")
 def assign_instances(spark, sf):
     cells = read_table(spark, sf, "lineitem").groupBy(F.lit(1).alias("uid"), F.col("l_orderkey").alias("vid"), (F.col("l_suppkey") % 9).alias("rank")).agg(F.max("l_quantity").alias("score"))
@@ -471,12 +454,6 @@ def merge_clicks(spark, sf):
     return reduce(lambda a, b: a.join(b, "vid"), ways)
 
 
-@query("WITH m AS (SELECT DISTINCT l_orderkey % 200 AS vid, l_suppkey % 12 AS mask_id FROM lineitem), s AS (SELECT mask_id, count(*) AS n FROM m GROUP BY mask_id) SELECT a.mask_id AS a, b.mask_id AS b, round(count(*)::DOUBLE / (any_value(s.n) + any_value(t.n) - count(*)), 6) AS iou FROM m a JOIN m b ON a.vid = b.vid AND a.mask_id < b.mask_id JOIN s ON s.mask_id = a.mask_id JOIN s t ON t.mask_id = b.mask_id GROUP BY ALL")
-def mask_overlaps(spark, sf):
-    cells = read_table(spark, sf, "lineitem").select(F.lit(1).alias("uid"), (F.col("l_orderkey") % 200).alias("vid"), (F.col("l_suppkey") % 12).alias("mask_id")).distinct()
-    return rounded(refine.mask_overlaps(cells).drop("uid"))
-
-
 @query("WITH c AS (SELECT l_suppkey AS sp, l_linenumber AS view_id, l_partkey % 4 AS label, count(*) AS n FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY ALL) SELECT sp, view_id, label FROM (SELECT *, row_number() OVER (PARTITION BY sp, view_id ORDER BY n DESC, label) AS r FROM c) WHERE r = 1")
 def superpoint_views(spark, sf):
     votes = read_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sp"), F.col("l_linenumber").alias("view_id"), (F.col("l_partkey") % 4).alias("label"))
@@ -561,16 +538,17 @@ def choose_masks(spark, sf):
     return refine.choose_masks(cells.agg(F.count(F.lit(1)).alias("n_pixels"), F.count_if(F.col("l_quantity") > 44).alias("n_green"), F.sum("l_linenumber").alias("score")))
 
 
-SUPER_SQL = """st AS (SELECT l_suppkey AS sp, avg(l_discount * 4) AS confidence FROM lineitem GROUP BY l_suppkey), c AS (SELECT l_suppkey AS sp, l_linenumber AS view_id, l_partkey % 3 + 1 AS label, count(*) AS n FROM lineitem WHERE l_linenumber > 3 + l_suppkey % 4 GROUP BY ALL),
+SUPER_SQL = """st AS (SELECT l_suppkey AS sp, avg(l_discount * 4) AS confidence, avg(l_quantity) AS x, avg(l_tax * 100) AS y, avg(l_linenumber) AS z FROM lineitem GROUP BY l_suppkey), c AS (SELECT l_suppkey AS sp, l_linenumber AS view_id, l_partkey % 3 + 1 AS label, count(*) AS n FROM lineitem WHERE l_linenumber > 3 + l_suppkey % 4 GROUP BY ALL),
 vw AS (SELECT sp, view_id, label FROM (SELECT *, row_number() OVER (PARTITION BY sp, view_id ORDER BY n DESC, label) AS r FROM c) WHERE r = 1)"""
 
 
-@query(f"WITH {SUPER_SQL}, ag AS (SELECT p.sp AS a, q.sp AS b, avg(CASE WHEN p.label = q.label THEN 1.0::DOUBLE ELSE 0 END) AS ag FROM vw p JOIN vw q ON p.view_id = q.view_id AND p.sp < q.sp GROUP BY ALL) SELECT x.sp AS a, y.sp AS b, round(CASE WHEN ag >= 0.65 THEN 0.02 * (1 - ag) WHEN ag IS NOT NULL THEN 50 WHEN x.confidence < 0.25 OR y.confidence < 0.25 THEN 2 ELSE 0.25 END, 6) AS distance FROM st x JOIN st y ON x.sp < y.sp LEFT JOIN ag ON ag.a = x.sp AND ag.b = y.sp")
+@query(f"WITH {SUPER_SQL}, ag AS (SELECT p.sp AS a, q.sp AS b, avg(CASE WHEN p.label = q.label THEN 1.0::DOUBLE ELSE 0 END) AS ag FROM vw p JOIN vw q ON p.view_id = q.view_id AND p.sp < q.sp GROUP BY ALL) SELECT x.sp AS a, y.sp AS b, round(CASE WHEN ag >= 0.65 THEN 0.02 * (1 - ag) WHEN ag IS NOT NULL THEN 50 WHEN x.confidence < 0.25 OR y.confidence < 0.25 THEN 2 ELSE 0.25 END, 6) AS distance FROM st x JOIN st y ON x.sp < y.sp AND sqrt((x.x - y.x) * (x.x - y.x) + (x.y - y.y) * (x.y - y.y) + (x.z - y.z) * (x.z - y.z)) < 0.8 LEFT JOIN ag ON ag.a = x.sp AND ag.b = y.sp")
 def superpoint_distances(spark, sf):
     rows = read_table(spark, sf, "lineitem")
-    stats = rows.groupBy(F.col("l_suppkey").alias("sp")).agg(F.avg(F.col("l_discount") * 4).alias("confidence"))
+    stats = cut(rows.groupBy(F.col("l_suppkey").alias("sp")).agg(F.avg(F.col("l_discount") * 4).alias("confidence"), F.avg("l_quantity").alias("x"), F.avg(F.col("l_tax") * 100).alias("y"), F.avg("l_linenumber").alias("z")), "superpoints")
+    near = spatial.close_pairs(stats, 0.8, (), vid="sp").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     votes = rows.where(F.col("l_linenumber") > 3 + F.col("l_suppkey") % 4).select(F.col("l_suppkey").alias("sp"), F.col("l_linenumber").alias("view_id"), (F.col("l_partkey") % 3 + 1).alias("label"))
-    return rounded(features.superpoint_distances(stats, features.superpoint_views(votes)))
+    return rounded(features.superpoint_distances(stats, features.superpoint_views(votes), pairs=near))
 
 
 @query(f"WITH {VIEW_SQL}, c AS (SELECT uid, vid, CAST(round_even(avg((u * 3 + v) % 256), 0) AS INTEGER) AS red FROM ht GROUP BY ALL) SELECT ev.uid, ev.vid, coalesce(c.red, 180) AS red FROM ev LEFT JOIN c ON c.uid = ev.uid AND c.vid = ev.vid")
@@ -624,57 +602,10 @@ def dominant_ids(spark, sf):
     return aggregates.dominant(c, "value", ("image_id",))
 
 
-@query()
-def split_components(spark, sf):
-    p = parts(spark, sf).withColumn("label", (F.col("vid") % 3 + 1).cast("int"))
-    return clustering.split_labels(p, 12.0, 10).select("vid", "label")
-
-
-@query()
-def refine_instances(spark, sf):
-    e = vectors(spark, sf).withColumn("label", F.col("label").cast("int"))
-    return refine.refine_instances(e, 8, 10, 0.9, 20, 1, 4).select("uid", "vid", "label")
-
-
-@query()
-def nms_masks(spark, sf):
-    cells = read_table(spark, sf, "lineitem").select(F.lit(1).alias("uid"), (F.col("l_orderkey") % 200).alias("vid"), (F.col("l_suppkey") % 12).alias("mask_id")).distinct()
-    scores = cells.groupBy("uid", "mask_id").agg(F.avg("vid").alias("score"))
-    return rounded(refine.nms_masks(cells, scores, 0.5))
-
-
 @query()
 def auto_k(spark, sf):
     e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("feat"))
-    return features.auto_k(e, 2, 5)[2].select("vid", "cluster_id")
-
-
-@query()
-def farthest_points(spark, sf):
-    return features.farthest_points(vectors(spark, sf), 20)
-
-
-@query()
-def leaf_parameters(spark, sf):
-    p = parts(spark, sf).withColumn("instance_id", (F.col("vid") % 5 + 1).cast("int"))
-    return rounded(phenotype.leaf_parameters(p, 25.0).select("uid", "instance_id", "n_points", "cx", "cy", "cz", "length", "width", "area"))
-
-
-@query()
-def adaptive_thin(spark, sf):
-    return rounded(aggregates.adaptive_thin(parts(spark, sf), 100).select("vid", "opacity"))
-
-
-@query()
-def sampled_rows(spark, sf):
-    return aggregates.sample_rows(events(spark, sf).select("uid", "vid"), 100, 7)
-
-
-@query()
-def denoise_flow(spark, sf):
-    from phyllo.plans import pipelines
-
-    return pipelines.denoise_cloud(parts(spark, sf), 8).select("vid")
+    return features.auto_k(e)[2].select("vid", "cluster_id")
 
 
 @query()
