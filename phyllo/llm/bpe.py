@@ -235,9 +235,11 @@ def blocks(texts: list[str], chars: int = BLOCK_CHARS):
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", with_ids: bool = True) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens`` and digests of the ids and of the bytes decoded from them; ``ids`` (little-endian binary) on demand.
 
-    A null or empty text has no tokens. Each row stands by itself, so nulls in
-    other columns, repeated rows and further columns pass through as they are;
-    columns that are already called like an added one are replaced.
+    A null or empty text has no tokens; texts are read whole, however long. Each
+    row stands by itself, so nulls in other columns, repeated rows and further
+    columns pass through as they are; equal texts of one batch (copies that a mix
+    puts side by side) are encoded once. Columns that are already called like an
+    added one are replaced; an empty table gives no rows.
     """
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     path = path or public_tokenizers.path(RANKS)
@@ -249,12 +251,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches):
         coder = encoder(ranks.value, pattern, path)
         for b in batches:
-            out = []
-            for part in blocks([t or "" for t in b.column(0).to_pylist()]):
-                for ids in coder.encode_block(part):
-                    decoded = coder.decode(ids)
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids)[: len(added)])
-            columns = zip(*out, strict=True) if out else [[]] * len(added)
+            texts, of = [t or "" for t in b.column(0).to_pylist()], {}
+            for part in blocks(list(dict.fromkeys(texts))):
+                for text_, ids in zip(part, coder.encode_block(part), strict=True):
+                    of[text_] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest(), ids)[: len(added)]
+            columns = zip(*map(of.__getitem__, texts), strict=True) if texts else [[]] * len(added)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, t) for c, (_, _, t) in zip(columns, added, strict=True))], names=[*kept, *(n for n, _, _ in added)])
 
     return map_batches(docs.select(text, *kept), run, schema)
