@@ -11,23 +11,26 @@ from phyllo.session import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label (pointer jumping), so labels travel exponentially far.
-    Labels meet through joins and a pre-aggregated minimum only: no neighbour
-    list is ever gathered, and a hub's edges are split by the skew join. Every
-    round is written to the shared folder. Rows with a null end are dropped;
-    self-loops keep their node as a component of its own.
+    Every node has a parent, itself at first. A round looks at the grandparents of
+    a node's neighbours: the smallest becomes the parent of the node and of its
+    parent, and every node moves up to its own grandparent. So whole trees hook
+    onto others at once, and long chains take few rounds. Labels meet through
+    joins and pre-aggregated minima only: no neighbour list is ever gathered, and
+    a hub's edges are split by the skew join. Every round is written to the shared
+    folder. Rows with a null end are dropped; self-loops keep their node as a
+    component of its own.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     both = cut(both.union(both.select("b", "a")).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        lowered = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("up"), F.col("component").alias("above"))
-        jumped = lowered.join(up, F.col("component") == F.col("up")).select("node", "was", F.least("component", "above").alias("component"))
-        jumped = cut(jumped, "labels")
-        moved = jumped.where(F.col("component") != F.col("was")).limit(1).count()
-        labels = jumped.select("node", "component")
+        grand = labels.join(up, F.col("component") == F.col("up")).select("node", "above")
+        near = both.join(grand, F.col("b") == F.col("node")).groupBy("a").agg(F.min("above").alias("low"))
+        hooked = near.join(labels, F.col("a") == F.col("node")).select(F.explode(F.array(F.col("a"), F.col("component"))).alias("node"), "low")
+        lowered = hooked.unionByName(grand.withColumnRenamed("above", "low")).groupBy("node").agg(F.min("low").alias("component"))
+        lowered = cut(lowered.join(labels.withColumnRenamed("component", "was"), "node"), "labels")
+        moved = lowered.where(F.col("component") != F.col("was")).limit(1).count()
+        labels = lowered.select("node", "component")
         if not moved:
             return labels

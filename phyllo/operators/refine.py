@@ -132,6 +132,12 @@ def combine_masks(pixels: DataFrame, chosen: DataFrame, on: tuple[str, ...] = ("
     return pixels.join(chosen, list(on), "left_semi").select(*pixel).distinct()
 
 
+# Least pixels of a mask, its largest shares of the picture and of the skeleton, and its least skeleton pixels;
+# the share at which an id takes a mask over, the one below which a mask over several ids is passed over, and the pixels that a new id needs more than.
+LEAF_PIXELS, LEAF_SHARE, LEAF_SKELETON_SHARE, LEAF_SKELETON_PIXELS = 15, 0.06, 0.30, 5
+TAKEN_SHARE, TORN_SHARE, FREE_PIXELS = 0.35, 0.25, 10
+
+
 def paint_leaves(pixels: DataFrame, skeleton: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("view_id",)) -> DataFrame:
     """``(*keys, v, u, leaf_id)``: candidate masks painted in their order over each view.
 
@@ -152,14 +158,14 @@ def paint_leaves(pixels: DataFrame, skeleton: DataFrame, sizes: DataFrame, keys:
         canvas, following = np.zeros((height, width), np.int32), 1
         for _, mask in pdf.sort_values("rank").groupby("rank"):
             v, u, area, on_skeleton = mask["v"].to_numpy(), mask["u"].to_numpy(), len(mask), int(mask["_s"].sum())
-            if area < 15 or area > 0.06 * height * width or (total and on_skeleton > 0.30 * total) or on_skeleton < 5:
+            if area < LEAF_PIXELS or area > LEAF_SHARE * height * width or (total and on_skeleton > LEAF_SKELETON_SHARE * total) or on_skeleton < LEAF_SKELETON_PIXELS:
                 continue
             under = canvas[v, u]
             ids, counts = np.unique(under[under > 0], return_counts=True)
             share = counts.max() / (area + 1e-6) if len(ids) else 0.0
-            if share > 0.35:
+            if share > TAKEN_SHARE:
                 canvas[v, u] = ids[counts.argmax()]
-            elif not (len(ids) >= 2 and share < 0.25) and (under == 0).sum() > 10:
+            elif not (len(ids) >= 2 and share < TORN_SHARE) and (under == 0).sum() > FREE_PIXELS:
                 free = under == 0
                 canvas[v[free], u[free]] = following
                 following += 1
