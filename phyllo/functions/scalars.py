@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.operators.grouped import per_group
+from phyllo.operators.quantiles import with_quantiles
 
 # Fixed value: the constant of the zeroth spherical harmonic.
 SH_C0 = 0.28209479177387814
@@ -103,8 +104,8 @@ def normalise_quaternion(df: DataFrame, names: tuple[str, ...] = ("rot_0", "rot_
 def sanitise_opacity(df: DataFrame, keys: tuple[str, ...] = ("uid",), name: str = "opacity", q: float = 0.999) -> DataFrame:
     """Non-finite opacities become the quantile of the finite ones (0 if there are none); ``opacity_replaced`` counts them per group."""
     c = F.col(name).cast("double")
-    out = per_group(df, {"_fill": F.coalesce(F.percentile(F.when(is_finite(c), c), F.lit(q)), F.lit(0.0)), "opacity_replaced": F.count_if(~is_finite(c))}, keys)
-    return out.withColumn(name, F.when(is_finite(c), c).otherwise(F.col("_fill")).cast(df.schema[name].dataType)).drop("_fill")
+    out = with_quantiles(per_group(df, {"opacity_replaced": F.count_if(~is_finite(c))}, keys), {"_fill": (F.when(is_finite(c), c), [q])}, keys)
+    return out.withColumn(name, F.when(is_finite(c), c).otherwise(F.coalesce(F.col("_fill")[0], F.lit(0.0))).cast(df.schema[name].dataType)).drop("_fill")
 
 
 def repair_non_finite(df: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
@@ -115,8 +116,8 @@ def repair_non_finite(df: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFr
     names = [f.name for f in df.schema if f.dataType.typeName() in ("float", "double") and f.name not in keys]
     if not names:
         return df
-    with_fill = per_group(df, {f"_fill_{n}": F.coalesce(F.median(F.when(is_finite(n), F.col(n).cast("double"))), F.lit(float(n == "rot_0"))) for n in names}, keys)
-    return with_fill.withColumns({n: F.when(is_finite(n), F.col(n)).otherwise(F.col(f"_fill_{n}")).cast(df.schema[n].dataType) for n in names}).drop(*[f"_fill_{n}" for n in names])
+    with_fill = with_quantiles(df, {f"_fill_{n}": (F.when(is_finite(n), F.col(n).cast("double")), [0.5]) for n in names}, keys)
+    return with_fill.withColumns({n: F.when(is_finite(n), F.col(n)).otherwise(F.coalesce(F.col(f"_fill_{n}")[0], F.lit(float(n == "rot_0")))).cast(df.schema[n].dataType) for n in names}).drop(*[f"_fill_{n}" for n in names])
 
 
 def sigmoid(c: Column | str) -> Column:

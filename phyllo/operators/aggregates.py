@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import is_finite
 from phyllo.operators.grouped import per_group
+from phyllo.operators.quantiles import group_quantiles, with_quantiles
 from phyllo.session import cut
 
 COORDS = ("x", "y", "z")
@@ -27,7 +28,7 @@ def bounding_box(df: DataFrame, keys: tuple[str, ...] = ("uid",), coords: tuple[
 
 
 def safe_quantile(c: Column | str, q: float, default: float = 0.0) -> Column:
-    """Aggregate: quantile of the finite values, else a default."""
+    """Aggregate: quantile of the finite values, else a default. For groups that one buffer holds; ``group_quantiles`` has no such limit."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
     return F.coalesce(F.percentile(F.when(is_finite(c), c), F.lit(q)), F.lit(default))
 
@@ -35,8 +36,11 @@ def safe_quantile(c: Column | str, q: float, default: float = 0.0) -> Column:
 def mad_stats(df: DataFrame, value: str, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """``(*keys, median, mad, n)`` of a column."""
     c = F.col(value).cast("double")
-    with_median = per_group(df, {"_med": F.median(c)}, keys)
-    return with_median.groupBy(*keys).agg(F.first("_med").alias("median"), F.median(F.abs(c - F.col("_med"))).alias("mad"), F.count(F.lit(1)).alias("n"))
+    away = with_quantiles(df, {"_med": (c, [0.5])}, keys).withColumn("_away", F.abs(c - F.col("_med")[0]))
+    sizes = away.groupBy(*keys).agg(F.first(F.col("_med")[0]).alias("median"), F.count(F.lit(1)).alias("n"))
+    mads = group_quantiles(away, {"_mad": (F.col("_away"), [0.5])}, keys)
+    both = sizes.crossJoin(mads) if not keys else sizes.alias("s").join(mads.alias("m"), reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]))
+    return both.select(*[F.col(f"s.{k}").alias(k) for k in keys], "median", F.col("_mad")[0].alias("mad"), "n")
 
 
 def mean_std(df: DataFrame, value: str, keys: tuple[str, ...] = ("uid",)) -> DataFrame:

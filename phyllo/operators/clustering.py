@@ -15,6 +15,7 @@ from phyllo.functions.scalars import is_finite, relabel_contiguous
 from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, sample_rows
 from phyllo.operators.components import connected_components
 from phyllo.operators.grouped import per_group
+from phyllo.operators.quantiles import group_quantiles
 from phyllo.operators.spatial import COORDS, knn_join, nearest_centroid, nearest_join, radius_join
 from phyllo.session import cut
 
@@ -178,7 +179,7 @@ def plant_keep(df: DataFrame, sor_k: int = 16, multiplier: float = 3.0, eps: flo
 def auto_eps(df: DataFrame, multiplier: float, k: int = 8, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
     """``(*keys, eps)``: so many times the median of all neighbour distances; 1e-6 for groups of at most k rows; where the median is 0, a share of the span."""
     pairs = knn_join(df, df, k, keys, coords, vid, drop_self=True)
-    medians = pairs.groupBy(*keys).agg((F.median("d") * multiplier).alias("_e"))
+    medians = group_quantiles(pairs, {"_m": (F.col("d"), [0.5])}, keys).withColumn("_e", F.col("_m")[0] * multiplier)
     span = reduce(F.greatest, [F.col(f"max_{c}") - F.col(f"min_{c}") for c in coords])
     boxes = bounding_box(df, keys, coords).withColumn("_span", span)
     eps = F.when(F.col("n_points") <= k, 1e-6).when(F.col("_e") > 0, F.col("_e")).otherwise(F.greatest(0.002 * F.col("_span"), F.lit(1e-6)))
@@ -188,8 +189,8 @@ def auto_eps(df: DataFrame, multiplier: float, k: int = 8, keys: tuple[str, ...]
 def point_spacing(df: DataFrame, k: int = 8, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", sample: DataFrame | None = None) -> DataFrame:
     """``(*keys, spacing)``: median distance to the k-th nearest other, of all rows or of a sample's."""
     pairs = knn_join(df if sample is None else sample, df, k, keys, coords, vid, drop_self=True)
-    farthest = pairs.groupBy(*keys, "src").agg(F.max("d").alias("d"))
-    return farthest.groupBy(*keys).agg(F.median("d").alias("spacing"))
+    farthest = cut(pairs.groupBy(*keys, "src").agg(F.max("d").alias("d")), "spacing")
+    return group_quantiles(farthest, {"_m": (F.col("d"), [0.5])}, keys).select(*keys, F.col("_m")[0].alias("spacing"))
 
 
 def sampled_dbscan_filter(df: DataFrame, eps: float, min_points: int, most: int, seed: int = 0, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phyllo.functions.scalars import is_finite
 from phyllo.operators.aggregates import numbered
 from phyllo.operators.grouped import per_group
+from phyllo.operators.quantiles import with_quantiles
 
 COORDS = ("x", "y", "z")
 
@@ -22,12 +23,12 @@ def finite_rows(df: DataFrame, names: tuple[str, ...] = (*COORDS, "opacity")) ->
 
 def above_quantile(df: DataFrame, name: str = "opacity", q: float = 0.35, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """Rows at or above their group's quantile (linear between ranks)."""
-    return per_group(df, {"_q": F.percentile(F.col(name).cast("double"), F.lit(q))}, keys).where(F.col(name).cast("double") >= F.col("_q")).drop("_q")
+    return with_quantiles(df, {"_q": (F.col(name), [q])}, keys).where(F.col(name).cast("double") >= F.col("_q")[0]).drop("_q")
 
 
 def crop_box(df: DataFrame, low: float = 0.005, high: float = 0.995, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS) -> DataFrame:
     """Rows between the quantiles of their group on every axis; all quantiles are of the rows that come in."""
-    out = per_group(df, {f"_q_{c}": F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))) for c in coords}, keys)
+    out = with_quantiles(df, {f"_q_{c}": (F.col(c), [low, high]) for c in coords}, keys)
     for c in coords:
         out = out.where(F.col(c).cast("double").between(F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]))
     return out.drop(*[f"_q_{c}" for c in coords])

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import is_finite, normalise_quaternion, sanitise_opacity
-from phyllo.operators.aggregates import safe_quantile, sample_rows, union_with_source
+from phyllo.operators.aggregates import sample_rows, union_with_source
+from phyllo.operators.quantiles import group_quantiles
 from phyllo.operators.spatial import COORDS, nearest_join
 from phyllo.session import cut
 
@@ -26,8 +27,9 @@ def fuse(main: DataFrame, fill: DataFrame, keep_q: float = 0.75, fill_q: float =
     if any_main and any_fill:
         there = cut(nearest_join(main, fill, (), coords, vid), "fuse-main")
         back = cut(nearest_join(fill, main, (), coords, vid), "fuse-fill")
-        keep_to = there.agg(safe_quantile("d", keep_q).alias("q")).first()["q"]
-        fill_from = max(back.agg(safe_quantile("d", fill_q).alias("q")).first()["q"], keep_to)
+        at = lambda df, q: (group_quantiles(df.where(is_finite("d")), {"q": (F.col("d"), [q])}, ()).first()["q"] or [0.0])[0]
+        keep_to = at(there, keep_q)
+        fill_from = max(at(back, fill_q), keep_to)
         kept = main.join(there.where(F.col("d") <= keep_to), vid, "left_semi")
         extra = fill.join(back.where(F.col("d") > fill_from), vid, "left_semi")
     else:

@@ -11,6 +11,7 @@ from phyllo.functions.scalars import safe_div
 from phyllo.operators.aggregates import bounding_box, mad_stats
 from phyllo.operators.clustering import _same, dbscan, mean_knn_distance
 from phyllo.operators.filters import leaf_predictions
+from phyllo.operators.quantiles import group_quantiles
 from phyllo.operators.spatial import COORDS, knn_join
 from phyllo.session import cut
 
@@ -58,9 +59,9 @@ def neighbour_covariance(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("u
 def local_thickness(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
     """``(*keys, local_thickness_median)``: median root of the smallest eigenvalue of each row's neighbours; NaN for at most k rows."""
     cov = smallest_eigenvalues(neighbour_covariance(df, k, keys, coords, vid), ["cxx", "cxy", "cxz", "cyy", "cyz", "czz"])
-    thick = cov.groupBy(*keys).agg(F.median(F.sqrt(F.greatest("eig_min", F.lit(0.0)))).alias("_t"))
+    thick = group_quantiles(cut(cov, "thickness"), {"_t": (F.sqrt(F.greatest("eig_min", F.lit(0.0))), [0.5])}, keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.alias("g").join(thick.alias("t"), _same("g", "t", keys), "left").select(*[F.col(f"g.{c}").alias(c) for c in keys], F.when(F.col("g._n") > k, F.col("t._t")).otherwise(F.lit(float("nan"))).alias("local_thickness_median"))
+    return sizes.alias("g").join(thick.alias("t"), _same("g", "t", keys), "left").select(*[F.col(f"g.{c}").alias(c) for c in keys], F.when(F.col("g._n") > k, F.col("t._t")[0]).otherwise(F.lit(float("nan"))).alias("local_thickness_median"))
 
 
 def geometry_metrics(df: DataFrame, k: int = 16, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
@@ -202,8 +203,8 @@ def leaf_rand(df: DataFrame, iou_threshold: float = 0.1, keys: tuple[str, ...] =
 
 def distance_report(near: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """Of ``(*keys, near_vid, d)``: counts, match rate and the distance's percentiles."""
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.count("near_vid").alias("n_matched"), q.alias("_q"))
+    counts = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.count("near_vid").alias("n_matched"))
+    rows = counts.alias("c").join(group_quantiles(near, {"_q": (F.col("d"), [0.5, 0.95, 0.99])}, keys).alias("q"), _same("c", "q", keys)).select("c.*", "q._q")
     return rows.select(*keys, "n_points", "n_matched", (F.col("n_matched") / F.col("n_points")).alias("match_rate"), *[F.col("_q")[i].alias(f"nn_p{p}") for i, p in enumerate((50, 95, 99))])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phyllo.functions import colors, scalars
-from phyllo.operators import aggregates, clustering, features, filters, fusion, images, metrics, phenotype, refine, spatial, views
+from phyllo.operators import aggregates, clustering, features, filters, fusion, images, metrics, phenotype, quantiles, refine, spatial, views
 from phyllo.session import cut, read_table
 
 QUERIES: dict = {}
@@ -124,7 +124,7 @@ def cloud_bbox(spark, sf):
 SELECT uid, round(max(md), 6) AS median, round(median(abs(x - md)), 6) AS mad, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.35), 6) AS q35 FROM ev JOIN m USING (uid) GROUP BY uid""")
 def cloud_quantiles(spark, sf):
     e = events(spark, sf)
-    q = e.groupBy("uid").agg(aggregates.safe_quantile("x", 0.35).alias("q35"))
+    q = quantiles.group_quantiles(e, {"q": (F.col("x"), [0.35])}).select("uid", F.col("q")[0].alias("q35"))
     return rounded(aggregates.mad_stats(e, "x").join(aggregates.mean_std(e, "x"), "uid").join(q, "uid"))
 
 
