@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     follows the text. A null text stays null and has no lines; a text all of whose
     lines go becomes empty. A null source is a site of its own. Rows that share an
     id and a text are treated alike; of rows with null ids only, all keep the line.
+    Texts are read whole, however long; an empty table gives no rows.
     Columns that are already called ``n_lines`` or ``n_removed`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")

@@ -10,9 +10,11 @@ the missing share of the source times a damping of long documents
 that a few huge pages do not make up a source's extra copies.
 
 Ranks are never taken over a whole source. The rank order is cut into ``CELLS``
-ranges; words are summed by source and range, and only the documents of the one
-range in which the target is reached are ordered. The outcome is one threshold
-for each source, so the decision on a document needs nothing but its own row.
+cells; words are summed by source and cell, and the one cell in which the target
+is reached is cut once more in the same way. Only the documents of the one part
+in which the target is reached are ordered, about one of 17 million of a source.
+The outcome is one threshold for each source, so the decision on a document needs
+nothing but its own row.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phyllo.operators.aggregates import numbered
 from phyllo.session import cut
 
 #: Weights of the sources in their order, repeating; the share of all words that the mix has; copies at most.
@@ -52,28 +55,30 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     Filling the targets by weight and sharing out anew what a full source can't
     hold ends at one level: a source has ``weight * level`` or, if less, its cap.
     The sources that reach their cap are those with the smallest cap for their
-    weight, so the level follows from running sums. The windows run over one row
-    for each source.
+    weight, so the level follows from running sums. Both orders are dealt by
+    ranges, so there may be as many sources as web domains.
     """
-    ranked = sizes.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))))
+    ranked = numbered(sizes.withColumn("_by", F.struct(F.col("source").isNull(), "source")), "_by", "place").drop("_by")
     weights = F.array(*map(F.lit, WEIGHTS))
-    ranked = ranked.withColumn("weight", F.element_at(weights, (F.col("place") - 1) % len(WEIGHTS) + 1).cast("double")).withColumn("cap", F.col("source_size") * F.lit(MOST))
-    order = W.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, everything = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    ranked = ranked.withColumns(
-        {
-            "full": F.coalesce(F.sum("cap").over(before), F.lit(0)),
-            "full_weight": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-            "words": F.sum("source_size").over(everything),
-            "weights": F.sum("weight").over(everything),
-            "step": F.row_number().over(order),
-        }
-    )
+    ranked = ranked.withColumn("weight", F.element_at(weights, (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double")).withColumn("cap", F.col("source_size") * F.lit(MOST))
+    order = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "place")
+    run = _sums_before(ranked.withColumn("_order", order), "_order", {"full": "cap", "full_weight": "weight"})
+    totals = sizes.agg(F.sum("source_size").alias("words")).crossJoin(ranked.agg(F.sum("weight").alias("weights")))  # one row
     level = (F.lit(SHARE) * F.col("words") - F.col("full")) / (F.col("weights") - F.col("full_weight"))
-    ranked = ranked.withColumn("level", level)
-    first_open = F.min_by("level", F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("step"))).over(everything)
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce(first_open, F.lit(0.0)))
-    return ranked.select("source", "source_size", "damped", target.alias("target"))
+    run = cut(run.crossJoin(totals).withColumn("level", level), "mix-levels")
+    first_open = run.agg(F.min_by("level", F.when(F.col("_order.ratio") > F.col("level"), F.col("_order"))).alias("first_open"))  # one row
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("first_open", F.lit(0.0)))
+    return run.crossJoin(first_open).select("source", "source_size", "damped", target.alias("target"))
+
+
+def _sums_before(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """``df`` with sums of columns over all rows before a row, in an order without ties: by ranges, whose totals are one row each."""
+    dealt = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return dealt.join(starts, "_range").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).drop("_range", *[f"_{n}" for n in sums])
 
 
 @dataclass(frozen=True)
@@ -98,7 +103,8 @@ class Mix:
         size, key = F.col("d._phyllo_size"), _key(F.col("d.doc_id"))
         rank = _rank(size, F.col("d.doc_id"), F.col("p.per_word"))
         within = (rank < F.col("p.last_rank")) | ((rank == F.col("p.last_rank")) & (key <= F.col("p.last_key")))
-        extra = (size > 0) & ((_cell(rank) < F.col("p.last_cell")) | ((_cell(rank) == F.col("p.last_cell")) & within))
+        inner = (_part(rank) < F.col("p.last_part")) | ((_part(rank) == F.col("p.last_part")) & within)
+        extra = (size > 0) & ((_cell(rank) < F.col("p.last_cell")) | ((_cell(rank) == F.col("p.last_cell")) & inner))
         copies = F.when(size > 0, F.col("p.whole") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
         return joined.select(*kept, size.alias("size"), F.col("p.source_size"), F.col("p.target"), copies.alias("copies"))
 
@@ -121,6 +127,20 @@ def _cell(rank: Column) -> Column:
     return F.floor(rank / (1 + rank) * CELLS)
 
 
+def _part(rank: Column) -> Column:
+    """The place within a cell, which is cut into as many parts as there are cells."""
+    place = rank / (1 + rank) * CELLS
+    return F.floor((place - F.floor(place)) * CELLS)
+
+
+def _reached(rows: DataFrame, cell: str, base: Column) -> DataFrame:
+    """``(source, cell, before)``: the cell in which a source's missing words are reached, and the words before it."""
+    cells = rows.groupBy("source", "missing", base.alias("base"), cell).agg(F.sum("size").alias("words"))
+    running = F.col("base") + F.sum("words").over(W.partitionBy("source").orderBy(cell))
+    last = cells.withColumn("up_to", running).where(F.col("up_to") >= F.col("missing"))
+    return cut(last.groupBy("source").agg(F.min(F.struct(cell, (F.col("up_to") - F.col("words")).alias("before"))).alias("at")).select("source", "at.*"), "mix-cells")
+
+
 def plan_mix(docs: DataFrame) -> Mix:
     """The plan for ``docs`` (doc_id, source, text).
 
@@ -137,21 +157,21 @@ def plan_mix(docs: DataFrame) -> Mix:
     plan = cut(plan.withColumn("per_word", F.when(F.col("damped") > 0, F.col("missing") / F.col("damped")).otherwise(0.0)), "mix-targets")
     joined = rows.where(F.col("size") > 0).alias("d").join(plan.where(F.col("missing") > 0).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     ranked = joined.select("p.source", "p.missing", F.col("d.size"), _key(F.col("d.doc_id")).alias("key"), _rank(F.col("d.size"), F.col("d.doc_id"), F.col("p.per_word")).alias("rank"))
-    ranked = ranked.withColumn("cell", _cell(F.col("rank")))
-    cells = ranked.groupBy("source", "missing", "cell").agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(W.partitionBy("source").orderBy("cell"))
-    last = cells.withColumn("up_to", running).where(F.col("up_to") >= F.col("missing"))
-    last = cut(last.groupBy("source").agg(F.min(F.struct("cell", (F.col("up_to") - F.col("words")).alias("before"))).alias("at")).select("source", "at.*"), "mix-cells")
-    edge = ranked.alias("r").join(last.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.cell") == F.col("l.cell"))).select("r.*", "l.before")
+    ranked = ranked.withColumns({"cell": _cell(F.col("rank")), "part": _part(F.col("rank"))})
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    last = _reached(ranked, "cell", F.lit(0))
+    edge = ranked.alias("r").join(last.alias("l"), same("r", "l") & (F.col("r.cell") == F.col("l.cell"))).select("r.*", "l.before")
+    inner = _reached(edge, "part", F.col("before"))
+    edge = edge.drop("before").alias("r").join(inner.alias("l"), same("r", "l") & (F.col("r.part") == F.col("l.part"))).select("r.*", "l.before")
     up_to = F.sum("size").over(W.partitionBy("source").orderBy("rank", "key").rowsBetween(W.unboundedPreceding, 0))
     taken = edge.withColumn("up_to", F.col("before") + up_to).where(F.col("up_to") - F.col("size") / 2 <= F.col("missing"))
     ends = taken.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("end")).select("source", F.col("end.rank").alias("last_rank"), F.col("end.key").alias("last_key"))
-    out = plan.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    return Mix(cut(out.select("p.*", F.col("l.cell").alias("last_cell"), "e.last_rank", "e.last_key"), "mix-plan"), rows)
+    out = plan.alias("p").join(last.alias("l"), same("p", "l"), "left").join(inner.alias("i"), same("p", "i"), "left").join(ends.alias("e"), same("p", "e"), "left")
+    return Mix(cut(out.select("p.*", F.col("l.cell").alias("last_cell"), F.col("i.part").alias("last_part"), "e.last_rank", "e.last_key"), "mix-plan"), rows)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves: each as many times as the mix has it, with the columns of ``docs``."""
+    """The mixed documents themselves: each as many times as the mix has it, side by side, with the columns of ``docs`` whatever their names."""
     names = [f"_phyllo_{i}" for i in range(len(docs.columns))]  # no column is lost to a name that the plan adds
     carried = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_phyllo_row"))
     taken = plan_mix(docs).apply(carried).where(F.col("copies") > 0)

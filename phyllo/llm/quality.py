@@ -236,8 +236,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` plus ``score`` and ``predicted``.
 
-    Only the text enters a score; a null or empty text is scored as the zero
-    vector. Every row of ``docs`` stays, with its own columns; an empty table
+    Only the text enters a score; it is read whole, however long, and a null or
+    empty text is scored as the zero vector. Equal texts have equal scores. Every
+    row of ``docs`` stays, repeated ones and those with a null id too, with its own columns; an empty table
     gives no rows, and without labels all rows score alike. Columns that are
     already called ``score`` or ``predicted`` are replaced.
     """

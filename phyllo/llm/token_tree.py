@@ -153,8 +153,13 @@ def edited_counts(docs: DataFrame, path: str | None = None, pattern: str = publi
     ``edits`` is an array of (at, until, new): the edits of a document in order,
     each in characters of the text as the ones before it left it; ends beyond the
     text are drawn in. Null edits or null texts count as none and as empty, a null
-    ``new`` as a deletion. Rows stand by themselves.
+    ``new`` as a deletion. Rows stand by themselves, so repeated rows and null ids
+    stay; texts are read whole, however long. Columns beside the three are ignored,
+    whatever their names; an empty table gives no rows. Only the default pattern is
+    taken, as ``CONTEXT`` holds for what it looks at behind a match.
     """
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("edited counts are right for the default pattern only")
     path = path or public_tokenizers.path(RANKS)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     names = ["doc_id", "n_tokens", "n_edits", "edited_tokens", "edited_chars", "edited_sha256", "pretokens_recounted"]

@@ -378,7 +378,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Null html is an empty payload. Rows that share the largest id are all
     responses; a group whose ids are all null has no revisits. Only digests that
     more than one row has are joined back, and Spark broadcasts them only where
-    their written size allows.
+    their written size allows. Payloads may be of any length; columns beside
+    page_id, url and html are ignored; an empty table gives no rows.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = F.concat(F.lit("own "), F.xxhash64("page_id", "url", payload).cast("string"))  # small pages have no partner, and no common key to crowd a task
