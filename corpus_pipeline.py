@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, mixing, tokens."""
+"""The corpus pipeline: quality, line dedup, near-dedup, mixing, tokens.
+
+Every stage takes and returns the columns of ``documents``, whatever further ones
+there are and whatever their names; but for the last, which has token counts and
+ids in the place of the text. Texts are read whole, however long. An empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +18,28 @@ from phyllo.session import cut
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; null and empty texts are scored like any other, repeated rows alike."""
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col("predicted") == 1).select(docs.columns)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines."""
+    """All documents, without cross-site boilerplate lines; a null text stays null, and one that is all boilerplate becomes empty."""
     return line_dedup.dedup_lines(docs).select(docs.columns)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, that of the smallest id; null and empty texts are one group, rows without an id stay."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; null and wordless texts have no words and are not taken."""
     return mixing.mix(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix; rows stand by themselves."""
     return bpe.encode(docs)
 
 
