@@ -506,3 +506,54 @@ def leaf_parameters(spark, sf):
     """Leaves that lie along the x axis, so that their axes are known: centroid, length, width and inclination."""
     p = read_table(spark, sf, "part").select(F.lit("p").alias("uid"), (F.col("p_partkey") % 5 + 1).cast("int").alias("instance_id"), F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return rounded(phenotype.leaf_parameters(p, 25.0).select("instance_id", "n_points", "cx", "length", "width", "inclination"))
+
+
+def _classes(spark, sf) -> DataFrame:
+    """Customers as points of five classes far apart, each a little off its middle."""
+    c = read_table(spark, sf, "customer")
+    spot = [F.when(F.col("c_nationkey") % 5 == i, 10.0).otherwise(0.0) + (F.col("c_custkey") * (i + 3) % 11) / 100 for i in range(5)]
+    return c.select(F.col("c_custkey").alias("vid"), F.array(*spot).alias("feat"), *[s.alias(n) for s, n in zip(spot, "xyz", strict=False)])
+
+
+def _by_smallest(df: DataFrame, cluster: str) -> DataFrame:
+    return df.join(df.groupBy(cluster).agg(F.min("vid").alias("_first")), cluster).select("vid", F.col("_first").alias("cluster"))
+
+
+CLASSES_SQL = "SELECT c_custkey AS vid, min(c_custkey) OVER (PARTITION BY c_nationkey % 5) AS cluster FROM customer"
+
+
+@query(CLASSES_SQL)
+def kmeans_classes(spark, sf):
+    return _by_smallest(features.kmeans_labels(_classes(spark, sf), 5), "cluster_id")
+
+
+@query(CLASSES_SQL)
+def auto_k_classes(spark, sf):
+    """The k of the best silhouette has to be the number of classes."""
+    return _by_smallest(features.auto_k(_classes(spark, sf).select("vid", "feat"), 2, 9)[2], "cluster_id")
+
+
+@query("SELECT c_custkey AS vid, min(c_custkey) OVER (PARTITION BY least(c_nationkey % 5, 3)) AS cluster FROM customer")
+def superpoint_classes(spark, sf):
+    """By three coordinates the last two classes are one."""
+    return _by_smallest(features.superpoints(_classes(spark, sf), 4), "sp")
+
+
+WIDE, HIGH = 120, 90
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS k, 20 + s_suppkey % 30 AS x0, 15 + s_suppkey % 20 AS y0, 10 + s_suppkey % 23 AS w, 8 + s_suppkey % 17 AS h FROM supplier), d AS (SELECT k, greatest(x0 - 7, 0) AS l, least(x0 + w + 7, {WIDE}) AS r, greatest(y0 - 7, 0) AS t, least(y0 + h + 7, {HIGH}) AS b FROM p),
+m AS (SELECT k, greatest(0, floor(l - (r - l) * 0.1::DOUBLE)) AS l, least({WIDE}, ceil(r + (r - l) * 0.1::DOUBLE)) AS r, greatest(0, floor(t - (b - t) * 0.1::DOUBLE)) AS t, least({HIGH}, ceil(b + (b - t) * 0.1::DOUBLE)) AS b FROM d),
+g AS (SELECT k, l, r, t, b, greatest(0, ceil((64 - (r - l)) / 2)) AS gx, greatest(0, ceil((64 - (b - t)) / 2)) AS gy FROM m)
+SELECT k AS image_id, CASE WHEN k % 5 > 0 THEN CAST(greatest(0, l - gx) AS BIGINT) END AS "left", CASE WHEN k % 5 > 0 THEN CAST(greatest(0, t - gy) AS BIGINT) END AS top, CASE WHEN k % 5 > 0 THEN CAST(least({WIDE}, r + gx) AS BIGINT) END AS "right", CASE WHEN k % 5 > 0 THEN CAST(least({HIGH}, b + gy) AS BIGINT) END AS bottom,
+CASE WHEN k % 5 > 0 THEN '' ELSE 'nothing is green' END AS reason FROM g""")
+def green_crops(spark, sf):
+    """Pictures of one green rectangle each, which opening and closing leave as it is and dilation widens by seven pixels; every fifth has none."""
+    k = F.col("s_suppkey")
+    x0, y0, w, h = 20 + k % 30, 15 + k % 20, 10 + k % 23, 8 + k % 17
+    row = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda x: F.when((x >= x0) & (x < x0 + w) & (k % 5 > 0), "28B432").otherwise("B4B4B4"))
+    blank = F.repeat(F.lit("B4B4B4"), WIDE)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(HIGH - 1)), lambda y: F.when((y >= y0) & (y < y0 + h), F.col("_row")).otherwise(blank))
+    s = read_table(spark, sf, "supplier").select("s_suppkey", F.array_join(row, "").alias("_row"))
+    pictures = s.select(k.alias("image_id"), F.lit(HIGH).alias("height"), F.lit(WIDE).alias("width"), F.unhex(F.array_join(rows, "")).alias("pixels"))
+    return images.green_crops(pictures)
