@@ -30,8 +30,8 @@ def fuse(main: DataFrame, fill: DataFrame, keep_q: float = 0.75, fill_q: float =
         at = lambda df, q: (group_quantiles(df.where(is_finite("d")), {"q": (F.col("d"), [q])}, ()).first()["q"] or [0.0])[0]
         keep_to = at(there, keep_q)
         fill_from = max(at(back, fill_q), keep_to)
-        kept = main.join(there.where(F.col("d") <= keep_to), vid, "left_semi")
-        extra = fill.join(back.where(F.col("d") > fill_from), vid, "left_semi")
+        kept = cut(main.join(there.where(F.col("d") <= keep_to), vid, "left_semi"), "fuse-kept")
+        extra = cut(fill.join(back.where(F.col("d") > fill_from), vid, "left_semi"), "fuse-extra")
     else:
         kept, extra = main, fill
     if extra.limit(most_fill + 1).count() > most_fill:

@@ -361,13 +361,17 @@ ht AS (SELECT * FROM px WHERE u >= 0 AND v >= 0 AND u < 128 AND v < 96 AND depth
 zb AS (SELECT *, min(depth) OVER (PARTITION BY view_id, v, u) AS front FROM ht)"""
 
 
-def _hits(spark, sf):
+def _points_and_views(spark, sf):
     e = events(spark, sf).select("uid", "vid", (F.col("x") - 250).alias("x"), (F.col("y") - 700).alias("y"), (F.col("z") + 400).alias("z"))
     half = 0.5**0.5
     poses = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [half, 0.0, 0.0, half]), (3, [0.0, 0.0, 0.0, 1.0])]
     images_ = spark.createDataFrame([(i, q, [0.0, 0.0, 0.0], 1, f"{i}.png") for i, q in poses], "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string")
     cameras = spark.createDataFrame([(1, 1, 128, 96, [100.0, 100.0, 64.0, 48.0])], "camera_id int, model_id int, width long, height long, params array<double>")
-    return views.project_points(e, views.views(images_, cameras), "trunc")
+    return e, views.views(images_, cameras)
+
+
+def _hits(spark, sf):
+    return views.project_points(*_points_and_views(spark, sf), "trunc")
 
 
 @query(f"WITH {VIEW_SQL} SELECT view_id, uid, count(*) AS n, round(avg(u), 2) AS u, round(avg(v), 2) AS v, round(avg(depth), 6) AS depth FROM ht GROUP BY ALL")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.functions import colors, scalars
-from phyllo.operators import aggregates, clustering, features, filters, images, metrics, phenotype, refine, spatial, views
+from phyllo.operators import aggregates, clustering, features, filters, fusion, images, metrics, phenotype, refine, spatial, views
 from phyllo.plans import pipelines
-from phyllo.plans.catalogue import EDGES_SQL, EMB_SQL, EVENTS_SQL, OVERLAP_SQL, PARTS_SQL, VIEW_SQL, _hits, events, parts, query, rounded, segments, vectors
+from phyllo.plans.catalogue import EDGES_SQL, EMB_SQL, EVENTS_SQL, OVERLAP_SQL, PARTS_SQL, VIEW_SQL, _hits, _points_and_views, events, parts, query, rounded, segments, vectors
 from phyllo.session import cut, read_table
 
 DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
@@ -557,3 +557,55 @@ def green_crops(spark, sf):
     s = read_table(spark, sf, "supplier").select("s_suppkey", F.array_join(row, "").alias("_row"))
     pictures = s.select(k.alias("image_id"), F.lit(HIGH).alias("height"), F.lit(WIDE).alias("width"), F.unhex(F.array_join(rows, "")).alias("pixels"))
     return images.green_crops(pictures)
+
+
+# Other ways of operators that have a query already.
+
+
+@query("""SELECT s_suppkey, 500.0::DOUBLE + s_suppkey % 5 AS fx, CASE WHEN s_suppkey % 5 IN (1, 4) THEN 600.0::DOUBLE ELSE 500.0::DOUBLE + s_suppkey % 5 END AS fy, CASE WHEN s_suppkey % 5 IN (1, 4) THEN 320.0::DOUBLE ELSE 600.0 END AS cx, CASE WHEN s_suppkey % 5 IN (1, 4) THEN 240.0::DOUBLE ELSE 320.0 END AS cy FROM supplier""")
+def intrinsics_of_models(spark, sf):
+    s = read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).cast("int").alias("m"))
+    k = scalars.intrinsics("m", F.array(F.lit(500.0) + F.col("m"), F.lit(600.0), F.lit(320.0), F.lit(240.0)))
+    return rounded(s.select("s_suppkey", k.alias("k")).select("s_suppkey", "k.*"))
+
+
+@query(f"""WITH {VIEW_SQL.split(", px AS")[0]}, rp AS (SELECT uid, vid, view_id, CAST(round_even(100 * cx / cz + 64, 0) AS BIGINT) AS u, CAST(round_even(100 * cy / cz + 48, 0) AS BIGINT) AS v, cz FROM cm WHERE cz > 0)
+SELECT view_id, uid, count(*) AS n, sum(u)::BIGINT AS u, sum(v)::BIGINT AS v FROM rp WHERE u >= 0 AND v >= 0 AND u < 127 AND v < 95 GROUP BY ALL""")
+def project_with_margin(spark, sf):
+    """Half-even pixels within the last row and column left out."""
+    found = views.project_points(*_points_and_views(spark, sf), "rint", 0.0, margin=1)
+    return found.groupBy("view_id", "uid").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v"))
+
+
+OFFSETS_SQL = "o AS (SELECT * FROM (VALUES (0, 0, -1), (1, -1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 1)) t(pass, dx, dy)), d AS (SELECT uid, vid, view_id, pass, u + dx AS u, v + dy AS v, depth FROM ht, o WHERE u + dx >= 0 AND v + dy >= 0 AND u + dx < 128 AND v + dy < 96)"
+
+
+@query(f"""WITH {VIEW_SQL}, {OFFSETS_SQL}, b AS (SELECT view_id, vid, row_number() OVER (PARTITION BY view_id, v, u ORDER BY depth, uid, vid) AS r FROM d), s AS (SELECT view_id, count(*) AS pixels, sum(vid % 256)::BIGINT AS red FROM b WHERE r = 1 GROUP BY view_id),
+p AS (SELECT view_id, v, u, pass, min(depth) AS m FROM d GROUP BY ALL), q AS (SELECT view_id, m, min(m) OVER (PARTITION BY view_id, v, u ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM p), h AS (SELECT view_id, count(*) FILTER (WHERE low IS NULL OR m < low) AS hit_count FROM q GROUP BY view_id)
+SELECT view_id, pixels, red, hit_count FROM s JOIN h USING (view_id)""")
+def splat_colors(spark, sf):
+    hits = cut(_hits(spark, sf), "hits")
+    shade = F.col("vid") % 256
+    canvas, counts = views.render(events(spark, sf).select("uid", "vid", shade.alias("red"), shade.alias("green"), shade.alias("blue")), hits, hits.select("view_id").distinct().withColumns({"width": F.lit(128), "height": F.lit(96)}), 1)
+    return canvas.groupBy("view_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("red").alias("red")).join(counts, "view_id")
+
+
+@query(f"""WITH {PARTS_SQL}, v AS (SELECT *, floor((x - min(x) OVER ()) / 10.0::DOUBLE) AS i, floor((y - min(y) OVER ()) / 10.0::DOUBLE) AS j, floor((z - min(z) OVER ()) / 10.0::DOUBLE) AS k FROM pt)
+SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, CAST(trunc(avg(vid % 256)) AS INTEGER) AS red FROM v GROUP BY i, j, k""")
+def voxel_colors(spark, sf):
+    return rounded(aggregates.voxel_downsample(parts(spark, sf).withColumn("red", F.col("vid") % 256), 10.0, colors=("red",)).drop("uid"))
+
+
+@query("SELECT l_orderkey AS vid, CAST(min(l_suppkey % 9) + 1 AS BIGINT) AS instance_id FROM lineitem GROUP BY l_orderkey")
+def assign_by_order(spark, sf):
+    cells = read_table(spark, sf, "lineitem").select(F.lit(1).alias("uid"), F.col("l_orderkey").alias("vid"), (F.col("l_suppkey") % 9).alias("rank"), F.lit(1.0).alias("score")).distinct()
+    return refine.assign_instances(cells, "order").select("vid", F.col("instance_id").cast("long").alias("instance_id"))
+
+
+@query(f"""WITH {PARTS_SQL}, a AS (SELECT * FROM pt WHERE vid % 2 = 0), b AS (SELECT * FROM pt WHERE vid % 2 = 1), pr AS (SELECT a.vid AS va, b.vid AS vb, {DIST} AS d FROM a, b), na AS (SELECT va, min(d) AS d FROM pr GROUP BY va), nb AS (SELECT vb, min(d) AS d FROM pr GROUP BY vb),
+k AS (SELECT quantile_cont(d, 0.75) AS k FROM na), f AS (SELECT greatest(quantile_cont(d, 0.35), (SELECT k FROM k)) AS f FROM nb) SELECT 'radegs' AS source, count(*) AS n FROM na, k WHERE d <= k UNION ALL SELECT 'gof', least(count(*), 7) FROM nb, f WHERE d > f""")
+def fuse_capped(spark, sf):
+    """No more than seven rows are filled in."""
+    p = cut(parts(spark, sf), "parts")
+    out, _ = fusion.fuse(p.where("vid % 2 = 0"), p.where("vid % 2 = 1"), most_fill=7)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
