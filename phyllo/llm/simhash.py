@@ -595,7 +595,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     crowds = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TREE_ROWS)).cast("int").alias("salt")
     members = cut(dealt.join(crowds, "band").select("band", "n", salt, "node", "size", "word"), "similar-members")
-    texts = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    shown = distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("key"))  # one row of a crowd of copies shows its text
+    texts = rows.alias("r").join(shown.alias("s"), (F.col("r.node") == F.col("s.node")) & F.col("r.key").eqNullSafe(F.col("s.key")), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(_sets(texts, words), "similar-sets")
     tried = cut(_first_pairs(members, similarity, radius), "similar-pairs")
     homes = connected_components(cut(_alike(tried, sets, similarity), "similar-links"))
