@@ -33,7 +33,7 @@ BUCKETS, WIDTH, NONZERO, REACH = 1 << 15, 64, 8, 2
 #: Labelled documents that the model is fitted on at most; every fifth of them calibrates.
 SAMPLE = 6000
 HIDDEN, EPOCHS, SEED = 32, 60, 7
-#: Tasks that the bounded sample is gathered in.
+#: Tasks that the bounded sample is read in. Each sends sums of BUCKETS x WIDTH to the driver, so there must not be more of them than this.
 FIT_TASKS = 4
 KEPT_WORDS = 300_000
 _CORE = re.compile(r"^[\W_]*(.*?)([\W_]*)$", re.S)
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     sample = cut(sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality")), "quality-sample")
-    sample = sample.repartition(FIT_TASKS, "doc_id")
+    sample = sample.coalesce(FIT_TASKS)
 
     def sums(batches):
         terms, index = Terms(), index_vectors()
