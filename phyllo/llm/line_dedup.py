@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phyllo.llm.arrow import map_batches
+from phyllo.llm.arrow import map_batches, put_back, set_aside
 from phyllo.llm.lines import hashed_lines, line_hash
 from phyllo.session import cut
 
@@ -104,6 +104,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
+def without_boilerplate(docs: DataFrame) -> DataFrame:
+    """``docs`` without boilerplate lines; only ``text`` and ``n_chars`` change, all other columns keep their values, whatever their names."""
+    used = ("doc_id", "source", "text", "n_chars")
+    return put_back(dedup_lines(set_aside(docs, used)), docs, used)
+
+
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of every document, lines removed from it, and the digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")

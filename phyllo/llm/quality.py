@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phyllo.llm.arrow import map_batches
+from phyllo.llm.arrow import map_batches, put_back, set_aside
 from phyllo.session import cut
 
 #: Buckets of terms, width of the vectors, non-zeros of an index vector, and places on each side that are context.
@@ -200,13 +200,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     """Word vectors and network from ``SAMPLE`` labelled documents that are not held out, those of the smallest id hash.
 
     Labels with a null id or quality are left out; of repeated labels of an id
-    the larger counts, of repeated documents one. The sample's bound also bounds
-    the broadcast of its ids and what the driver gathers.
+    the larger counts, of the texts of one id the smallest. The sample's bound also
+    bounds the broadcast of its ids and what the driver gathers.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = cut(sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality")), "quality-sample")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(F.col("quality").cast("int")).alias("quality"))
+    sample = cut(sample, "quality-sample")
     sample = sample.coalesce(FIT_TASKS)
 
     def sums(batches):
@@ -229,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "features"])
 
     table = map_batches(sample, features, "doc_id long, quality int, features binary").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    sent.destroy()
     x = np.frombuffer(b"".join(table["features"].to_pylist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
     return vectors, fit(x, np.array(table["quality"].to_pylist(), np.float64))
 
@@ -260,6 +262,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return map_batches(docs, run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns and values, whatever the names."""
+    scored = classify(set_aside(docs, ("doc_id", "text")), labels)
+    return put_back(scored.where(F.col("predicted") == 1), docs, ("doc_id", "text"))
+
+
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Score and class of every document, with whether its labels were held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -615,13 +615,21 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The document with the smallest ``doc_id`` of each component of ``similar_components``; of its repeated rows, one.
 
-    Rows with a null id stay. Null and wordless texts are near copies of each
-    other. All columns of ``docs`` are kept, whatever their names; an empty table
-    gives no rows.
+    A document is a row's id and text: unlike texts that share an id are
+    documents of their own, like ones are one group, of which the text with the
+    smallest hash stays. Of rows with equal id and text the one whose other
+    columns have the smallest hash stays, so reruns agree. Rows with a null id
+    stay. Null and wordless texts are near copies of each other. All columns of
+    ``docs`` are kept, whatever their names; an empty table gives no rows.
     """
-    labelled = similar_components(docs.select("doc_id", "text"), words, similarity).where(F.col("doc_id") == F.col("component_id"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(labelled.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    hashable = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("of_text")).alias("own"), F.xxhash64(*hashable).alias("order"), "text", row.alias("row"))
+    of_null = docs.where(F.col("doc_id").isNull())
+    every = named.select("own", "text").unionByName(of_null.select(F.lit(None).cast(named.schema["own"].dataType).alias("own"), "text"))
+    labelled = similar_components(every, words, similarity, key="own").where(F.col("own") == F.col("component_id"))
+    first = named.drop("text").join(labelled.select("own").distinct(), "own", "left_semi").groupBy("own").agg(F.min_by("row", "order").alias("row"))
+    return first.select(*[F.col(f"row._{i}").alias(c) for i, c in enumerate(docs.columns)]).unionByName(of_null)
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

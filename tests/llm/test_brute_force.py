@@ -150,14 +150,40 @@ def odd(spark):
 
 
 def test_the_stages_keep_columns_and_odd_rows(spark, sf, odd):
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    """Every row that a stage keeps has the values and types of its own columns, however they are called."""
+    own = [c for c in odd.columns if c not in ("doc_id", "text", "source", "n_chars")]
+    before = {tuple(r[c] for c in own) for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, sf)
-        assert out.columns == odd.columns and out.count() >= 0
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema], name
+        rows = out.collect()
+        assert rows or name == "quality classifier"
+        assert {tuple(r[c] for c in own) for r in rows} <= before, name
         assert stage(spark, odd.limit(0), sf).count() == 0
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, odd, sf).count() == odd.count() and last(spark, odd.limit(0), sf).count() == 0
 
 
+def test_stages_keep_values_of_clashing_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    taken = docs.selectExpr("*", "7.5D AS score", "concat('mine', doc_id) AS predicted", "concat('l', doc_id) AS n_lines", "doc_id * 2 AS n_removed", "'w' AS word", "doc_id AS node", "'r' AS row", "'o' AS own")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, taken, sf)
+        assert dict(out.dtypes) == dict(taken.dtypes), name
+        rows = out.collect()
+        assert rows and all((r["score"], r["predicted"], r["n_lines"], r["n_removed"], r["node"]) == (7.5, f"mine{r['doc_id']}", f"l{r['doc_id']}", 2 * r["doc_id"], r["doc_id"]) for r in rows), name
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    apart, like = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, apart, "x"), (7, like, "x"), (7, like, "y"), (7, like + " end", "z"), (9, like, "x"), (3, "other words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = {tuple(r) for r in simhash.keep_one(docs.repartition(4)).collect()}
+    assert len(got) == 3 and (7, apart, "x") in got and (3, "other words here", "x") in got and sum(t.startswith("b0") for _, t, _ in got) == 1
+    for n in (1, 2, 3):
+        assert {tuple(r) for r in simhash.keep_one(docs.repartition(n)).collect()} == got
+
+
 def test_keep_one_of_odd_rows(odd):
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect() if r["doc_id"] is not None}
     kept = [r["doc_id"] for r in simhash.keep_one(odd).select("doc_id").collect()]

@@ -320,12 +320,21 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
             seen.add(norm)
             lines.append(line)
         cleaned[i] = "\n".join(lines)
-    words = {i: simhash.fingerprint(t.encode(), 5) for i, t in cleaned.items()}
-    home = _components(set(words.values()), 6)
-    first = {}
-    for i in sorted(words):
-        first.setdefault(home[words[i]], i)
-    kept = sorted(first.values())
+    sets = {i: frozenset(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in cleaned.items()}
+    home = {i: i for i in sets}
+
+    def top(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    for j in sets:
+        for i in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                home[b] = a
+    kept = sorted({top(i) for i in sets})
     rows = spark.createDataFrame([(i, cleaned[i], table.set_index("doc_id").source[i]) for i in kept], "doc_id long, text string, source string")
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(rows).apply(rows).collect()}
     want = sorted((i, hashlib.sha256(cleaned[i].encode()).hexdigest()) for i in kept for _ in range(copies[i]))
