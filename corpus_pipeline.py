@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from phyllo.llm import bpe, line_dedup, mixing, quality, simhash
 from phyllo.session import cut
@@ -19,17 +18,16 @@ from phyllo.session import cut
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; null and empty texts are scored like any other, repeated rows alike."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("predicted") == 1).select(docs.columns)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without cross-site boilerplate lines; a null text stays null, and one that is all boilerplate becomes empty."""
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    return line_dedup.without_boilerplate(docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; null and empty texts are one group, rows without an id stay."""
+    """One document of each near-duplicate group, that of the smallest id; null and empty texts are one group, rows without an id stay, and so do unlike texts of one id."""
     return simhash.keep_one(docs)
 
 
