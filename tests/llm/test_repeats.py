@@ -37,7 +37,7 @@ def compared(spark, rows, length=20, **how):
     assert len(got) == len(rows)
     for n, (kept, gone) in enumerate(plain(rows, length)):
         assert got[n][:2] == (kept, gone), (n, rows[n][0])
-        assert got[n][2] == len(kept.split()) + gone and sum(s["stop"] - s["start"] for s in got[n][3]) == gone
+        assert got[n][2] == len(kept.encode().split()) + gone and sum(s["stop"] - s["start"] for s in got[n][3]) == gone
 
 
 def _texts(seed, n=60):
