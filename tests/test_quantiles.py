@@ -34,3 +34,15 @@ def test_quantiles_beside_rows(spark):
     assert {x["uid"]: (x["q"], x["n"]) for x in got} == {"a": ([100.0], 201), None: ([7.0], 1)}
     stats = {x["uid"]: (x["median"], x["mad"], x["n"]) for x in aggregates.mad_stats(df, "v").collect()}
     assert stats == {"a": (100.0, 50.0, 201), None: (7.0, 0.0, 1)}
+
+
+@pytest.mark.parametrize("odd", [[float("nan")], [float("inf")] * 7, [float("-inf")] * 9, [float("nan"), float("inf"), float("-inf")] * 5, [1.7e308, -1.7e308, 5e-324, 0.0, -0.0]])
+def test_values_that_no_bin_takes(spark, odd):
+    """Groups on both sides of the buffer's bound give what Spark's percentile gives, whatever the values."""
+    rows = [("a", float(i % 37)) for i in range(100)] + [("a", v) for v in odd] + [("b", v) for v in odd * 20] + [("c", None)] * 30 + [("d", 4.0)] * 30
+    df = spark.createDataFrame(rows, "uid string, v double").repartition(3)
+    qs = [0.0, 0.03, 0.25, 0.5, 0.77, 0.99, 1.0]
+    want = {r["uid"]: r["q"] for r in df.groupBy("uid").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
+    got = {r["uid"]: r["q"] for r in quantiles.group_quantiles(df, {"q": (F.col("v"), qs)}, most=10).collect()}
+    plain = lambda found: {k: v and [repr(x + 0.0) for x in v] for k, v in found.items()}  # noqa: E731  zeros have no sign
+    assert plain(got) == plain(want)
