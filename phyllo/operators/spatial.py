@@ -2,10 +2,8 @@
 
 Points are dealt to cubic cells of a grid within their group; whatever lies
 within one cell's width of a point is in the 27 cells around it, so a join on
-the cell is exact for that distance. Nearest neighbours start with cells that
-hold a few points on average; a point whose k-th neighbour is farther than a
-cell's width, or that found too few, goes on alone with wider cells. Only
-distances meet in joins; no group is ever gathered.
+the cell is exact for that distance. Nearest neighbours are found over a k-d tree.
+No group is ever gathered.
 """
 
 from __future__ import annotations
@@ -14,11 +12,9 @@ import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phyllo.operators.grouped import per_group
-from phyllo.session import cut
+from phyllo.operators import kdtree
 
 COORDS = ("x", "y", "z")
 
@@ -55,57 +51,19 @@ def radius_join(src: DataFrame, dst: DataFrame, radius: float | str, keys: tuple
     return pairs.where(F.col("d_") <= limit).select(*[F.col(f"s.{k}").alias(k) for k in keys], F.col(f"s.{vid}").alias("src"), F.col(f"d.{vid}").alias("dst"), F.col("d_").alias("d"))
 
 
-def knn_join(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", drop_self: bool = False, max_distance: float | None = None, per_cell: float = 2.0) -> DataFrame:
+def knn_join(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", drop_self: bool = False, max_distance: float | None = None, leaf: int = kdtree.LEAF) -> DataFrame:
     """``(*keys, src, dst, d, rank)``: the k nearest of ``dst`` for every point of ``src``, ties by the smaller vid; rank from 1.
 
     ``drop_self`` leaves out a partner with the point's own vid. With
     ``max_distance``, farther partners are left out. Points of a group with fewer
-    partners get what there is. Exact: a point is done when its k-th neighbour
-    lies within the width that its cells are sure of, or when they span the group.
+    partners get what there is; rows with a null or non-finite coordinate have
+    none and are none. Exact at any density, at a cost that points far out don't
+    raise: points are dealt to the leaves of a k-d tree (``kdtree``).
     """
     if not keys:
         one = F.lit(1).alias("_one")
-        return knn_join(src.select("*", one), dst.select("*", one), k, ("_one",), coords, vid, drop_self, max_distance, per_cell).drop("_one")
-    names, cells = list(keys), [f"_c{i}" for i in range(len(coords))]
-    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in coords])
-    slim = [*names, vid, *[F.col(c).cast("double").alias(c) for c in coords]]
-    to, todo = cut(dst.where(fine).select(*slim), "knn-dst"), cut(src.where(fine).select(*slim), "knn-src")
-    same = lambda a, b, cs=names: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs])
-    box = to.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_lo_{c}") for c in coords], *[F.max(c).alias(f"_hi_{c}") for c in coords])
-    seen = todo.groupBy(*names).agg(*[F.min(c).alias(f"_slo_{c}") for c in coords], *[F.max(c).alias(f"_shi_{c}") for c in coords])
-    extents = [F.col(f"_hi_{c}") - F.col(f"_lo_{c}") for c in coords]
-    reach = F.greatest(F.lit(1e-12), *[F.greatest(f"_hi_{c}", f"_shi_{c}") - F.least(f"_lo_{c}", f"_slo_{c}") for c in coords])
-    # The width at which a cell would hold per_cell * k points, were they spread evenly over the axes that have an extent.
-    volume = reduce(lambda a, b: a * b, [F.when(e > 0, e).otherwise(1.0) for e in extents])
-    axes = reduce(lambda a, b: a + b, [(e > 0).cast("int") for e in extents])
-    width = F.when(axes > 0, F.pow(volume * (per_cell * k) / F.col("_n"), 1.0 / F.greatest(axes, F.lit(1)))).otherwise(1.0)
-    plan = box.alias("b").join(seen.alias("f"), same("b", "f")).select(*[F.col(f"b.{c}").alias(c) for c in names], F.greatest(width, reach / 1e6).alias("_w0"), reach.alias("_reach"))
-    plan = cut(plan, "knn-plan")
-    done, scale = None, 1.0
-    while True:
-        w = F.least(F.col("_w0") * scale, F.col("_reach") * 1.0000001)
-        last = (w >= F.col("_reach")) if max_distance is None else (w >= F.least("_reach", F.lit(float(max_distance))))
-        wide = plan.select(*names, w.alias("_w"), last.alias("_last"), (w >= F.col("_reach")).alias("_all"))
-        dealt = lambda df: df.alias("p").join(wide.alias("w"), same("p", "w")).select("p.*", "w._w", "w._last", "w._all", *[c.alias(n) for c, n in zip([F.floor(F.col(f"p.{c}") / F.col("w._w")).cast("long") for c in coords], cells, strict=True)])  # noqa: E731, B023
-        s = dealt(todo).withColumn("_at", _near_cells(coords)).drop(*cells).select("*", "_at.*").drop("_at")
-        on = same("s", "d") & reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"d.{c}") for c in cells])
-        pairs = s.alias("s").join(dealt(to).alias("d"), on).withColumn("_d", _distance(coords))
-        if drop_self:
-            pairs = pairs.where(F.col(f"s.{vid}") != F.col(f"d.{vid}"))
-        if max_distance is not None:
-            pairs = pairs.where(F.col("_d") <= max_distance)
-        pairs = pairs.where((F.col("_d") <= F.col("s._w")) | F.col("s._all"))  # what the cells are sure of
-        pairs = pairs.select(*[F.col(f"s.{c}").alias(c) for c in names], F.col(f"s.{vid}").alias("src"), F.col(f"d.{vid}").alias("dst"), F.col("_d").alias("d"), F.col("s._last").alias("_last"))
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*names, "src").orderBy("d", "dst"))).where(F.col("rank") <= k)
-        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*names, "src")))
-        kept = cut(ranked.where(F.col("_last") | (F.col("_n") >= k)).select(*names, "src", "dst", "d", "rank"), "knn-round")
-        done = kept if done is None else done.unionByName(kept)
-        found = kept.where(F.col("rank") == 1).select(*names, F.col("src").alias(vid))
-        rest = todo.alias("p").join(found.alias("e"), same("p", "e", [*names, vid]), "left_anti")
-        todo = cut(rest.alias("p").join(wide.where(~F.col("_last")).alias("w"), same("p", "w"), "left_semi"), "knn-left")
-        if not todo.limit(1).count():
-            return done
-        scale *= 3.0
+        return knn_join(src.select("*", one), dst.select("*", one), k, ("_one",), coords, vid, drop_self, max_distance, leaf).drop("_one")
+    return kdtree.nearest(src, dst, k, keys, coords, vid, drop_self, max_distance, leaf)
 
 
 def nearest_join(src: DataFrame, dst: DataFrame, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", max_distance: float | None = None) -> DataFrame:
