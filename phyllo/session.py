@@ -30,7 +30,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with ``conf``, and with the settings above where neither ``conf`` nor the cluster names them.
 
     What ``spark-submit --conf``, ``spark-defaults.conf`` or a session that is
-    there already says stays as it is.
+    there already says stays as it is. The package is sent to the executors, so
+    operators with Python kernels run from any folder.
     """
     there = SparkSession.getActiveSession()
     builder = SparkSession.builder
@@ -48,6 +49,7 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         for key, value in (SESSION_CONF | (LOCAL_CONF if _in_one_process(spark.sparkContext.master) else {})).items():
             if not given.contains(key):
                 spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 

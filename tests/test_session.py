@@ -70,3 +70,20 @@ def test_cut_tables_go_when_no_plan_reads_them(spark):
             break
         time.sleep(0.2)
     assert path not in session._CUT and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_operators_run_from_any_folder(tmp_path):
+    """The README's example in a folder of its own, with the package on the driver's path only."""
+    code = """
+import sys
+sys.path.insert(0, %r)
+from phyllo.session import build_session
+from phyllo.operators import spatial
+spark = build_session("local[2]", **{"spark.ui.showConsoleProgress": "false"})
+df = spark.createDataFrame([("a", i, float(i), 0.0, 0.0) for i in range(20)], "uid string, vid long, x double, y double, z double")
+print("pairs", spatial.knn_join(df, df, 2, drop_self=True).count())
+""" % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "job.py").write_text(code)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "pairs 40" in done.stdout, done.stderr[-2000:]
