@@ -1,4 +1,4 @@
-"""k nearest neighbours over a sampled k-d partition.
+"""A sampled k-d partition of points, and k nearest neighbours over it.
 
 The partner points of every group are dealt to the leaves of a k-d tree. A node
 with too many points is split at medians of a bounded sample of it, over up to
@@ -167,6 +167,41 @@ def _searched(asking: DataFrame, partners: DataFrame, names: list[str], k: int,
     return both.mapInArrow(_near(k, len(names), drop_self), f"gid long, path long, src {kind}, dst {kind}, d double, place int")
 
 
+def deal(points: DataFrame, names: list[str], most: int = LEAF) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(``points`` with their leaf as ``path``, boxes of the roots, boxes of the nodes of each round) of ``(gid, path = 0, asks, vid, *names)``.
+
+    Only rows that don't ask fill the leaves. Boxes are ``(gid, path, n, lo0.., hi0..)``,
+    those of the rounds also have ``_up``, the node above, and ``open``: whether it is split again.
+    """
+    points = cut(points, "kd-dealt")
+    roots = cut(_boxes(points, names), "kd-boxes")
+    apart = reduce(lambda a, b: a | b, [F.col(f"lo{i}") < F.col(f"hi{i}") for i in range(len(names))])
+    open_, rounds = roots.where((F.col("n") > most) & apart), []
+    while not open_.isEmpty():
+        dealt, nodes = _split_round(points, open_, names, most, len(rounds))
+        points = cut(dealt, "kd-dealt")
+        fresh = _boxes(points.where(F.col("path") >= F.lit((len(rounds) + 1) << _ROUND_BITS)), names)
+        boxes = fresh.withColumn("base", F.col("path") - F.pmod("path", F.lit(_CHILDREN))).join(nodes.withColumnRenamed("path", "_up"), ["gid", "base"])
+        boxes = cut(boxes.withColumn("open", (F.col("n") > most) & apart), "kd-boxes")
+        rounds.append(boxes)
+        open_ = boxes.where("open")
+    return points, roots, rounds
+
+
+def descend(rows: DataFrame, rounds: list[DataFrame], n_coords: int, meets: Column) -> DataFrame:
+    """``rows`` ``(gid, path, ..)`` sent from their node down to every leaf all of whose boxes on the way meet a condition on ``lo0.., hi0.., _child``; ``path`` is then the leaf."""
+    out, here = [], rows
+    for number, boxes in enumerate(rounds):
+        sides = boxes.select("gid", F.col("_up").alias("path"), F.col("path").alias("_child"), "open", *[f"lo{i}" for i in range(n_coords)], *[f"hi{i}" for i in range(n_coords)])
+        met = here.join(sides, ["gid", "path"]).where(meets)
+        met = met.select(*[F.col("_child").alias(c) if c == "path" else F.col(c) for c in rows.columns], "open")
+        if number < len(rounds) - 1:
+            met = cut(met, "kd-met")
+        out.append(met.where("NOT open").drop("open"))
+        here = met.where("open").drop("open")
+    return reduce(DataFrame.unionByName, out)
+
+
 def nearest(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...], coords: tuple[str, ...], vid: str = "vid", drop_self: bool = False, max_distance: float | None = None, leaf: int = LEAF) -> DataFrame:
     """``(*keys, src, dst, d, rank)`` as ``spatial.knn_join`` has it; ``leaf``: points of a leaf at most."""
     names = [f"c{i}" for i in range(len(coords))]
@@ -179,18 +214,7 @@ def nearest(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...], coord
     points = rows.join(groups.select(F.col("of").alias("_of"), "gid"), F.col("of").eqNullSafe(F.col("_of"))).select("gid", F.lit(0).cast("long").alias("path"), "asks", "vid", *names)
     rounds: list[DataFrame] = []
     if not groups.where(F.col("n") > most).isEmpty():
-        points = cut(points, "knn-dealt")
-        boxes = cut(_boxes(points, names), "knn-boxes")
-        apart = reduce(lambda a, b: a | b, [F.col(f"lo{i}") < F.col(f"hi{i}") for i in range(len(names))])
-        open_ = boxes.where((F.col("n") > most) & apart)
-        while not open_.isEmpty():
-            dealt, nodes = _split_round(points, open_, names, most, len(rounds))
-            points = cut(dealt, "knn-dealt")
-            fresh = _boxes(points.where(F.col("path") >= F.lit((len(rounds) + 1) << _ROUND_BITS)), names)
-            boxes = fresh.withColumn("base", F.col("path") - F.pmod("path", F.lit(_CHILDREN))).join(nodes.withColumnRenamed("path", "_up"), ["gid", "base"])
-            boxes = cut(boxes.withColumn("open", (F.col("n") > most) & apart), "knn-boxes")
-            rounds.append(boxes)
-            open_ = boxes.where("open")
+        points, _, rounds = deal(points, names, most)
     partners = points.where("NOT asks")
     if rounds:
         # Of points whose coordinates all tie in an overfull leaf, the first by id stand for all.
@@ -215,15 +239,6 @@ def nearest(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...], coord
 
 def _cut_leaves(balls: DataFrame, rounds: list[DataFrame], names: list[str]) -> DataFrame:
     """``(gid, path, vid, reach, c..)``: a row for every leaf but the home that a ball cuts, found from the root of the tree down."""
-    out, here = [], balls
-    for number, boxes in enumerate(rounds):
-        sides = boxes.select("gid", F.col("_up").alias("path"), F.col("path").alias("_child"), "open", *[f"lo{i}" for i in range(len(names))], *[f"hi{i}" for i in range(len(names))])
-        off = [F.greatest(F.col(f"lo{i}") - F.col(c), F.col(c) - F.col(f"hi{i}"), F.lit(0.0)) for i, c in enumerate(names)]
-        reached = reduce(lambda a, b: a + b, [o * o for o in off]) <= F.col("reach") * F.col("reach") * (1 + 1e-9) + 1e-300
-        met = here.join(sides, ["gid", "path"]).where(reached & (F.col("_child") != F.col("home")))
-        met = met.select("gid", "home", F.col("_child").alias("path"), "vid", "reach", *names, "open")
-        if number < len(rounds) - 1:
-            met = cut(met, "knn-balls")
-        out.append(met.where("NOT open").drop("open", "home"))
-        here = met.where("open").drop("open")
-    return reduce(DataFrame.unionByName, out)
+    off = [F.greatest(F.col(f"lo{i}") - F.col(c), F.col(c) - F.col(f"hi{i}"), F.lit(0.0)) for i, c in enumerate(names)]
+    reached = reduce(lambda a, b: a + b, [o * o for o in off]) <= F.col("reach") * F.col("reach") * (1 + 1e-9) + 1e-300
+    return descend(balls, rounds, len(names), reached & (F.col("_child") != F.col("home"))).drop("home")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phyllo.functions.scalars import base_name, intrinsics, is_finite, project, shift_camera, to_pixel
+from phyllo.functions.scalars import base_name, intrinsics, is_finite, project, rotation, shift_camera, to_pixel
+from phyllo.operators import kdtree
 from phyllo.operators.aggregates import front_surface
 from phyllo.operators.filters import in_frame
 
@@ -20,18 +23,65 @@ def views(images: DataFrame, cameras: DataFrame) -> DataFrame:
     return joined.select(F.col("image_id").alias("view_id"), "name", *q, *t, intrinsics("model_id", "params").alias("k"), "width", "height")
 
 
-def project_points(points: DataFrame, view: DataFrame, rounding: str = "rint", near: float = 1e-6, margin: int = 0, coords: tuple[str, ...] = COORDS, keys: tuple[str, ...] = ("uid", "vid")) -> DataFrame:
+def _frustum(near: float, margin: int) -> Column:
+    """Planes ``(a0, a1, a2, b)`` of a view, inside where ``a . p + b >= 0``: in front, and between the picture's edges, a pixel wider for the rounding."""
+    r, t, k = rotation([F.col(f"q{i}") for i in range(4)]), [F.col(f"t{i}") for i in range(3)], F.col("k")
+
+    def plane(scale: Column, axis: int, offset: Column) -> Column:
+        """``scale`` times a camera axis plus ``offset`` times the depth."""
+        parts = [scale * a + offset * z for a, z in zip([*r[axis], t[axis]], [*r[2], t[2]], strict=True)]
+        return F.struct(*[p.alias(n) for p, n in zip(parts, ("a0", "a1", "a2", "b"), strict=True)])
+
+    front = F.struct(*[r[2][i].alias(f"a{i}") for i in range(3)], (t[2] - F.lit(float(near))).alias("b"))
+    if near < 0:
+        return F.array(front)  # behind the camera the edges change sides
+    edges = [(k["fx"], 0, k["cx"], F.col("width")), (k["fy"], 1, k["cy"], F.col("height"))]
+    low = [plane(f, axis, c + 1) for f, axis, c, _ in edges]
+    high = [plane(-f, axis, size - margin + 1 - c) for f, axis, c, size in edges]
+    return F.array(front, *low, *high)
+
+
+def _in_view() -> Column:
+    """Whether a box ``lo0.., hi0..`` has a point inside all ``planes``, or rounding leaves that open."""
+
+    def reaches(plane: Column) -> Column:
+        ends = [(plane[f"a{i}"] * F.col(f"lo{i}"), plane[f"a{i}"] * F.col(f"hi{i}")) for i in range(3)]
+        best = sum((F.greatest(a, b) for a, b in ends), plane["b"])
+        size = sum((F.greatest(F.abs(a), F.abs(b)) for a, b in ends), F.abs(plane["b"]))
+        return best >= -1e-9 * size
+
+    return F.forall("planes", reaches)
+
+
+def seen_cells(view: DataFrame, roots: DataFrame, rounds: list[DataFrame], near: float = 1e-6, margin: int = 0) -> DataFrame:
+    """``view`` with ``gid`` and ``path`` of every leaf of a k-d partition whose box is not wholly outside of the view's frustum, found from the root down."""
+    whole = view.withColumns({"planes": _frustum(near, margin), "gid": F.lit(0).cast("long"), "path": F.lit(0).cast("long")})
+    boxes = roots.select("gid", "path", *[f"{end}{i}" for i in range(3) for end in ("lo", "hi")])
+    start = whole.join(boxes, ["gid", "path"]).where(_in_view()).select(whole.columns)
+    return (kdtree.descend(start, rounds, 3, _in_view()) if rounds else start).drop("planes")
+
+
+def project_points(points: DataFrame, view: DataFrame, rounding: str = "rint", near: float = 1e-6, margin: int = 0, coords: tuple[str, ...] = COORDS, keys: tuple[str, ...] = ("uid", "vid"), cell: int = kdtree.LEAF) -> DataFrame:
     """``(*keys, view_id, u, v, depth)`` of every point in every view that has it in front and in frame.
 
-    Every point meets every view by the meaning of the operation; the views of a
-    plant are tens to hundreds of rows, and Spark sends them to the points only
-    within its own size limit for that.
+    Points are dealt to cells of about ``cell`` of them, the leaves of a k-d tree.
+    A view meets only the cells whose box its frustum cuts, so points are
+    projected where they may be seen, and no product of points and views is made.
+    Points with a null or non-finite coordinate are in no view.
     """
-    crossed = points.select(*keys, *[F.col(c).cast("double").alias(c) for c in coords]).join(view)
-    u, v, depth = project([F.col(c) for c in coords], [F.col(f"q{i}") for i in range(4)], [F.col(f"t{i}") for i in range(3)], F.col("k"))
-    seen = crossed.select(*keys, "view_id", u.alias("_u"), v.alias("_v"), depth.alias("depth"), "width", "height").where(is_finite("_u") & is_finite("_v") & (F.col("depth") > near))
-    pixels = seen.select(*keys, "view_id", to_pixel(F.col("_u"), rounding).alias("u"), to_pixel(F.col("_v"), rounding).alias("v"), "depth", "width", "height")
-    return pixels.where(in_frame(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height"), near, margin)).select(*keys, "view_id", "u", "v", "depth")
+    spots = [F.col(c).cast("double") for c in coords]
+    fine = reduce(lambda a, b: a & b, [F.coalesce(is_finite(s), F.lit(False)) for s in spots])
+    names = [f"c{i}" for i in range(3)]
+    own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    rows = points.where(fine).select(F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("path"), F.lit(False).alias("asks"), own.alias("vid"), *[s.alias(n) for s, n in zip(spots, names, strict=True)])
+    dealt, roots, rounds = kdtree.deal(rows, names, cell)
+    slim = view.select("view_id", *[F.col(f"q{i}") for i in range(4)], *[F.col(f"t{i}") for i in range(3)], "k", "width", "height")
+    met = dealt.select("gid", "path", "vid", *names).join(seen_cells(slim, roots, rounds, near, margin), ["gid", "path"])
+    u, v, depth = project([F.col(n) for n in names], [F.col(f"q{i}") for i in range(4)], [F.col(f"t{i}") for i in range(3)], F.col("k"))
+    seen = met.select("vid", "view_id", u.alias("_u"), v.alias("_v"), depth.alias("depth"), "width", "height").where(is_finite("_u") & is_finite("_v") & (F.col("depth") > near))
+    pixels = seen.select("vid", "view_id", to_pixel(F.col("_u"), rounding).alias("u"), to_pixel(F.col("_v"), rounding).alias("v"), "depth", "width", "height")
+    inside = pixels.where(in_frame(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height"), near, margin))
+    return inside.select(*[F.col(f"vid.k{i}").alias(c) for i, c in enumerate(keys)], "view_id", "u", "v", "depth")
 
 
 def masks_of_images(images: DataFrame, masks: DataFrame, how: str = "stem", order: str = "image_id") -> DataFrame:
