@@ -5,15 +5,13 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import is_finite, relabel_contiguous
 from phyllo.operators.aggregates import bounding_box, largest_clusters, mad_stats, mean_std, sample_rows
-from phyllo.operators.components import connected_components
+from phyllo.operators.components import connected_components, smallest_reaching
 from phyllo.operators.grouped import per_group
 from phyllo.operators.quantiles import group_quantiles
 from phyllo.operators.spatial import COORDS, knn_join, nearest_centroid, nearest_join, radius_join
@@ -24,10 +22,10 @@ def _same(a: str, b: str, names) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
 
 
-def _components_in_groups(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _components_in_groups(edges: DataFrame, keys: tuple[str, ...], of=connected_components) -> DataFrame:
     """``(*keys, vid, component)`` of ``(*keys, src, dst)`` edges, components numbered by their smallest vid."""
     node = lambda c: F.struct(*keys, F.col(c).alias("vid"))
-    found = connected_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
+    found = of(edges.select(node("src").alias("src"), node("dst").alias("dst")))
     return found.select("node.*", F.col("component.vid").alias("component"))
 
 
@@ -217,29 +215,12 @@ def largest_component(df: DataFrame, radius: float = 0.03, label: str = "label",
     return relabel_contiguous(cut(out, "components"), label, keys) if renumber else out
 
 
-def _directed_scan(neighbours: list[list[int]]) -> list[int]:
-    """Components by depth-first walks over directed edges, begun in the order of the rows."""
-    home = [-1] * len(neighbours)
-    found = 0
-    for start in range(len(neighbours)):
-        if home[start] >= 0:
-            continue
-        home[start], stack = found, [start]
-        while stack:
-            for other in neighbours[stack.pop()]:
-                if home[other] < 0:
-                    home[other] = found
-                    stack.append(other)
-        found += 1
-    return home
-
-
 def scan_components(df: DataFrame, radius: float | str, cap: int = 16, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", ordered: bool = False) -> DataFrame:
     """``(*keys, label, vid, part)``: components of each label over edges to the ``cap`` nearest within ``radius``; ``part`` is the smallest vid.
 
-    By default edges count in both directions, which joins alone can follow. With
-    ``ordered`` the walk follows directed edges in row order, group by group in
-    one task each, as is right only for groups that fit there.
+    By default edges count in both directions. With ``ordered`` they are followed
+    as they are directed, from the rows in ascending order: a row falls to the
+    smallest row that reaches it.
     """
     groups = (*keys, label)
     rows = df.where(F.col(label) > 0)
@@ -249,21 +230,9 @@ def scan_components(df: DataFrame, radius: float | str, cap: int = 16, label: st
         pairs = pairs.alias("p").join(limits.alias("l"), _same("p", "l", (*groups, "src"))).where(F.col("p.d") <= F.col("l._r")).select("p.*")
     else:
         pairs = pairs.where(F.col("d") <= radius)
-    if not ordered:
-        edges = pairs.select(*groups, "src", "dst").unionByName(rows.select(*groups, F.col(vid).alias("src"), F.col(vid).alias("dst")))
-        return _components_in_groups(edges, groups).select(*groups, F.col("vid").alias(vid), F.col("component").alias("part"))
-    near = pairs.groupBy(*groups, "src").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda s: s["dst"]).alias("_near"))
-    lists = rows.select(*groups, F.col(vid).alias("src")).alias("r").join(near.alias("n"), _same("r", "n", (*groups, "src")), "left").select("r.*", F.coalesce("n._near", F.array()).alias("_near"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("src").reset_index(drop=True)
-        at = {v: i for i, v in enumerate(pdf["src"])}
-        home = np.array(_directed_scan([[at[v] for v in near] for near in pdf["_near"]]), dtype=np.int64)
-        first = pdf.groupby(home)["src"].min()
-        return pdf[[*groups]].assign(**{vid: pdf["src"], "part": [first[h] for h in home]})
-
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*groups, vid))
-    return lists.groupBy(*groups).applyInPandas(walk, f"{types}, part long")
+    edges = pairs.select(*groups, "src", "dst").unionByName(rows.select(*groups, F.col(vid).alias("src"), F.col(vid).alias("dst")))
+    homes = _components_in_groups(edges, groups, smallest_reaching if ordered else connected_components)
+    return homes.select(*groups, F.col("vid").alias(vid), F.col("component").alias("part"))
 
 
 def split_labels(df: DataFrame, radius: float | str, least: int, cap: int = 16, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:

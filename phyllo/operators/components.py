@@ -1,4 +1,4 @@
-"""Connected components of an undirected edge table."""
+"""Components of edge tables: connected ones, and those of a scan along directed edges."""
 
 from __future__ import annotations
 
@@ -34,3 +34,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = lowered.select("node", "component")
         if not moved:
             return labels
+
+
+def smallest_reaching(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` for every node of ``edges``: the smallest node from which directed edges lead to it, itself included.
+
+    These are the components of a scan that begins at every unvisited node in
+    ascending order and walks along edges to unvisited nodes: whatever an earlier
+    start reaches it has already visited, so a node falls to the smallest that
+    reaches it at all. A round hands every node's label along its edges, and to
+    each node the label of its label, so long chains take few rounds. Labels meet
+    through joins and pre-aggregated minima. Rows with a null end are dropped.
+    """
+    ways = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna().distinct(), "ways")
+    nodes = ways.select(F.col("a").alias("node")).union(ways.select("b")).distinct()
+    labels = cut(nodes.withColumn("component", F.col("node")), "reached")
+    while True:
+        up = labels.select(F.col("node").alias("up"), F.col("component").alias("above"))
+        grand = labels.join(up, F.col("component") == F.col("up")).select("node", F.col("above").alias("low"))
+        handed = ways.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("component").alias("low")).select(F.col("b").alias("node"), "low")
+        lowered = grand.unionByName(handed).groupBy("node").agg(F.min("low").alias("component"))
+        lowered = cut(lowered.join(labels.withColumnRenamed("component", "was"), "node"), "reached")
+        moved = not lowered.where(F.col("component") != F.col("was")).isEmpty()
+        labels = lowered.select("node", "component")
+        if not moved:
+            return labels

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.functions.scalars import relabel_contiguous, safe_div
+from phyllo.operators.aggregates import numbered
 from phyllo.operators.clustering import _same
 from phyllo.operators.components import connected_components
 from phyllo.operators.filters import drop_small_labels
+from phyllo.operators.grouped import per_group
 from phyllo.operators.spatial import COORDS, knn_join
 from phyllo.session import cut
 
@@ -76,25 +78,34 @@ def mask_overlaps(cells: DataFrame, keys: tuple[str, ...] = ("uid",), mask: str
 def nms_masks(cells: DataFrame, scores: DataFrame, threshold: float, keys: tuple[str, ...] = ("uid",), mask: str = "mask_id", vid: str = "vid") -> DataFrame:
     """``(*keys, mask, score, rank)`` of the masks kept: by falling score (of equals by id), those whose IoU with every kept one is below the threshold.
 
-    Points are only counted by joins; the walk sees one row for each mask of a
-    group with the masks that it clashes with.
+    Points are only counted by joins. Masks are decided in rounds: one that no
+    undecided mask before it clashes with is kept, and all that clash with it go.
+    So the rounds are as many as the longest chain of clashing masks that fall in
+    score, however many masks a group has. Null scores come last.
     """
-    clash = mask_overlaps(cells, keys, mask, vid).where(F.col("iou") >= threshold)
-    clash = clash.unionByName(clash.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "iou"))
-    lists = clash.groupBy(*keys, F.col("a").alias(mask)).agg(F.collect_list("b").alias("_with"))
-    rows = scores.select(*keys, mask, F.col("score").cast("double").alias("score")).join(lists, [*keys, mask], "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", mask], ascending=[False, True], kind="stable")
-        kept: list = []
-        for i, with_ in zip(pdf[mask], pdf["_with"], strict=True):
-            if with_ is None or not set(with_) & set(kept):
-                kept.append(i)
-        out = pdf[pdf[mask].isin(kept)][[*keys, mask, "score"]]
-        return out.assign(rank=np.arange(len(out), dtype=np.int64))
-
-    types = ", ".join(f"`{c}` {scores.schema[c].dataType.simpleString()}" for c in (*keys, mask))
-    return rows.groupBy(*keys).applyInPandas(walk, f"{types}, score double, rank long")
+    node = lambda c: F.struct(*keys, F.col(c).alias("m"))
+    valued = scores.select(*keys, mask, F.col("score").cast("double").alias("score"))
+    order = F.struct(-F.coalesce("score", F.lit(float("-inf"))), F.col(mask))
+    open_ = cut(valued.select(node(mask).alias("node"), order.alias("order")), "nms-open")
+    clash = mask_overlaps(cells, keys, mask, vid).where(F.col("iou") >= threshold).select(node("a").alias("a"), node("b").alias("b"))
+    of = lambda end: open_.select(F.col("node").alias(end), F.col("order").alias(f"of_{end}"))
+    both = clash.join(of("a"), "a").join(of("b"), "b")
+    before = F.col("of_a") < F.col("of_b")
+    edges = cut(both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("then")), "nms-edges")
+    open_, kept = open_.select("node"), []
+    while True:
+        free = cut(open_.join(edges.select(F.col("then").alias("node")), "node", "left_anti"), "nms-kept")
+        kept.append(free)
+        gone = edges.join(free.withColumnRenamed("node", "first"), "first", "left_semi").select(F.col("then").alias("node")).distinct()
+        decided = cut(free.unionByName(gone), "nms-decided")
+        edges = edges.join(decided.withColumnRenamed("node", "first"), "first", "left_anti").join(decided.withColumnRenamed("node", "then"), "then", "left_anti")
+        edges = cut(edges, "nms-edges")
+        open_ = cut(open_.join(decided, "node", "left_anti"), "nms-open")
+        if open_.isEmpty():
+            break
+    chosen = valued.withColumn("_node", node(mask)).join(reduce(DataFrame.unionByName, kept).withColumnRenamed("node", "_node"), "_node", "left_semi").drop("_node")
+    placed = cut(numbered(chosen.withColumn("_by", F.struct(*keys, order.alias("order"))), "_by", "_at"), "nms-placed")
+    return per_group(placed, {"_first": F.min("_at")}, keys).select(*keys, mask, "score", (F.col("_at") - F.col("_first")).alias("rank"))
 
 
 def assign_instances(cells: DataFrame, mode: str = "score", keys: tuple[str, ...] = ("uid",), vid: str = "vid") -> DataFrame:

@@ -316,8 +316,6 @@ def test_features(spark):
     pts = cloud(spark, [(0, 0, 0), (1, 0, 0), (10, 0, 0), (0, 10, 0)])
     ranks = {x["rank"]: x["vid"] for x in features.farthest_points(pts, 3, 0).collect()}
     assert len(set(ranks.values())) == 3 and {2, 3} & set(ranks.values())
-    assert features.average_linkage(np.array([[0, 0.1, 5], [0.1, 0, 5], [5, 5, 0]]), np.ones((3, 3), bool), 0.6).tolist() == [0, 0, 1]
-    assert features.average_linkage(np.full((2, 2), 0.1), np.zeros((2, 2), bool), 0.6).tolist() == [0, 1]
 
 
 def test_superpoints(spark):
