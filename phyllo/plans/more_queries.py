@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllo.functions import colors, scalars
-from phyllo.operators import aggregates, clustering, features, filters, fusion, images, metrics, phenotype, refine, spatial, views
+from phyllo.operators import aggregates, clustering, features, filters, fusion, images, kmeans, metrics, phenotype, refine, spatial, views
 from phyllo.plans import pipelines
 from phyllo.plans.catalogue import EDGES_SQL, EMB_SQL, EVENTS_SQL, OVERLAP_SQL, PARTS_SQL, VIEW_SQL, _hits, _points_and_views, events, parts, query, rounded, segments, vectors
 from phyllo.session import cut, read_table
@@ -428,6 +428,13 @@ def split_components(spark, sf):
     return clustering.split_labels(_thirds(spark, sf), 12.0, 10).select("vid", F.col("label").cast("int").alias("label"))
 
 
+@query(f"""WITH RECURSIVE {PARTS_SQL}, lb AS (SELECT *, vid % 3 + 1 AS label FROM pt), kn AS (SELECT a.vid AS src, b.vid AS dst, a.label, {DIST} AS d, row_number() OVER (PARTITION BY a.vid ORDER BY {DIST}, b.vid) AS r FROM lb a JOIN lb b ON a.label = b.label AND a.vid <> b.vid),
+rc AS (SELECT vid AS s, vid AS v FROM lb UNION SELECT rc.s, kn.dst FROM rc JOIN kn ON kn.src = rc.v AND kn.r <= 2 AND kn.d <= 15) SELECT v AS vid, min(s) AS part FROM rc GROUP BY v""")
+def ordered_components(spark, sf):
+    """Directed edges to the two nearest of the same label: a row falls to the smallest row that reaches it."""
+    return clustering.scan_components(_thirds(spark, sf), 15.0, 2, ordered=True).select("vid", "part")
+
+
 @query(f"""WITH RECURSIVE {PARTS_SQL}, m AS (SELECT * FROM pt WHERE vid % 2 = 0), ed AS (SELECT a.vid AS src, b.vid AS dst FROM m a, m b WHERE {DIST} <= 20), sd AS (SELECT vid FROM m ORDER BY pow(x - 25, 2) + pow(y - 1000, 2) + pow(z - 50, 2), vid LIMIT 1), rc AS (SELECT vid FROM sd UNION SELECT ed.dst FROM rc JOIN ed ON ed.src = rc.vid) SELECT vid FROM rc""")
 def prompt_component(spark, sf):
     return clustering.prompt_component(parts(spark, sf).where("vid % 2 = 0"), (25.0, 1000.0, 50.0), 20.0).select("vid")
@@ -609,3 +616,33 @@ def fuse_capped(spark, sf):
     p = cut(parts(spark, sf), "parts")
     out, _ = fusion.fuse(p.where("vid % 2 = 0"), p.where("vid % 2 = 1"), most_fill=7)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+STEP_K, STEP_COUNT = 550, 20
+STEP_SQL = f"""f AS (SELECT l_orderkey * 8 + l_linenumber AS vid, l_partkey % {STEP_K} AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y, l_tax::DOUBLE * 100 AS z FROM lineitem),
+c AS (SELECT g, arg_min(x, vid) AS x, arg_min(y, vid) AS y, arg_min(z, vid) AS z FROM f GROUP BY g), nr AS (SELECT f.vid, f.x, f.y, f.z, min({{d: (f.x - c.x) * (f.x - c.x) + (f.y - c.y) * (f.y - c.y) + (f.z - c.z) * (f.z - c.z), g: c.g}}) AS best FROM f, c GROUP BY ALL)"""
+
+
+def _step_rows(spark, sf):
+    """Lines as points, and one line of each of 550 groups of parts as its centre."""
+    rows = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("vid"), (F.col("l_partkey") % STEP_K).alias("g"), F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000, F.col("l_tax").cast("double") * 100).alias("feat"))
+    first = rows.groupBy("g").agg(F.min_by("feat", "vid").alias("feat")).orderBy("g").collect()  # k rows
+    return rows, kmeans.Centres([r["feat"] for r in first], [STEP_COUNT] * len(first)), [r["g"] for r in first]
+
+
+@query(f"""WITH {STEP_SQL}, m AS (SELECT best.g AS g, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM nr GROUP BY best.g)
+SELECT CAST(c.g AS BIGINT) AS centre, CAST({STEP_COUNT} + coalesce(n, 0) AS BIGINT) AS n, round(({STEP_COUNT} * c.x + coalesce(m.x, 0)) / ({STEP_COUNT} + coalesce(n, 0)), 6) AS x, round(({STEP_COUNT} * c.y + coalesce(m.y, 0)) / ({STEP_COUNT} + coalesce(n, 0)), 6) AS y, round(({STEP_COUNT} * c.z + coalesce(m.z, 0)) / ({STEP_COUNT} + coalesce(n, 0)), 6) AS z FROM c LEFT JOIN m USING (g)""")
+def kmeans_step(spark, sf):
+    """One step of mini-batch k-means at k = 550 over all lines: where the centres, with counts of 20 before, move."""
+    rows, centres, names = _step_rows(spark, sf)
+    moved, _ = kmeans.step(rows, centres)
+    table = [(int(g), int(n), *map(float, v)) for g, n, v in zip(names, moved.counts, moved.values, strict=True)]
+    return rounded(spark.createDataFrame(table, "centre long, n long, x double, y double, z double"))
+
+
+@query(f"WITH {STEP_SQL} SELECT vid, CAST(p.place AS INTEGER) AS place, CAST(best.g AS BIGINT) AS centre FROM nr JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place FROM c) p ON p.g = nr.best.g")
+def kmeans_assigned(spark, sf):
+    """The nearest of the 550 centres for every line."""
+    rows, centres, names = _step_rows(spark, sf)
+    named = kmeans.assign(rows.select("vid", "feat"), centres, out="place")
+    return named.select("vid", "place", F.element_at(F.array(*[F.lit(int(g)).cast("long") for g in names]), F.col("place") + 1).alias("centre"))
