@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from phyllo.llm.arrow import map_batches
 
-#: The key of the test runs, and the session's setting that names another one.
-KEY = b"phyllo-test-key"
-KEY_SETTING = "spark.phyllo.pii.key"
+#: The session's setting that names the key. It has "secret" in its name, so Spark's pages and logs don't show it.
+KEY_SETTING = "spark.phyllo.pii.secret"
+#: Only for the registered query, whose tables hold made-up values, where the session names no key.
+QUERY_KEY = b"key of the query over made-up values"
 ROUNDS = 10
 KINDS = ["email", "phone", "card", "ip", "ssn", "iban", "date"]
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
@@ -115,7 +116,7 @@ def _refill(form: str, chars: str) -> str:
 class Pseudonyms:
     """Finds valid personal values and replaces them."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.permute = Feistel(key)
 
     def _digits(self, digits: str, kind: str) -> str:
@@ -136,9 +137,16 @@ class Pseudonyms:
         spelled = iter(reversed(new))
         return "".join(next(spelled) if c in _PLACE else c for c in text)
 
+    def _uncased(self, text: str, kind: str) -> str:
+        """As ``_spelled``, but for the same spelling in lower case; capitals stay where they are."""
+        low = "".join(c.lower() if c.lower() in _PLACE else c for c in text)
+        return "".join(n.upper() if c != x and len(n.upper()) == 1 else n for c, x, n in zip(text, low, self._spelled(low, kind), strict=True))
+
     def email(self, found: str) -> str | None:
+        """Name and host are permuted, each by itself, so addresses of one host keep one host; the last label stays."""
         name, _, host = found.rpartition("@")
-        return f"{self._spelled(name, 'email')}@{host}"
+        labels, _, top = host.rpartition(".")
+        return f"{self._uncased(name, 'email')}@{self._uncased(labels, 'host')}.{top}"
 
     def phone(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
@@ -222,8 +230,8 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, plus ``n_pii`` and a count for each kind (``n_email`` and so on).
 
-    Without a key, the session's ``KEY_SETTING`` names it, or else it is that of
-    the tests. A null text stays null with counts of 0, an empty one empty; texts
+    Without a key, the session's ``KEY_SETTING`` names it; without that either this
+    raises. A null text stays null with counts of 0, an empty one empty; texts
     are read whole, however long. Rows stand by themselves, so equal values get
     equal pseudonyms in any row, partition or run with the same key, and repeated
     rows stay. ``n_chars``, where there is one, follows the text. Columns that are
@@ -231,7 +239,9 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """
     if key is None:
         named = docs.sparkSession.conf.get(KEY_SETTING, None)
-        key = named.encode() if named else KEY
+        if not named:
+            raise ValueError(f"pseudonyms need a key: pass one or set {KEY_SETTING}")
+        key = named.encode()
     docs = docs.drop("n_pii", *(f"n_{k}" for k in KINDS))
     kept = list(docs.columns)
     at = kept.index("text")
@@ -258,6 +268,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
 
 
 def op10_feistel_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document with its personal values replaced, and their counts."""
+    """Every document with its personal values replaced, and their counts; by the session's key, or else by ``QUERY_KEY``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    named = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(docs, named.encode() if named else QUERY_KEY).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))

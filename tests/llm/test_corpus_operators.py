@@ -289,9 +289,9 @@ def test_warc(spark):
 
 
 def test_pii(docs, empty, spark):
-    assert pii.pseudonymise(empty).count() == 0 and pii.pseudonymise(docs).count() == len(ROWS)
+    assert pii.pseudonymise(empty, b"tests").count() == 0 and pii.pseudonymise(docs, b"tests").count() == len(ROWS)
     rows = spark.createDataFrame([(1, "call +1 (017) 555-7713 now", 26), (2, "+1 (017) 555-7713", 17), (3, None, None), (4, "plain", 5)], "doc_id long, text string, n_chars int")
-    got = by_id(pii.pseudonymise(rows))
+    got = by_id(pii.pseudonymise(rows, b"tests"))
     assert got[1]["text"] == f"call {got[2]['text']} now" and got[1]["n_phone"] == 1 and got[3]["text"] is None and got[4]["text"] == "plain" and got[4]["n_pii"] == 0
 
 

@@ -158,7 +158,7 @@ def test_feistel_is_a_permutation():
 
 
 def test_pseudonyms():
-    s = pii.Pseudonyms()
+    s = pii.Pseudonyms(b"tests")
     text = "a.1@b.example, +1 (017) 555-7713 4111 1111 1111 1111 4111111111111111 192.168.0.1 123-45-6789 GB82 WEST 1234 5698 7654 32 2024-02-29 29/02/2024"
     new, counts = s.replace(text)
     assert counts == {"email": 1, "phone": 1, "card": 2, "ip": 1, "ssn": 1, "iban": 1, "date": 2}

@@ -17,7 +17,7 @@ from phyllo.llm.pii import Pseudonyms
     ],
 )
 def test_forms_of_a_phone_number_get_one_pseudonym(code, forms):
-    change = Pseudonyms()
+    change = Pseudonyms(b"tests")
     got = [change.replace(f"call {f} now") for f in forms]
     assert all(counts == {"phone": 1} and form not in text for form, (text, counts) in zip(forms, got, strict=True))
     digits = {re.sub(r"\D", "", text) for text, _ in got}

@@ -1,6 +1,7 @@
 """Finding and refilling of personal values over generated spellings, against a plain model."""
 
 import datetime
+import hashlib
 import random
 import re
 
@@ -28,7 +29,7 @@ def _phones():
 
 
 def test_every_spelling_of_a_phone_number_is_replaced_alike():
-    change, seen = Pseudonyms(), {}
+    change, seen = Pseudonyms(b"tests"), {}
     for forms in _phones():
         news = set()
         for form in forms:
@@ -42,7 +43,7 @@ def test_every_spelling_of_a_phone_number_is_replaced_alike():
 
 
 def test_dates_keep_their_width_and_stay_linked():
-    change = Pseudonyms()
+    change = Pseudonyms(b"tests")
     for _ in range(400):
         day = datetime.date.fromordinal(R.randrange(pii.FIRST_DAY.toordinal(), pii.LAST_DAY.toordinal() + 1))
         y, m, d = day.year, day.month, day.day
@@ -61,7 +62,7 @@ def test_dates_keep_their_width_and_stay_linked():
 
 @pytest.mark.parametrize("kind", ["card", "ssn", "ip", "iban"])
 def test_valid_values_become_other_valid_values(kind):
-    change, seen = Pseudonyms(), {}
+    change, seen = Pseudonyms(b"tests"), {}
     for _ in range(150):
         if kind == "card":
             body = DIGITS(15)
@@ -89,7 +90,7 @@ def test_valid_values_become_other_valid_values(kind):
 
 
 def test_what_fails_its_check_stays():
-    change = Pseudonyms()
+    change = Pseudonyms(b"tests")
     for _ in range(100):
         body = DIGITS(15)
         wrong = body + str((pii.luhn_digit(body) + R.randint(1, 9)) % 10)
@@ -101,7 +102,7 @@ def test_what_fails_its_check_stays():
 def test_long_texts_and_the_key_of_the_session(spark):
     long = "words +1 555 123 4567 and more. " * 20_000
     df = spark.createDataFrame([(1, long), (2, "+15551234567"), (3, None), (4, "")], "doc_id long, text string").withColumn("n_pii", df_lit())
-    rows = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(df, b"tests").collect()}
     assert rows[1]["n_phone"] == 20_000 and len(rows[1]["text"]) == len(long) and rows[4]["text"] == "" and rows[3]["text"] is None and rows[4]["n_pii"] == 0
     assert re.sub(r"\D", "", rows[1]["text"][:28]) == rows[2]["text"][1:]
     spark.conf.set(pii.KEY_SETTING, "another key " * 20)
@@ -116,3 +117,63 @@ def df_lit():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_mail_addresses_link_whatever_their_case():
+    s = Pseudonyms(b"tests")
+    one, other, third = (s.replace(t)[0] for t in ("Mia.Roy7@Mail-Host.example.org", "mia.roy7@mail-host.EXAMPLE.org", "zoe@mail-host.example.org"))
+    assert one.lower() == other.lower() and one != other and one[0].isupper() and one.endswith(".org")
+    assert "mail-host" not in one.lower() and "example" not in one.lower()
+    assert third.partition("@")[2] == other.partition("@")[2].lower()
+
+
+def test_no_key_no_pseudonyms(spark):
+    with pytest.raises(ValueError, match="secret"):
+        pii.pseudonymise(spark.createDataFrame([(1, "a@b.example")], "doc_id long, text string"))
+
+
+def _plain_feistel(key, value, bound, tweak):
+    """The permutation written out: an a x b grid over the bound, ten keyed rounds in turn on row and column, on while outside."""
+    a = next(x for x in range(max(1, int(bound**0.5) - 2), bound + 1) if x * x >= bound)
+    b = -(-bound // a)
+    while True:
+        at = [value // b, value % b]
+        for step in range(10):
+            side = step % 2
+            seen = at[1 - side]
+            said = bytes([step]) + len(tweak).to_bytes(2, "big") + tweak + seen.to_bytes(max(1, -(-seen.bit_length() // 8)), "big")
+            at[side] = (at[side] + int(hashlib.blake2b(said, key=key, digest_size=32).hexdigest(), 16)) % (a, b)[side]
+        value = at[0] * b + at[1]
+        if value < bound:
+            return value
+
+
+def test_op10_equals_a_plain_version(spark, sf):
+    """The query against texts gone through one by one: what it replaces, with what, and that nothing else changes."""
+    feistel = pii.Feistel(b"k")
+    for bound in (2, 7, 90, 365, 1000):
+        assert [feistel(v, bound, b"t") for v in range(bound)] == [_plain_feistel(b"k", v, bound, b"t") for v in range(bound)]
+    sf = sf.replace("sf0.001", "sf0.01")
+    got = {r["doc_id"]: r for r in pii.op10_feistel_pii(spark, sf).collect()}
+    forward, backward = {}, {}
+    mail, phone = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}(?!\w)")
+    kept = lambda c: c if not c.isalnum() else "x"
+    for row in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        old, r = row["text"] or "", got[row["doc_id"]]
+        new = r["text"] or ""
+        if not r["n_pii"]:
+            assert old == new
+        mails, phones = mail.findall(old), phone.findall(old)
+        assert r["n_email"] == len(mails) and r["n_phone"] >= len(phones)
+        pairs = [*zip(mails, mail.findall(new), strict=True), *zip(phones, phone.findall(new), strict=True)]
+        for a, b in pairs:
+            assert a != b and [*map(kept, a)] == [*map(kept, b)]
+            assert forward.setdefault(a, b) == b and backward.setdefault(b, a) == a
+        if r["n_ip"] == 0:
+            assert [*map(kept, old)] == [*map(kept, new)]
+        assert r["text_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+    assert len(forward) > 10
+    for a, b in forward.items():
+        if a[0] == "+":
+            digits = re.sub(r"\D", "", a)[1:]
+            assert re.sub(r"\D", "", b) == "1" + str(_plain_feistel(pii.QUERY_KEY, int(digits), 10**10, b"phone110")).zfill(10)
