@@ -185,9 +185,10 @@ def shift_camera(model: Column | str, params: Column | str, left: Column, top: C
     return F.transform(params, lambda v, i: F.when(i == F.floor(place / 100), v - left).when(i == place % 100, v - top).otherwise(v))
 
 
-def frame_schedule(start: int, end: int, n: int) -> Column:
+def frame_schedule(start: Column | int, end: Column | int, n: int) -> Column:
     """Indices of ``n`` frames spread evenly from ``start`` to ``end``, rounded half to even."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(F.lit(float(start)) + i * F.lit(float(end - start)) / F.lit(float(max(n - 1, 1)))).cast("long"))
+    low, high = (v.cast("double") if isinstance(v, Column) else F.lit(float(v)) for v in (start, end))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(low + i * (high - low) / F.lit(float(max(n - 1, 1)))).cast("long"))
 
 
 def label_from_float(c: Column | str) -> Column:

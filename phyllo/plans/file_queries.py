@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import functools
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phyllo.operators import images, metrics
+from phyllo.operators import aggregates, images, metrics
 from phyllo.plans.catalogue import OVERLAP_SQL, PARTS_SQL, parts, query, rounded, segments
 from phyllo.plans.more_queries import _pictures, _pixel_sql
 from phyllo.session import cut, read_table, shared_path
@@ -135,13 +134,13 @@ def feature_files(spark, sf):
     return read_table(spark, sf, "supplier").select("s_suppkey", scalars.feature_file(uid).alias("file"))
 
 
-@query("SELECT 'one.ply' AS source_ply, n_nationkey AS click, CAST(n_regionkey AS BIGINT) AS label FROM nation")
+@query("SELECT 'one.ply' AS source_ply, s_suppkey AS click, CAST(s_nationkey AS BIGINT) AS label FROM supplier")
 def click_files(spark, sf):
+    """Metadata of a click for each supplier, a file each, written by the tasks and read back."""
     folder = shared_path(spark, "clicks")
-    n = read_table(spark, sf, "nation")
-    for row in n.select("n_nationkey", "n_regionkey").toLocalIterator():
-        stores.write_whole(f"{folder}/{row[0]}.json", b'{"source_ply": "one.ply", "click": %d, "label": %d}' % tuple(row))
-    return arrays.read_clicks(spark, f"{folder}/*.json").select("source_ply", F.col("click").cast("int").alias("click"), "label")
+    said = F.to_json(F.struct(F.lit("one.ply").alias("source_ply"), F.col("s_suppkey").alias("click"), F.col("s_nationkey").alias("label")))
+    stores.write_each(read_table(spark, sf, "supplier").select(F.concat(F.lit(f"{folder}/"), "s_suppkey", F.lit(".json")).alias("path"), said.alias("raw")))
+    return arrays.read_clicks(spark, f"{folder}/*.json").select("source_ply", F.col("click").cast("long").alias("click"), "label")
 
 
 @query(f"WITH {_pixel_sql('x')}, {_pixel_sql('y', 3)} SELECT x.s_name AS name, 12 AS height, 12 AS width, round(avg(x.g), 6) AS mean, round(20 * log10(1 / sqrt(avg((x.g - y.g) * (x.g - y.g)))), 6) AS psnr FROM x JOIN y ON y.k = x.k AND y.i = x.i AND y.j = x.j GROUP BY x.s_name")
@@ -156,23 +155,23 @@ def picture_files(spark, sf):
     return rounded(images.psnr(both, ("name",)).join(sizes, "name"))
 
 
-@query("SELECT n_name AS name, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey + 0.5::DOUBLE END AS train_time_sec, round(sum(octet_length(encode('x' || chr(10) || CASE WHEN n_nationkey % 5 > 0 THEN 'TRAIN_TIME_SEC=' || n_nationkey || '.5' ELSE 'none' END || chr(10)))) OVER () / 1048576.0::DOUBLE, 6) AS folder_mb FROM nation")
+@query("SELECT 'run_' || s_suppkey AS name, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey + 0.5::DOUBLE END AS train_time_sec, round(sum(octet_length(encode('x' || chr(10) || CASE WHEN s_suppkey % 5 > 0 THEN 'TRAIN_TIME_SEC=' || s_suppkey || '.5' ELSE 'none' END || chr(10)))) OVER () / 1048576.0::DOUBLE, 6) AS folder_mb FROM supplier")
 def log_files(spark, sf):
-    folder = shared_path(spark, "logs")
-    for row in read_table(spark, sf, "nation").select("n_nationkey", "n_name").toLocalIterator():
-        said = f"TRAIN_TIME_SEC={row[0]}.5" if row[0] % 5 else "none"
-        stores.write_whole(f"{folder}/{row[1]}.log", f"x\n{said}\n".encode())
+    """A log for each supplier, written by the tasks; what it says, and the size of them all."""
+    folder, k = shared_path(spark, "logs"), F.col("s_suppkey")
+    said = F.when(k % 5 > 0, F.concat(F.lit("TRAIN_TIME_SEC="), k, F.lit(".5"))).otherwise("none")
+    stores.write_each(read_table(spark, sf, "supplier").select(F.concat(F.lit(f"{folder}/run_"), k, F.lit(".log")).alias("path"), F.concat(F.lit("x\n"), said, F.lit("\n")).alias("raw")))
     name = F.regexp_extract("path", r"([^/]+)\.log$", 1)
     return rounded(arrays.train_time(spark, folder).select(name.alias("name"), "train_time_sec").withColumn("folder_mb", F.lit(arrays.dir_size_mb(spark, folder))))
 
 
-@query("SELECT n_name || '.ply' AS name, CAST(n_nationkey + 1 AS BIGINT) AS length, n_nationkey < 20 AS alone FROM nation")
+@query("SELECT s_name || '.ply' AS name, CAST(s_suppkey % 50 + 1 AS BIGINT) AS length, s_suppkey % 5 < 4 AS alone FROM supplier")
 def found_files(spark, sf):
     """Files of a folder by their ending, and which of them are the only one of their key."""
-    folder = shared_path(spark, "found")
-    for row in read_table(spark, sf, "nation").select("n_nationkey", "n_name").toLocalIterator():
-        stores.write_whole(f"{folder}/{row[0] if row[0] < 20 else 20}/{row[1]}.ply", b"x" * (row[0] + 1))
-        stores.write_whole(f"{folder}/{row[1]}.txt", b"y")
+    folder, s = shared_path(spark, "found"), read_table(spark, sf, "supplier")
+    key = F.when(F.col("s_suppkey") % 5 < 4, F.col("s_suppkey")).otherwise(10**9)
+    stores.write_each(s.select(F.concat(F.lit(f"{folder}/"), key, F.lit("/"), "s_name", F.lit(".ply")).alias("path"), F.repeat(F.lit("x"), (F.col("s_suppkey") % 50 + 1).cast("int")).alias("raw")))
+    stores.write_each(s.select(F.concat(F.lit(f"{folder}/"), "s_name", F.lit(".txt")).alias("path"), F.lit("y").alias("raw")))
     there = files.list_files(spark, folder, "*.ply").withColumn("uid", F.regexp_extract("path", r"/(\d+)/[^/]+$", 1))
     one, _ = files.only_match(there)
     return there.join(one.select("uid", F.lit(True).alias("alone")), "uid", "left").select("name", "length", F.coalesce("alone", F.lit(False)).alias("alone"))
@@ -223,7 +222,7 @@ def partitioned_instances(spark, sf):
     folder = shared_path(spark, "instances")
     p = read_table(spark, sf, "part").select(F.col("p_brand").alias("uid"), (F.col("p_size") % 4).cast("int").alias("instance_id"), F.col("p_partkey").alias("vid"))
     summary = arrays.write_partitioned(p, folder)
-    places = spark.createDataFrame([(*r, i) for i, r in enumerate(summary.select("uid", "instance_id").toLocalIterator(), 1)], "uid string, instance_id int, place int")
+    places = aggregates.numbered(summary.withColumn("_by", F.struct(-F.col("n_points"), "uid", "instance_id")), "_by", "place").select("uid", "instance_id", (F.col("place") + 1).cast("int").alias("place"))
     counts = spark.read.parquet(folder).groupBy("uid", "instance_id").agg(F.count(F.lit(1)).alias("n_points"))
     return counts.join(places, ["uid", "instance_id"]).select("uid", "instance_id", "n_points", "place")
 
@@ -237,14 +236,15 @@ def metric_files(spark, sf):
     return rounded(kept("csv", arrays.read_metrics(spark, [f"{folder}/csv"])).union(kept("json", spark.read.json(f"{folder}/json"))))
 
 
-@query("SELECT 1 + row_number() OVER (ORDER BY n_nationkey) AS at, '| ' || n_name || ' | ' || n_nationkey || '.5 | ' || CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END || ' |' AS line FROM nation UNION ALL SELECT 0, '| name | m | n |' UNION ALL SELECT 1, '| --- | --- | --- |'")
+@query("SELECT 1 + row_number() OVER (ORDER BY s_suppkey) AS at, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_suppkey || '.5 | ' || CASE WHEN s_nationkey > 5 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END || ' |' AS line FROM supplier UNION ALL SELECT 0, '| k | name | m | n |' UNION ALL SELECT 1, '| --- | --- | --- | --- |'")
 def markdown_rows(spark, sf):
-    n = read_table(spark, sf, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("name"), (F.col("n_nationkey") + F.lit(0.5)).alias("m"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n"))
-    lines = arrays.markdown_table(n).splitlines()
-    return spark.createDataFrame(pa.table({"at": pa.array(range(len(lines)), pa.int64()), "line": lines}).to_pandas())
+    """A summary table of all suppliers as a file, read back line by line."""
+    path, k = shared_path(spark, "table") + "/summary.md", F.col("s_suppkey")
+    arrays.write_markdown(read_table(spark, sf, "supplier").select(k.alias("k"), F.col("s_name").alias("name"), (k + F.lit(0.5)).alias("m"), F.when(F.col("s_nationkey") > 5, F.col("s_nationkey")).alias("n")), path, "k")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
+    return lines.select(F.col("at").cast("long").alias("at"), "line")
 
 
-@query(f"WITH {OVERLAP_SQL} SELECT gt, " + ", ".join(f"round(max(iou) FILTER (WHERE pred = {p}), 6) AS P{p}" for p in range(1, 10)) + " FROM iou WHERE uid = 0 GROUP BY gt")
+@query(f"WITH {OVERLAP_SQL} SELECT uid, gt, " + ", ".join(f"round(max(iou) FILTER (WHERE pred = {p}), 6) AS P{p}" for p in range(1, 10)) + " FROM iou GROUP BY uid, gt")
 def matrix_rows(spark, sf):
-    iou = metrics.iou_matrix(segments(spark, sf).where("uid = 0"))
-    return rounded(metrics.matrix_csv(iou))
+    return rounded(metrics.matrix_csv(metrics.iou_matrix(segments(spark, sf)), keys=("uid",)))

@@ -96,9 +96,11 @@ def nested_json(spark, sf):
     return read_table(spark, sf, "customer").groupBy("c_nationkey").agg(scalars.nested_json("c_custkey", "c_mktsegment").alias("rows"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(round_even(3 + i * (n - 3)::DOUBLE / 39, 0) AS BIGINT) AS frame FROM (SELECT 700 AS n), (SELECT unnest(range(0, 40)) AS i)")
+@query("SELECT s_suppkey AS video, CAST(i AS INTEGER) AS i, CAST(round_even(s_suppkey % 10 + i * (500 + s_suppkey - s_suppkey % 10)::DOUBLE / 39, 0) AS BIGINT) AS frame FROM supplier, (SELECT unnest(range(0, 40)) AS i)")
 def frame_schedule(spark, sf):
-    return spark.range(1).select(F.posexplode(scalars.frame_schedule(3, 700, 40)).alias("i", "frame"))
+    """Forty frames of a video for each supplier, from its first to its last."""
+    k = F.col("s_suppkey")
+    return read_table(spark, sf, "supplier").select(k.alias("video"), F.posexplode(scalars.frame_schedule(k % 10, k + 500, 40)).alias("i", "frame"))
 
 
 @query(f"WITH {PARTS_SQL} SELECT vid, vid % 5 AS label FROM pt WHERE vid % 10 < 9")
@@ -318,11 +320,11 @@ def prompt_points(spark, sf):
     return rounded(refine.prompt_points(boxes, skeleton))
 
 
-@query("""WITH m AS (SELECT s_suppkey % 10 AS view_id, s_suppkey AS rank, s_suppkey % 9 + 2 AS side, s_suppkey // 10 AS place FROM supplier WHERE s_suppkey < 100), k AS (SELECT view_id, rank, side, place, row_number() OVER (PARTITION BY view_id ORDER BY rank) AS leaf_id FROM m WHERE side * side >= 15 AND side * side <= 0.06 * 60 * 140)
+@query("""WITH m AS (SELECT s_suppkey // 100 * 10 + s_suppkey % 10 AS view_id, s_suppkey AS rank, s_suppkey % 9 + 2 AS side, s_suppkey % 100 // 10 AS place FROM supplier), k AS (SELECT view_id, rank, side, place, row_number() OVER (PARTITION BY view_id ORDER BY rank) AS leaf_id FROM m WHERE side * side >= 15 AND side * side <= 0.06 * 60 * 140)
 SELECT view_id, CAST(y AS BIGINT) AS v, CAST(place * 12 + x AS BIGINT) AS u, CAST(leaf_id AS INTEGER) AS leaf_id FROM k, (SELECT unnest(range(0, 60)) AS y), (SELECT unnest(range(0, 12)) AS x) WHERE y < side AND x < side""")
 def painted_leaves(spark, sf):
     """Squares side by side, each with five pixels and more of a skeleton that has many others: those of a fitting size are painted in their order."""
-    m = read_table(spark, sf, "supplier").where("s_suppkey < 100").select((F.col("s_suppkey") % 10).alias("view_id"), F.col("s_suppkey").alias("rank"), (F.col("s_suppkey") % 9 + 2).alias("side"), F.floor(F.col("s_suppkey") / 10).alias("place"))
+    m = read_table(spark, sf, "supplier").select((F.floor(F.col("s_suppkey") / 100) * 10 + F.col("s_suppkey") % 10).alias("view_id"), F.col("s_suppkey").alias("rank"), (F.col("s_suppkey") % 9 + 2).alias("side"), F.floor(F.col("s_suppkey") % 100 / 10).alias("place"))
     axis = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)).alias(c)
     pixels = m.select("*", axis("v")).select("*", axis("x")).select("view_id", "rank", "v", (F.col("place") * 12 + F.col("x")).alias("u"))
     rest = m.select("view_id").distinct().select("view_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(139).cast("long"))).alias("u")).select("view_id", F.explode(F.sequence(F.lit(20).cast("long"), F.lit(59).cast("long"))).alias("v"), "u")

@@ -7,11 +7,14 @@ import os
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
+from phyllo.operators.aggregates import numbered
 from phyllo.session import cut
 from phyllo.sources.stores import opened, write_joined, write_whole
 
@@ -232,9 +235,21 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.coalesce(1).write.mode(mode).json(os.path.join(path, "json"))
 
 
-def markdown_table(df: DataFrame) -> str:
-    """A summary table of metric rows: numbers with six significant digits, nothing for nulls."""
-    rows = df.toLocalIterator()
-    show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
+@F.pandas_udf(StringType())
+def _six_digits(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: f"{x:.6g}", na_action="ignore")
+
+
+def markdown_lines(df: DataFrame, order: str) -> DataFrame:
+    """``(at, line)`` of a summary table in the order of a column without ties: numbers with six significant digits, nothing for nulls."""
+    show = lambda c, kind: F.coalesce(_six_digits(F.col(c).cast("double")) if kind in ("float", "double") else F.col(c).cast("string"), F.lit(""))
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    lines = numbered(df.select(F.col(order).alias("_by"), row([show(c, k) for c, k in df.dtypes]).alias("line")), "_by", "at")
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "| " + " | ".join("---" for _ in df.columns) + " |")], "at long, line string")
+    return head.unionByName(lines.select((F.col("at") + 2).alias("at"), "line"))
+
+
+def write_markdown(df: DataFrame, path: str, order: str) -> int:
+    """A summary table as a file, which one task writes; its size."""
+    lines = markdown_lines(df, order)
+    return write_joined(lines.select("at", F.concat("line", F.lit("\n")).cast("binary").alias("raw")), path, b"")

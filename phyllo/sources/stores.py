@@ -47,6 +47,30 @@ def write_whole(path: str, data: bytes) -> None:
         out.write(data)
 
 
+def write_each(files: DataFrame, path: str = "path", raw: str = "raw") -> int:
+    """Write every row's binary as a file of its own, by the tasks that hold the rows; how many there are.
+
+    A file is written under another name and moved into place, so a task that runs
+    again leaves the same files. Of rows with one path, one's data stays.
+    """
+
+    def run(batches):
+        n = 0
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                system, inner = store(name)
+                system.create_dir(posixpath.dirname(inner), recursive=True)
+                own = f"{posixpath.dirname(inner)}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(own, compression=None) as out:
+                    out.write(data.as_buffer())
+                system.move(own, inner)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    done = files.select(F.col(path).alias("path"), F.col(raw).cast("binary").alias("raw")).mapInArrow(run, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_joined(parts: DataFrame, path: str, head: bytes, at: str = "at", raw: str = "raw") -> int:
     """Write ``head`` and the binaries of ``parts`` in the order of ``at`` as one file; the bytes written.
 
