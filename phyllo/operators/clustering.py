@@ -201,12 +201,27 @@ def sampled_dbscan_filter(df: DataFrame, eps: float, min_points: int, most: int,
     return out if out.limit(1).count() else df
 
 
+def radius_components(df: DataFrame, radius: float, keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid") -> DataFrame:
+    """``(*keys, vid, component)`` over steps of at most ``radius``; component is the smallest vid.
+
+    These are density clusters in which every point is core: the points of a cell
+    are one node, and touching cells are tried by their outermost points first. So
+    a crowd within the radius makes no more rows than it has points. Rows with a
+    null or non-finite coordinate are in no component.
+    """
+    own = [f"_of{i}" for i in range(len(keys))]  # a key may be called like what density clusters add
+    slim = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(vid).alias("vid"), *coords)
+    labels = cut(dbscan(slim, radius, 1, tuple(own), coords, "vid").where("is_core"), "radius-components")
+    found = per_group(labels, {"component": F.min("vid")}, (*own, "label"))
+    return found.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "vid", "component")
+
+
 def largest_component(df: DataFrame, radius: float = 0.03, label: str = "label", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", least: int = 150, renumber: bool = False) -> DataFrame:
     """Labels with the rows outside of an instance's largest component set to 0; instances of fewer than ``least`` rows, and components of no more, go. ``renumber``: those kept count from 1."""
     groups = (*keys, label)
     rows = df.where(F.col(label) > 0)
     sized = per_group(rows, {"_n": F.count(F.lit(1))}, groups).where(F.col("_n") >= least)
-    homes = cut(_components_in_groups(radius_join(sized, sized, radius, groups, coords, vid), groups), "components")
+    homes = cut(radius_components(sized, radius, groups, coords, vid).select(*groups, "vid", "component"), "components")
     counts = homes.groupBy(*groups, "component").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*groups).agg(F.max(F.struct("n", -F.col("component"))).alias("b")).where(F.col("b.n") > least).select(*groups, (-F.col("b.col2")).alias("component"))
     kept = homes.alias("h").join(best.alias("b"), _same("h", "b", (*groups, "component")), "left_semi").select(*keys, F.col("vid").alias(vid), F.lit(True).alias("_k"))
@@ -263,7 +278,7 @@ def prompt_component(df: DataFrame, prompt: tuple[float, ...], radius: float, ke
     """Of a mask's rows, those connected over steps of ``radius`` with the row nearest to the prompt."""
     away = reduce(lambda a, b: a + b, [F.pow(F.col(c).cast("double") - p, F.lit(2)) for c, p in zip(coords, prompt, strict=True)])
     seed = df.groupBy(*keys).agg(F.min(F.struct(away.alias("d"), F.col(vid).alias("v"))).alias("_s")).select(*keys, F.col("_s.v").alias("vid"))
-    homes = cut(_components_in_groups(radius_join(df, df, radius, keys, coords, vid), keys), "prompt")
+    homes = cut(radius_components(df, radius, keys, coords, vid), "prompt")
     chosen = homes.alias("h").join(seed.alias("s"), _same("h", "s", (*keys, "vid"))).select(*[F.col(f"h.{c}").alias(c) for c in keys], "h.component")
     kept = homes.alias("h").join(chosen.alias("c"), _same("h", "c", (*keys, "component")), "left_semi").withColumnRenamed("vid", "_vid")
     return df.alias("a").join(kept.alias("k"), (_same("a", "k", keys) if keys else F.lit(True)) & (F.col(f"a.{vid}") == F.col("k._vid")), "left_semi")

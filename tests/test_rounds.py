@@ -114,3 +114,20 @@ def test_average_linkage_merges_side_by_side(spark, monkeypatch):
     pairs = spark.createDataFrame([p for i in range(0, 3000, 3) for p in ((i, i + 1, 0.1, True), (i + 1, i + 2, 0.2, True), (i, i + 2, 0.9, True))], "a long, b long, distance double, linked boolean")
     got = features.average_linkage(spark.range(3001).withColumnRenamed("id", "node"), pairs, 0.6, 0.4)
     assert got.select("home").distinct().count() == 1001 and written.count("linkage-round") <= 4
+
+
+def test_radius_components_of_crowds_and_chains(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    crowd = r.random((900, 3)) * 0.4
+    chain = np.column_stack([5 + 0.95 * np.arange(40), np.zeros(40), np.zeros(40)])
+    loose = r.random((150, 3)) * 12 + (0, 20, 0)
+    p = np.concatenate([crowd, chain, loose])[r.permutation(1090)]
+    df = spark.createDataFrame([("a", i, *map(float, x)) for i, x in enumerate(p)] + [("b", 0, 0.0, 0.0, 0.0), ("b", 1, float("nan"), 0.0, 0.0)], "uid string, vid long, x double, y double, z double")
+    met = []
+    real = clustering.radius_join
+    monkeypatch.setattr(clustering, "radius_join", lambda *a, **k: met.append(real(*a, **k)) or met[-1])
+    got = {(x["uid"], x["vid"]): x["component"] for x in clustering.radius_components(df, 1.0).collect()}
+    near = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2)) <= 1.0
+    want = _walk(len(p), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert got == {("a", i): c for i, c in want.items()} | {("b", 0): 0}
+    assert all(m.count() == 0 for m in met)  # no two points of a crowd meet one by one
