@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import posixpath
 from dataclasses import dataclass
 
@@ -10,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from phyllo.session import cut
-from phyllo.sources.stores import exists, files_of, opened, write_joined
+from phyllo.sources.stores import exists, files_of, opened, store, write_joined, write_whole
 
 # Names of the format's scalar types.
 TYPES = {
@@ -94,28 +95,80 @@ class VertexRange(InputPartition):
     count: int
 
 
+#: What can be pushed down: comparisons of numbers, as a rule for values and one for the least and largest of a range. NaN is the largest of all.
+COMPARED = {
+    EqualTo: (lambda v, x: v == x, lambda lo, hi, nan, x: lo <= x <= hi),
+    GreaterThan: (lambda v, x: (v > x) | np.isnan(v), lambda lo, hi, nan, x: nan or hi > x),
+    GreaterThanOrEqual: (lambda v, x: (v >= x) | np.isnan(v), lambda lo, hi, nan, x: nan or hi >= x),
+    LessThan: (lambda v, x: v < x, lambda lo, hi, nan, x: lo < x),
+    LessThanOrEqual: (lambda v, x: v <= x, lambda lo, hi, nan, x: lo <= x),
+}
+
+
+SIGNS = {"=": EqualTo, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual}
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, paths: list[str], options: dict, names: list[str]):
         self.paths, self.prefix, self.names = paths, options.get("mode", "FAILFAST").upper() == "PREFIX", names
         self.required = tuple(n for n in options.get("required", "").split(",") if n)
+        self.rows = int(options.get("range_rows", CHUNK))
+        self.pushed: list[tuple[str, type, float]] = [(c, SIGNS[sign], value) for c, sign, value in json.loads(options.get("keep", "[]"))]
+        self.there: list[str] = []
+        if unknown := {c for c, _, _ in self.pushed} - {"vid", *names}:
+            raise PlyError(f"missing properties: {', '.join(sorted(unknown))}")
 
     def partitions(self):
         found = []
         for path in self.paths:
             header = read_header(path)
             require(header, self.required)
-            step = max(header.count, 1) if header.ascii else CHUNK
-            found += [VertexRange(path, i, min(step, header.count - i)) for i in range(0, header.count, step)] or [VertexRange(path, 0, 0)]
+            step = max(header.count, 1) if header.ascii else self.rows
+            ranges = [VertexRange(path, i, min(step, header.count - i)) for i in range(0, header.count, step)] or [VertexRange(path, 0, 0)]
+            found += self._possible(path, header, ranges) if self.pushed or self.there else ranges
         return found
 
-    def read(self, part: VertexRange):
+    def _possible(self, path: str, header: Header, ranges: list[VertexRange]) -> list[VertexRange]:
+        """The ranges in which every pushed comparison may hold, by their places and by the file's table of ranges, if it has one."""
+        if ({c for c, _, _ in self.pushed} | {*self.there}) - {"vid", *dict(header.properties)}:
+            return []  # a property that is not there is null
+        table = read_ranges(path)
+
+        def may(part: VertexRange) -> bool:
+            for column, kind, value in self.pushed:
+                if column == "vid":
+                    held = [(part.first, part.first + part.count - 1, False)]
+                else:
+                    held = [r[column] for r in table if r["first"] < part.first + part.count and part.first < r["first"] + r["count"]]
+                if held and not any(COMPARED[kind][1](*ends, value) for ends in held):
+                    return False
+            return True
+
+        return [part for part in ranges if may(part)]
+
+    def _kept(self, rows: np.ndarray, first: int) -> np.ndarray:
+        """Which rows of a block all pushed comparisons hold for."""
+        kept = np.ones(len(rows), bool)
+        for column, kind, value in self.pushed:
+            values = np.arange(first, first + len(rows)) if column == "vid" else rows[column]
+            exact = values.astype(np.float64) if values.dtype.kind == "f" else values.astype(np.int64)
+            kept &= COMPARED[kind][0](exact, value)
+        return kept
+
+    def read(self, part: VertexRange | None):
+        if part is None:  # there is no range to read
+            return
         header = read_header(part.path)
         stem, kinds, at = posixpath.basename(part.path).rsplit(".", 1)[0], dict(header.properties), part.first
         for rows in self._ascii(part, header) if header.ascii else self._binary(part, header):
-            columns = [pa.array([stem] * len(rows)), pa.array(np.arange(at, at + len(rows), dtype=np.int64))]
+            places, read = np.arange(at, at + len(rows), dtype=np.int64), len(rows)
+            if self.pushed:
+                kept = self._kept(rows, at)
+                rows, places = rows[kept], places[kept]
+            columns = [pa.array([stem] * len(rows), pa.string()), pa.array(places)]
             columns += [pa.array(np.ascontiguousarray(rows[n])).cast(ARROW[kinds[n]]) if n in kinds else pa.nulls(len(rows), pa.float32()) for n in self.names]
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "vid", *self.names])
-            at += len(rows)
+            at += read
         if at < part.first + part.count and not self.prefix:
             raise PlyError(f"{part.path}: {at} of {header.count} vertices are there")
 
@@ -157,12 +210,71 @@ class PlyReader(DataSourceReader):
                     return
 
 
+class FilteredPlyReader(PlyReader):
+    """A reader that decides comparisons of the query; the other one is for sessions that don't push filters down to Python sources."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            number = isinstance(value, (int, float)) and not isinstance(value, bool) and value == value
+            if column in ("vid", *self.names) and type(f) in COMPARED and number:
+                self.pushed.append((column, type(f), value))
+            elif column in ("vid", *self.names) and isinstance(f, IsNotNull):
+                self.there.append(column)
+            else:
+                yield f
+
+
+def ranges_path(path: str) -> str:
+    """Where a file's table of ranges is kept."""
+    return f"{path}.ranges.json"
+
+
+def read_ranges(path: str) -> list[dict]:
+    """Rows ``{first, count, property: [least, largest, whether NaN is there]}`` of a file's table of ranges; none if there is no table or it is of other bytes."""
+    if not exists(ranges_path(path)):
+        return []
+    with opened(ranges_path(path)) as f:
+        said = json.loads(f.read())
+    system, inner = store(path)
+    info = system.get_file_info(inner)
+    return said["ranges"] if [info.size, info.mtime_ns] == said["of"] else []
+
+
+def write_ranges(spark: SparkSession, path: str, rows: int = CHUNK) -> int:
+    """Keep the least and largest value of every property in every ``rows`` vertices of a file or folder beside each file, for readers to skip by; how many ranges there are.
+
+    Spark reads the files once; the driver gets one row for each range. A file
+    that is written anew needs its table written anew: until then it has none.
+    """
+    table = read_ply(spark, path)
+    names = [c for c in table.columns if c not in ("uid", "vid")]
+    of = lambda c: F.struct(F.min(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`"))).alias("lo"), F.max(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`"))).alias("hi"), F.coalesce(F.bool_or(F.isnan(F.col(f"`{c}`").cast("double"))), F.lit(False)).alias("nan")).alias(c)
+    found = table.groupBy("uid", F.expr(f"vid div {rows}").alias("at")).agg(F.count(F.lit(1)).alias("count"), *[of(c) for c in names]).collect()
+    for file in files_of(path, ".ply"):
+        stem = posixpath.basename(file).rsplit(".", 1)[0]
+        system, inner = store(file)
+        info = system.get_file_info(inner)
+        ends = lambda v: [v["lo"], v["hi"], v["nan"]] if v["lo"] is not None else [float("inf"), float("-inf"), v["nan"]]
+        said = [{"first": r["at"] * rows, "count": r["count"], **{c: ends(r[c]) for c in names if c in dict(read_header(file).properties)}} for r in found if r["uid"] == stem]
+        write_whole(ranges_path(file), json.dumps({"of": [info.size, info.mtime_ns], "ranges": said}).encode())
+    return len(found)
+
+
 class PlyDataSource(DataSource):
     """``format("ply")``: ``uid`` (the file's stem), ``vid`` (the vertex's place) and the properties of a file or a folder of files.
 
     Options: ``path``; ``mode`` FAILFAST or PREFIX (keep the whole vertices of a
     cut-off file); ``required``, a comma list of properties that must be there;
-    ``columns``, a comma list of the properties to read, all by default.
+    ``columns``, a comma list of the properties to read, all by default;
+    ``range_rows``, vertices of a task's range of a binary file; ``keep``, a JSON
+    list of comparisons ``[column, sign, number]`` of ``vid`` and properties that all
+    must hold. Ranges in which they can't are not read: by their place, or by the
+    table that ``write_ranges`` keeps beside a file. With ``pushdown`` true, and
+    ``spark.sql.python.filterPushdown.enabled``, comparisons of the query itself
+    are decided here too. Read anew for every query then: in Spark 4.1 a frame
+    keeps the filters of an earlier query where a later one has none to push.
     """
 
     @classmethod
@@ -188,11 +300,12 @@ class PlyDataSource(DataSource):
         return ", ".join(["uid string", "vid bigint"] + [f"`{n}` {SPARK[t]}" for n, t in self._properties().items()])
 
     def reader(self, schema) -> DataSourceReader:
-        return PlyReader(self._paths(), dict(self.options), list(self._properties()))
+        kind = FilteredPlyReader if self.options.get("pushdown", "false").lower() == "true" else PlyReader
+        return kind(self._paths(), dict(self.options), list(self._properties()))
 
 
 def read_ply(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The vertex table of a file or folder. Land it as Parquet before querying it often: that prunes columns and pushes filters down; here only ``columns`` prunes."""
+    """The vertex table of a file or folder; ``options`` are those of ``PlyDataSource``: ``columns`` prunes columns, ``keep`` vertices and whole ranges of them."""
     spark.dataSource.register(PlyDataSource)
     return spark.read.format("ply").options(**options).load(path)
 
