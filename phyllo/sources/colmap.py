@@ -28,8 +28,8 @@ def sparse_dir(root: str) -> str:
     raise FileNotFoundError(f"no sparse model below {root}")
 
 
-#: Images of a batch of observations.
-IMAGES = 256
+#: Images of a batch of observations, and bytes of a file that a task reads.
+IMAGES, PART_BYTES = 256, 32 << 20
 _SPOT = np.dtype([("x", "<f8"), ("y", "<f8"), ("point3d_id", "<i8")])
 
 
@@ -67,8 +67,24 @@ def _name(f) -> str:
             return out.decode()
 
 
-def image_batches(path: str, points: bool = True):
-    """Arrow batches of an ``images.bin``; observations are taken as they lie in the file."""
+def image_parts(path: str, size: int) -> list[tuple[int, int]]:
+    """``(offset, images)`` of runs of whole images of about ``size`` bytes: from one pass over their heads, which skips what lies between."""
+    parts, last = [], None
+    with opened(path, 4096) as f:
+        for at in range(_take(f, "<Q")[0]):
+            begin = f.tell()
+            if last is None or begin - parts[-1][0] >= size:
+                parts.append((begin, 0))
+            f.seek(struct.calcsize("<idddddddi"), os.SEEK_CUR)
+            _name(f)
+            f.seek(24 * _take(f, "<Q")[0], os.SEEK_CUR)
+            parts[-1], last = (parts[-1][0], parts[-1][1] + 1), at
+    return parts
+
+
+def image_batches(part: tuple[str, int, int], points: bool = True):
+    """Arrow batches of a run of images ``(path, offset, images)``; observations are taken as they lie in the file."""
+    path, offset, images = part
     spots = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("point3d_id", pa.int64())])
     names = ["image_id", "qvec", "tvec", "camera_id", "name"] + ["points2d"] * points
 
@@ -84,8 +100,9 @@ def image_batches(path: str, points: bool = True):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     with opened(path) as f:
+        f.seek(offset)
         rows = []
-        for _ in range(_take(f, "<Q")[0]):
+        for _ in range(images):
             image, *pose, camera = _take(f, "<idddddddi")
             name, n = _name(f), _take(f, "<Q")[0]
             if points:
@@ -112,6 +129,19 @@ class _Reader(DataSourceReader):
         yield from self.rows(part.value, *self.args)
 
 
+class _ImageReader(DataSourceReader):
+    """Images dealt to tasks by runs of about so many bytes."""
+
+    def __init__(self, path: str, points: bool, size: int):
+        self.path, self.points, self.size = path, points, size
+
+    def partitions(self):
+        return [InputPartition((self.path, *part)) for part in image_parts(self.path, self.size)] or [InputPartition((self.path, 0, 0))]
+
+    def read(self, part):
+        yield from image_batches(part.value, self.points)
+
+
 class ColmapCameras(DataSource):
     """``format("colmap_cameras")`` of a ``cameras.bin``."""
 
@@ -127,7 +157,11 @@ class ColmapCameras(DataSource):
 
 
 class ColmapImages(DataSource):
-    """``format("colmap_images")`` of an ``images.bin``; option ``points2d`` false leaves the observations out."""
+    """``format("colmap_images")`` of an ``images.bin``.
+
+    Options: ``points2d`` false leaves the observations out; ``part_bytes``, about
+    how much of the file a task reads.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -140,7 +174,7 @@ class ColmapImages(DataSource):
         return f"{IMAGE_SCHEMA}, {POINTS}" if self._points() else IMAGE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(image_batches, self.options["path"], self._points())
+        return _ImageReader(self.options["path"], self._points(), int(self.options.get("part_bytes", PART_BYTES)))
 
 
 def read_model(spark: SparkSession, root: str, points2d: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -19,10 +19,10 @@ def store(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path) if re.match(r"\w+://", path) else (LocalFileSystem(), path)
 
 
-def opened(path: str) -> io.BufferedReader:
-    """A file for reading by place and by line."""
+def opened(path: str, ahead: int = 1 << 20) -> io.BufferedReader:
+    """A file for reading by place and by line, ``ahead`` bytes at a time."""
     system, inner = store(path)
-    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
+    return io.BufferedReader(system.open_input_file(inner), ahead)
 
 
 def exists(path: str) -> bool:

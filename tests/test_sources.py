@@ -77,6 +77,22 @@ def test_cloud_writers(spark, gaussian, tmp_path):
     assert ply.read_ply(spark, str(tmp_path / "l.ply")).first()["label"] == 3
 
 
+def test_images_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    spot = "struct<x: double, y: double, point3d_id: bigint>"
+    ims = spark.range(400).selectExpr("CAST(id AS int) AS image_id", "array(1.0D, 0D, 0D, 0D) AS qvec", "array(CAST(id AS double), 0D, 1D) AS tvec", "CAST(id % 3 AS int) AS camera_id", "concat('é', repeat('n', CAST(id % 50 AS int)), id) AS name", f"CAST(transform(sequence(0L, (id * 7) % 90), i -> named_struct('x', CAST(i AS double), 'y', 0.5D, 'point3d_id', i - 1)) AS array<{spot}>) AS points2d")
+    path = str(tmp_path / "images.bin")
+    colmap.write_images(ims, path)
+    spark.dataSource.register(colmap.ColmapImages)
+    read = lambda size: spark.read.format("colmap_images").option("part_bytes", size).load(path)
+    whole, split = read(1 << 30), read(20_000)
+    assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 15
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, ims.collect())) == sorted(map(repr, whole.collect()))
+    parts = colmap.image_parts(path, 20_000)
+    assert sum(n for _, n in parts) == 400 and all(n for _, n in parts)
+    colmap.write_images(ims.limit(0), path)
+    assert read(100).count() == 0
+
+
 def test_colmap_round_trip(spark, tmp_path):
     folder = tmp_path / "sparse" / "0"
     os.makedirs(folder)
