@@ -85,24 +85,40 @@ def voxel_top1(df: DataFrame, voxel: float | Column, by: str = "opacity", keys:
 
 
 def adaptive_thin(df: DataFrame, most: int, by: str = "opacity", keys: tuple[str, ...] = ("uid",), coords: tuple[str, ...] = COORDS, vid: str = "vid", rounds: int = 8) -> DataFrame:
-    """Voxels of (volume / most) ^ 1/3, widened by (n / most) ^ 1/3 * 1.03 until at most 1.05 * most rows are left; then the top ``most`` by ``by``.
+    """Per cloud: voxels of (volume / most) ^ 1/3, widened by (n / most) ^ 1/3 * 1.03 until at most 1.05 * most rows are left; then the top ``most`` by ``by``.
 
-    One cloud at a time (``keys`` name it); the loop reads one count per round.
+    Clouds of ``most`` rows or fewer stay whole. All clouds go through a round
+    together, each with its own width; those that are thin enough are done.
     """
-    box = bounding_box(df, (), coords).first()
-    if box["n_points"] > most:
-        volume = 1.0
-        for c in coords:
-            volume *= max(box[f"max_{c}"] - box[f"min_{c}"], 1e-6)
-        voxel, thin = (volume / most) ** (1 / 3), df
-        for _ in range(rounds):
-            thin = cut(voxel_top1(df, voxel, by, keys, coords, vid), "thin")
-            n = thin.count()
-            if n <= 1.05 * most:
-                break
-            voxel *= (n / most) ** (1 / 3) * 1.03
-        df = thin
-    return top_by(df, most, by, vid)
+    names = [f"_g{i}" for i in range(len(keys))]
+    on = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{g}")) for k, g in zip(keys, names, strict=True)], F.lit(True))
+    extents = [F.greatest(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")), F.lit(1e-6)) for c in coords]
+    volume = reduce(lambda a, b: a * b, extents, F.lit(1.0))
+    sized = df.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_n"), F.pow(volume / most, F.lit(1 / 3)).alias("_w"))
+    open_ = cut(sized.where(F.col("_n") > most).select(*names, "_w"), "thin-widths")
+    if open_.isEmpty():
+        return df
+    out = [df.alias("d").join(open_.alias("o"), on("d", "o"), "left_anti")] if keys else []
+    large = df
+    for at in range(rounds):
+        wide = large.alias("d").join(open_.alias("o"), on("d", "o")).select("d.*", F.col("o._w").alias("_w"))
+        thin = cut(voxel_top1(wide, F.col("_w"), by, keys, coords, vid), "thin")
+        left = thin.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, names, strict=True)], "_w").agg(F.count(F.lit(1)).alias("_n"))
+        left = cut(left.withColumn("_over", (F.col("_n") > 1.05 * most) & F.lit(at < rounds - 1)), "thin-left")
+        done = thin.alias("d").join(left.where("NOT _over").alias("o"), on("d", "o"), "left_semi").drop("_w")
+        out.append(top_by_group(done, most, by, keys, vid))
+        open_ = left.where("_over").select(*names, (F.col("_w") * F.pow(F.col("_n") / most, F.lit(1 / 3)) * 1.03).alias("_w"))
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
+def top_by_group(df: DataFrame, most: int, by: str = "opacity", keys: tuple[str, ...] = ("uid",), vid: str = "vid") -> DataFrame:
+    """The ``most`` rows of each group with the largest ``by``; of equals the smaller vid. Every task leaves out what cannot be among them."""
+    if not keys:
+        return top_by(df, most, by, vid)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(by), vid))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
 def top_by(df: DataFrame, most: int, by: str = "opacity", vid: str = "vid") -> DataFrame:

@@ -205,6 +205,13 @@ def test_aggregates(spark):
     assert {r["vid"] for r in aggregates.voxel_top1(df, 1.0).collect()} == {i for _, i in best.values()}
     assert aggregates.voxel_downsample(df, 1.0).count() == len(best) and aggregates.voxel_downsample(df, 0).count() == len(p)
     assert 0 < aggregates.adaptive_thin(df, 20).count() <= 20
+    r = np.random.default_rng(9)
+    many = [(uid, i, *map(float, r.normal(size=3) * size), float(r.integers(0, 50))) for uid, n, size in (("big", 400, 5), ("dense", 300, 0.01), ("few", 15, 1), ("edge", 20, 1)) for i in range(n)]
+    clouds = spark.createDataFrame(many, POINT + ", opacity double").repartition(3)
+    both = {(x["uid"], x["vid"]) for x in aggregates.adaptive_thin(clouds, 20).collect()}
+    alone = {(x["uid"], x["vid"]) for u in ("big", "dense", "few", "edge") for x in aggregates.adaptive_thin(clouds.where(F.col("uid") == u), 20).collect()}
+    assert both == alone and sum(u == "few" for u, _ in both) == 15 and all(0 < sum(u == c for u, _ in both) <= 20 for c in ("big", "dense", "edge"))
+    assert aggregates.adaptive_thin(clouds.where("uid = 'big'").drop("uid"), 20, keys=()).count() <= 20
     assert aggregates.bounding_box(df.limit(0), ()).first()["bbox_volume"] == 0
     picked = sorted(r["vid"] for r in aggregates.sample_rows(df, 10, 3).collect())
     assert picked == sorted(np.random.default_rng(3).choice(len(p), 10, replace=False).tolist())
