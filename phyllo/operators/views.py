@@ -61,22 +61,26 @@ def seen_cells(view: DataFrame, roots: DataFrame, rounds: list[DataFrame], near:
     return (kdtree.descend(start, rounds, 3, _in_view()) if rounds else start).drop("planes")
 
 
-def project_points(points: DataFrame, view: DataFrame, rounding: str = "rint", near: float = 1e-6, margin: int = 0, coords: tuple[str, ...] = COORDS, keys: tuple[str, ...] = ("uid", "vid"), cell: int = kdtree.LEAF) -> DataFrame:
+def project_points(points: DataFrame, view: DataFrame, rounding: str = "rint", near: float = 1e-6, margin: int = 0, coords: tuple[str, ...] = COORDS, keys: tuple[str, ...] = ("uid", "vid"), cell: int = kdtree.LEAF, few: int = 8) -> DataFrame:
     """``(*keys, view_id, u, v, depth)`` of every point in every view that has it in front and in frame.
 
     Points are dealt to cells of about ``cell`` of them, the leaves of a k-d tree.
     A view meets only the cells whose box its frustum cuts, so points are
     projected where they may be seen, and no product of points and views is made.
-    Points with a null or non-finite coordinate are in no view.
+    Up to ``few`` views are sent to all points instead, which is less work than
+    dealing them. Points with a null or non-finite coordinate are in no view.
     """
     spots = [F.col(c).cast("double") for c in coords]
     fine = reduce(lambda a, b: a & b, [F.coalesce(is_finite(s), F.lit(False)) for s in spots])
     names = [f"c{i}" for i in range(3)]
     own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
     rows = points.where(fine).select(F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("path"), F.lit(False).alias("asks"), own.alias("vid"), *[s.alias(n) for s, n in zip(spots, names, strict=True)])
-    dealt, roots, rounds = kdtree.deal(rows, names, cell)
     slim = view.select("view_id", *[F.col(f"q{i}") for i in range(4)], *[F.col(f"t{i}") for i in range(3)], "k", "width", "height")
-    met = dealt.select("gid", "path", "vid", *names).join(seen_cells(slim, roots, rounds, near, margin), ["gid", "path"])
+    if slim.limit(few + 1).count() <= few:
+        met = rows.join(F.broadcast(slim))
+    else:
+        dealt, roots, rounds = kdtree.deal(rows, names, cell)
+        met = dealt.select("gid", "path", "vid", *names).join(seen_cells(slim, roots, rounds, near, margin), ["gid", "path"])
     u, v, depth = project([F.col(n) for n in names], [F.col(f"q{i}") for i in range(4)], [F.col(f"t{i}") for i in range(3)], F.col("k"))
     seen = met.select("vid", "view_id", u.alias("_u"), v.alias("_v"), depth.alias("depth"), "width", "height").where(is_finite("_u") & is_finite("_v") & (F.col("depth") > near))
     pixels = seen.select("vid", "view_id", to_pixel(F.col("_u"), rounding).alias("u"), to_pixel(F.col("_v"), rounding).alias("v"), "depth", "width", "height")

@@ -39,6 +39,8 @@ def test_projection_equals_all_points_in_all_views(spark, rounding, near, margin
     p, points, view, shots = _scene(spark)
     got = {(r["uid"], r["vid"], r["view_id"], r["u"], r["v"]) for r in views.project_points(points, view, rounding, near, margin, cell=cell).collect()}
     assert got == _plain(p, shots, rounding, near, margin) and len(got) > 100
+    few = {(r["uid"], r["vid"], r["view_id"], r["u"], r["v"]) for r in views.project_points(points, view.where("view_id < 5"), rounding, near, margin).collect()}
+    assert few == {r for r in got if r[2] < 5}
 
 
 def test_points_are_projected_only_where_they_may_be_seen(spark):
