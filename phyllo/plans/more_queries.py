@@ -648,3 +648,15 @@ def kmeans_assigned(spark, sf):
     rows, centres, names = _step_rows(spark, sf)
     named = kmeans.assign(rows.select("vid", "feat"), centres, out="place")
     return named.select("vid", "place", F.element_at(F.array(*[F.lit(int(g)).cast("long") for g in names]), F.col("place") + 1).alias("centre"))
+
+
+@query(f"""WITH {EVENTS_SQL}, vw AS (SELECT n_nationkey AS view_id, 60.0::DOUBLE + n_nationkey * 8 AS f, n_nationkey * 20.0::DOUBLE - 240 AS tx, 90.0::DOUBLE - n_nationkey * 7 AS ty FROM nation),
+px AS (SELECT view_id, CAST(round_even(f * (x - 250 + tx) / (z + 400) + 64, 0) AS BIGINT) AS u, CAST(round_even(f * (y - 700 + ty) / (z + 400) + 48, 0) AS BIGINT) AS v FROM ev, vw)
+SELECT CAST(view_id AS INTEGER) AS view_id, count(*) AS n, round(avg(u), 2) AS u, round(avg(v), 2) AS v FROM px WHERE u >= 0 AND v >= 0 AND u < 128 AND v < 96 GROUP BY view_id""")
+def project_through_many_views(spark, sf):
+    """A view for each nation, so points are met by the cells that a view's frustum cuts."""
+    e = events(spark, sf).select("uid", "vid", (F.col("x") - 250).alias("x"), (F.col("y") - 700).alias("y"), (F.col("z") + 400).alias("z"))
+    k, d = F.col("n_nationkey"), lambda c: c.cast("double")
+    shots = read_table(spark, sf, "nation").select(k.cast("int").alias("view_id"), *[F.lit(float(i == 0)).alias(f"q{i}") for i in range(4)], d(k * 20 - 240).alias("t0"), d(90 - k * 7).alias("t1"), F.lit(0.0).alias("t2"), F.struct(d(60 + k * 8).alias("fx"), d(60 + k * 8).alias("fy"), F.lit(64.0).alias("cx"), F.lit(48.0).alias("cy")).alias("k"), F.lit(128).alias("width"), F.lit(96).alias("height"))
+    hits = views.project_points(e, shots, "rint")
+    return rounded(hits.groupBy("view_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u"), 2).alias("u"), F.round(F.avg("v"), 2).alias("v")))
