@@ -325,6 +325,15 @@ def test_features(spark):
     assert len(set(ranks.values())) == 3 and {2, 3} & set(ranks.values())
 
 
+def test_farthest_points_of_more_rows_than_a_sample_holds(spark):
+    """The farthest point of a large cloud is one row among all; before, a sample of 20,000 rows was searched."""
+    rows = spark.range(30_000).select(F.lit("a").alias("uid"), F.col("id").alias("vid"), *[F.when(F.col("id") == 29_000 + i, 50.0).otherwise((F.col("id") * p % 101) / 101).alias(c) for i, (c, p) in enumerate(zip("xyz", (7, 11, 13), strict=True))])
+    small = spark.createDataFrame([("b", 5, 1.0, 1.0, 1.0), ("b", 6, 1.0, 1.0, 1.0)], "uid string, vid long, x double, y double, z double")
+    got = {(x["uid"], x["rank"]): x["vid"] for x in features.farthest_points(rows.unionByName(small), 4, None).collect()}
+    assert {got["a", i] for i in (1, 2, 3)} == {29_000, 29_001, 29_002} and got["a", 0] == 0
+    assert [got.get(("b", i)) for i in range(3)] == [5, 5, None]
+
+
 def test_superpoints(spark):
     stats = spark.createDataFrame([(0, 0.9, 0.0, 0.0, 0.0), (1, 0.9, 0.01, 0.0, 0.0), (2, 0.1, 0.02, 0.0, 0.0), (3, 0.9, 9.0, 0.0, 0.0)], "sp long, confidence double, x double, y double, z double")
     seen = spark.createDataFrame([(0, 1, 5), (1, 1, 5), (2, 2, 7), (3, 1, 5)], "sp long, view_id int, label int")
