@@ -116,6 +116,28 @@ def test_average_linkage_merges_side_by_side(spark, monkeypatch):
     assert got.select("home").distinct().count() == 1001 and written.count("linkage-round") <= 4
 
 
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_clusters_at_no_distance_merge_as_one_by_one(spark, seed):
+    """Intervals that meet are at 0, so partners of one head need not be at 0 of each other; some pairs are not linked."""
+    r = random.Random(seed)
+    n, at = 36, [random.Random(seed + 100).random() * 6 for _ in range(36)]
+    known = {(i, j): 0.0 if abs(at[i] - at[j]) < 1 else r.choice([0.25, 0.5, 0.75]) for i in range(n) for j in range(i + 1, n) if abs(at[i] - at[j]) < 1 or r.random() < 0.3}
+    links = {p for p in known if seed < 7 or r.random() < 0.8}
+    pairs = spark.createDataFrame([(a, b, d, (a, b) in links) for (a, b), d in known.items()], "a long, b long, distance double, linked boolean")
+    got = {x["node"]: x["home"] for x in features.average_linkage(spark.range(n).withColumnRenamed("id", "node"), pairs, 0.6, 0.4).collect()}
+    assert got == _linked(n, known, links, 0.6, 0.4)
+
+
+def test_a_crowd_at_no_distance_takes_few_rounds(spark, monkeypatch):
+    """A merge a round before: 39 rounds for 40 nodes."""
+    written = []
+    real = features.cut
+    monkeypatch.setattr(features, "cut", lambda df, name="cut": written.append(name) or real(df, name))
+    pairs = spark.createDataFrame([(i, j, 0.0, True) for i in range(40) for j in range(i + 1, 40)], "a long, b long, distance double, linked boolean")
+    got = features.average_linkage(spark.range(40).withColumnRenamed("id", "node"), pairs, 0.6, 0.4)
+    assert {x["home"] for x in got.collect()} == {0} and written.count("linkage-round") <= 3
+
+
 def test_radius_components_of_crowds_and_chains(spark, monkeypatch):
     r = np.random.default_rng(6)
     crowd = r.random((900, 3)) * 0.4
