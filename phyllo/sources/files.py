@@ -42,12 +42,17 @@ def ready_datasets(files: DataFrame, key: str = "plant", path: str = "path", pre
 
 
 def image_paths(images: DataFrame, files: DataFrame) -> DataFrame:
-    """``(name, path)``: ``images/<name>`` if there, else ``<name>``; met by the last part of the name, so that files and names are joined by equality."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    tail = files.select("path", last(F.col("path")).alias("_last"))
-    names = images.select("name", last(F.col("name")).alias("_last"))
-    hits = names.join(tail, "_last").where(F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))))
-    return hits.groupBy("name").agg(F.max_by("path", F.struct(F.col("path").endswith(F.concat(F.lit("/images/"), F.col("name"))), -F.length("path"))).alias("path"))
+    """``(name, path)``: ``images/<name>`` if there, else ``<name>``, of equals the shortest path, then the first.
+
+    A file answers to every end of its path that begins after a slash, and names
+    are met by equality; so files of one last name are not all compared.
+    """
+    steps = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"))
+    known = files.select("path").where(F.col("path").contains("/")).select("path", F.explode(ends).alias("name"))
+    order = F.struct((~F.col("path").endswith(F.concat(F.lit("/images/"), F.col("name")))).alias("a"), F.length("path").alias("b"), F.col("path").alias("c"))
+    best = known.groupBy("name").agg(F.min_by("path", order).alias("path"))  # an end that all paths share is one row of a task
+    return best.join(images.select("name").distinct().hint("merge"), "name")
 
 
 def extras(files: DataFrame, written: tuple[str, ...] = ("cameras.bin", "images.bin")) -> DataFrame:
