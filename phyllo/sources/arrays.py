@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 
 import numpy as np
@@ -200,8 +201,24 @@ def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_clicks(spark: SparkSession, path: str) -> DataFrame:
-    """Click metadata (JSON files); clicks of more than one source raise."""
-    rows = spark.read.json(path, multiLine=True)
+    """Click metadata: JSON files, those of a folder or all that a pattern names; clicks of more than one source raise.
+
+    The files, which are small and may be many, are opened once: their texts go
+    into few files of a line each, and those are read from then on. A pattern is
+    taken apart, so that its folder is listed and its files are not looked up one
+    by one.
+    """
+    from phyllo.session import shared_path
+
+    folder, _, last = path.rstrip("/").rpartition("/")
+    if re.search(r"[*?\[{]", last) and not re.search(r"[*?\[{]", folder):
+        texts = spark.read.option("pathGlobFilter", last).text(folder or "/", wholetext=True)
+    else:
+        texts = spark.read.text(path, wholetext=True)
+    line = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "[\r\n]+", " ")  # strings of JSON have no bare line ends
+    flat = shared_path(spark, "clicks")
+    texts.select(line.alias("value")).write.text(flat)
+    rows = spark.read.json(flat)
     sources = rows.agg(F.count_distinct("source_ply").alias("n")).first()["n"]
     if sources > 1:
         raise ValueError(f"clicks of {sources} sources")

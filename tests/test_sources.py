@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phyllo.session import spread
 from phyllo.sources import arrays, colmap, files, ply, text_cloud
 from phyllo.streaming import watch
 
@@ -175,6 +176,29 @@ def test_file_catalogues(spark, tmp_path):
     assert files.image_paths(names, found).first()["path"].endswith("images/a.png")
 
 
+def test_image_paths_meet_by_ends_of_paths(spark, monkeypatch):
+    """Names with one last part are not compared with every file of that last part: before, 300 names met 300 files each."""
+    paths = spark.range(300).select(F.concat(F.lit("/data/p"), "id", F.lit("/images/b.png")).alias("path")).unionByName(spark.createDataFrame([("/x/images/p7/images/b.png",), ("/a/p7/images/b.png",)], "path string"))
+    names = spark.range(300).select(F.concat(F.lit("p"), "id", F.lit("/images/b.png")).alias("name"))
+    got = {r["name"]: r["path"] for r in files.image_paths(names, paths).collect()}
+    assert len(got) == 300 and got["p8/images/b.png"] == "/data/p8/images/b.png" and got["p7/images/b.png"] == "/x/images/p7/images/b.png"
+
+
+def test_clicks_of_a_pattern_are_read_line_by_line(spark, tmp_path):
+    """Files of several lines, and no file beside the pattern."""
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text('{"source_ply": "a.ply",\r\n "click":\n ' + str(i) + "}\n")
+    (tmp_path / "other.txt").write_text("no json")
+    got = arrays.read_clicks(spark, f"{tmp_path}/*.json")
+    assert sorted((r["source_ply"], r["click"]) for r in got.collect()) == [("a.ply", i) for i in range(3)]
+    assert len(got.inputFiles()) <= 3 and not any(str(tmp_path) in f for f in got.inputFiles())  # read from lines, not from the files again
+
+
+def test_small_tables_are_spread_over_tasks(spark, sf):
+    assert spread(spark.range(0, 1001, 1, 1), 500).rdd.getNumPartitions() == 3 and spread(spark.range(0), 500).count() == 0
+    assert sorted(r["id"] for r in spread(spark.range(1001), 100).collect()) == list(range(1001))
+
+
 def test_watched_folder(spark, tmp_path):
     schema = "uid string, vid long, x double, y double, z double"
     spark.createDataFrame([("a", 0, 1.0, 2.0, 3.0), ("a", 1, 4.0, 0.0, 0.0)], schema).write.parquet(str(tmp_path / "in"))
