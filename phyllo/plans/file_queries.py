@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phyllo.operators import aggregates, images, metrics
 from phyllo.plans.catalogue import OVERLAP_SQL, PARTS_SQL, parts, query, rounded, segments
 from phyllo.plans.more_queries import _pictures, _pixel_sql
-from phyllo.session import cut, read_table, shared_path
+from phyllo.session import cut, read_table, shared_path, spread
 from phyllo.sources import arrays, colmap, files, pictures, ply, stores, text_cloud
 
 
@@ -139,7 +139,7 @@ def click_files(spark, sf):
     """Metadata of a click for each supplier, a file each, written by the tasks and read back."""
     folder = shared_path(spark, "clicks")
     said = F.to_json(F.struct(F.lit("one.ply").alias("source_ply"), F.col("s_suppkey").alias("click"), F.col("s_nationkey").alias("label")))
-    stores.write_each(read_table(spark, sf, "supplier").select(F.concat(F.lit(f"{folder}/"), "s_suppkey", F.lit(".json")).alias("path"), said.alias("raw")))
+    stores.write_each(spread(read_table(spark, sf, "supplier")).select(F.concat(F.lit(f"{folder}/"), "s_suppkey", F.lit(".json")).alias("path"), said.alias("raw")))
     return arrays.read_clicks(spark, f"{folder}/*.json").select("source_ply", F.col("click").cast("long").alias("click"), "label")
 
 
@@ -149,8 +149,11 @@ def picture_files(spark, sf):
     folder = shared_path(spark, "pictures")
     for kind, shift in (("render", 0), ("gt", 3)):
         pictures.write_pictures(_pictures(spark, sf, shift), f"{folder}/{kind}")
-    spread = lambda kind: pictures.read_pictures(spark, f"{folder}/{kind}").select("name", "height", "width", F.posexplode(F.transform(F.split(F.regexp_replace(F.hex("pixels"), "(..)", "$1 "), " "), lambda h: F.conv(h, 16, 10).cast("double") / 255)).alias("at", kind)).where(F.col(kind).isNotNull())
-    both = spread("render").join(spread("gt").select("name", "at", "gt"), ["name", "at"])
+    shown = lambda kind: pictures.read_pictures(spark, f"{folder}/{kind}").select("name", "height", "width", F.col("pixels").alias(kind))
+    met = cut(shown("render").join(shown("gt").select("name", "gt").hint("merge"), "name"), "met")  # whole pictures meet; their pixels are spread afterwards
+    value = lambda c, at: F.conv(F.hex(F.substring(c, at + 1, F.lit(1))), 16, 10).cast("double") / 255
+    places = F.sequence(F.lit(0), F.least(F.length("render"), F.length("gt")) - 1)
+    both = met.where((F.length("render") > 0) & (F.length("gt") > 0)).select("name", "height", "width", F.explode(places).alias("at"), "render", "gt").select("name", "height", "width", value(F.col("render"), F.col("at")).alias("render"), value(F.col("gt"), F.col("at")).alias("gt"))
     sizes = both.groupBy("name").agg(F.first("height").alias("height"), F.first("width").alias("width"), F.avg("render").alias("mean"))
     return rounded(images.psnr(both, ("name",)).join(sizes, "name"))
 
@@ -160,7 +163,7 @@ def log_files(spark, sf):
     """A log for each supplier, written by the tasks; what it says, and the size of them all."""
     folder, k = shared_path(spark, "logs"), F.col("s_suppkey")
     said = F.when(k % 5 > 0, F.concat(F.lit("TRAIN_TIME_SEC="), k, F.lit(".5"))).otherwise("none")
-    stores.write_each(read_table(spark, sf, "supplier").select(F.concat(F.lit(f"{folder}/run_"), k, F.lit(".log")).alias("path"), F.concat(F.lit("x\n"), said, F.lit("\n")).alias("raw")))
+    stores.write_each(spread(read_table(spark, sf, "supplier")).select(F.concat(F.lit(f"{folder}/run_"), k, F.lit(".log")).alias("path"), F.concat(F.lit("x\n"), said, F.lit("\n")).alias("raw")))
     name = F.regexp_extract("path", r"([^/]+)\.log$", 1)
     return rounded(arrays.train_time(spark, folder).select(name.alias("name"), "train_time_sec").withColumn("folder_mb", F.lit(arrays.dir_size_mb(spark, folder))))
 
@@ -168,7 +171,7 @@ def log_files(spark, sf):
 @query("SELECT s_name || '.ply' AS name, CAST(s_suppkey % 50 + 1 AS BIGINT) AS length, s_suppkey % 5 < 4 AS alone FROM supplier")
 def found_files(spark, sf):
     """Files of a folder by their ending, and which of them are the only one of their key."""
-    folder, s = shared_path(spark, "found"), read_table(spark, sf, "supplier")
+    folder, s = shared_path(spark, "found"), spread(read_table(spark, sf, "supplier"))
     key = F.when(F.col("s_suppkey") % 5 < 4, F.col("s_suppkey")).otherwise(10**9)
     stores.write_each(s.select(F.concat(F.lit(f"{folder}/"), key, F.lit("/"), "s_name", F.lit(".ply")).alias("path"), F.repeat(F.lit("x"), (F.col("s_suppkey") % 50 + 1).cast("int")).alias("raw")))
     stores.write_each(s.select(F.concat(F.lit(f"{folder}/"), "s_name", F.lit(".txt")).alias("path"), F.lit("y").alias("raw")))
