@@ -129,10 +129,11 @@ def render(points: DataFrame, hits: DataFrame, view: DataFrame, radius: int = 1,
     """(canvas ``(view_id, v, u, red, green, blue, depth)``, ``(view_id, hit_count)``) of points drawn as discs, the nearest in front.
 
     Passes draw one offset each; a write counts as a hit if it is nearer than all
-    that earlier passes left at its pixel, one a pass and pixel.
+    that earlier passes left at its pixel, one a pass and pixel. The sizes of the
+    views, a row each, are sent to all tasks: dealt by view, a task would get a view.
     """
     drawn = hits.join(points.select(*keys, "red", "green", "blue"), list(keys)).withColumn("_o", F.explode(splat_offsets(radius)))
-    drawn = drawn.join(view.select("view_id", "width", "height"), "view_id").withColumns({"u": F.col("u") + F.col("_o.dx"), "v": F.col("v") + F.col("_o.dy")})
+    drawn = drawn.join(F.broadcast(view.select("view_id", "width", "height")), "view_id").withColumns({"u": F.col("u") + F.col("_o.dx"), "v": F.col("v") + F.col("_o.dy")})
     drawn = drawn.where((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") < F.col("height")))
     best = drawn.groupBy("view_id", "v", "u").agg(F.min(F.struct("depth", *keys, "red", "green", "blue")).alias("b"))
     canvas = best.select("view_id", "v", "u", "b.red", "b.green", "b.blue", "b.depth")
