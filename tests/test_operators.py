@@ -343,6 +343,17 @@ def test_superpoints(spark):
     assert got[0] == got[1] != got[2] and got[3] not in (got[0], got[2])
 
 
+def test_superpoint_pairs_are_not_dealt_by_views(spark, monkeypatch):
+    """Pairs were written, then met once for every view of both; rows without a view or label count nothing."""
+    written, real = [], features.cut
+    monkeypatch.setattr(features, "cut", lambda df, name="cut": written.append(name) or real(df, name))
+    stats = spark.createDataFrame([(0, 0.9), (1, 0.9), (2, 0.1), (3, 0.9)], "sp long, confidence double")
+    seen = spark.createDataFrame([(s, v, s * v % 3 if s < 2 else 1) for s in range(3) for v in range(9)] + [(0, None, 1), (3, 4, None)], "sp long, view_id int, label int")
+    pairs = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (0, 3)], "a long, b long")
+    got = sorted(tuple(r) for r in features.superpoint_distances(stats, seen, pairs=pairs).collect())
+    assert got == [(0, 1, 50.0), (0, 2, 50.0), (0, 3, 0.25)] and written == ["superpoint-seen"]
+
+
 def test_fusion(spark):
     schema = POINT + ", opacity float, rot_0 float, rot_1 float, rot_2 float, rot_3 float"
     main = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0), ("a", 1, 10.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0)], schema)
