@@ -1,11 +1,12 @@
 """Plans whose tasks don't grow with their tables."""
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from phyllo.operators import images, refine, views
+from phyllo.operators import images, refine, spatial, views
 
 
 def _plan(df):
@@ -48,3 +49,20 @@ def test_squares_by_spans_equal_whole_squares():
         for largest in (True, False):
             view = np.lib.stride_tricks.sliding_window_view(np.pad(mask, size // 2, constant_values=not largest), (size, size))
             assert (images._window(mask, size, largest) == (view.max(axis=(2, 3)) if largest else view.min(axis=(2, 3)))).all()
+
+
+def test_crowded_cells_of_radius_joins_are_many_tasks(spark, monkeypatch):
+    for name, value in (("COPIES", 16), ("SPOTS", 4), ("BLOCK", 16), ("PAIRS", 1000)):
+        monkeypatch.setattr(spatial, name, value)
+    r = np.random.default_rng(5)
+    p = np.concatenate([np.repeat([[0.1, 0.1, 0.1], [0.9, 0.5, 0.5], [1.2, 0.5, 0.5]], 40, axis=0), r.random((60, 3)), [[9.0, 9.0, 9.0]]])
+    rows = [("a", i, *map(float, x)) for i, x in enumerate(p)] + [(None, 500, 0.0, 0.0, 0.0), (None, None, -0.0, 0.0, 0.1), ("b", 600, None, 0.0, 0.0), ("b", 601, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "uid string, vid long, x double, y double, z double")
+    out = spatial.radius_join(df, df, 1.0)
+    d = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2))
+    want = Counter(("a", int(i), int(j)) for i, j in zip(*np.nonzero(d <= 1.0), strict=True)) + Counter((None, i, j) for i in (500, None) for j in (500, None))
+    got = out.collect()
+    assert Counter((x["uid"], x["src"], x["dst"]) for x in got) == want and all(abs(x["d"] - d[x["src"], x["dst"]]) < 1e-12 for x in got if x["uid"])
+    tasks = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 20 and max(tasks) < len(got) / 10
+    assert {x["d"] for x in spatial.radius_join(df, df, 1.0, digits=1).collect()} == {round(x["d"], 1) for x in got}
