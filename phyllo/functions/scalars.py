@@ -167,7 +167,11 @@ def intrinsics(model: Column | str, params: Column | str) -> Column:
 
 def project(xyz: list[Column], q: list[Column], t: list[Column], k: Column) -> tuple[Column, Column, Column]:
     """(u, v, depth) of points in a view: camera = R p + t; u = fx X / Z + cx."""
-    r = rotation(q)
+    return project_turned(xyz, rotation(q), t, k)
+
+
+def project_turned(xyz: list[Column], r: list[list[Column]], t: list[Column], k: Column) -> tuple[Column, Column, Column]:
+    """``project`` with the view's rotation as a matrix."""
     cam = [reduce(lambda a, b: a + b, [r[i][j] * xyz[j] for j in range(3)]) + t[i] for i in range(3)]
     return F.try_divide(k["fx"] * cam[0], cam[2]) + k["cx"], F.try_divide(k["fy"] * cam[1], cam[2]) + k["cy"], cam[2]
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phyllo.functions.scalars import base_name, intrinsics, is_finite, project, rotation, shift_camera, to_pixel
+from phyllo.functions.scalars import base_name, intrinsics, is_finite, project_turned, rotation, shift_camera, to_pixel
 from phyllo.operators import kdtree
 from phyllo.operators.aggregates import front_surface
 from phyllo.operators.filters import in_frame
@@ -75,14 +75,17 @@ def project_points(points: DataFrame, view: DataFrame, rounding: str = "rint", n
     names = [f"c{i}" for i in range(3)]
     own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
     rows = points.where(fine).select(F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("path"), F.lit(False).alias("asks"), own.alias("vid"), *[s.alias(n) for s, n in zip(spots, names, strict=True)])
-    slim = view.select("view_id", *[F.col(f"q{i}") for i in range(4)], *[F.col(f"t{i}") for i in range(3)], "k", "width", "height")
+    r = rotation([F.col(f"q{i}") for i in range(4)])
+    slim = view.select("view_id", *[F.col(f"q{i}") for i in range(4)], *[F.col(f"t{i}") for i in range(3)], "k", "width", "height", *[r[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
     if slim.limit(few + 1).count() <= few:
         met = rows.join(F.broadcast(slim))
     else:
         dealt, roots, rounds = kdtree.deal(rows, names, cell)
-        met = dealt.select("gid", "path", "vid", *names).join(seen_cells(slim, roots, rounds, near, margin), ["gid", "path"])
-    u, v, depth = project([F.col(n) for n in names], [F.col(f"q{i}") for i in range(4)], [F.col(f"t{i}") for i in range(3)], F.col("k"))
-    seen = met.select("vid", "view_id", u.alias("_u"), v.alias("_v"), depth.alias("depth"), "width", "height").where(is_finite("_u") & is_finite("_v") & (F.col("depth") > near))
+        # Neither side is sent to all tasks: the files of many like points are small, the points are not.
+        met = dealt.select("gid", "path", "vid", *names).hint("merge").join(seen_cells(slim, roots, rounds, near, margin), ["gid", "path"])
+    u, v, depth = project_turned([F.col(n) for n in names], [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)], [F.col(f"t{i}") for i in range(3)], F.col("k"))
+    # A view's rotation is taken once, before the join, and a pair's place once: what filters and columns need would repeat them.
+    seen = met.select("vid", "view_id", F.inline(F.array(F.struct(u.alias("_u"), v.alias("_v"), depth.alias("depth")))), "width", "height").where(is_finite("_u") & is_finite("_v") & (F.col("depth") > near))
     pixels = seen.select("vid", "view_id", to_pixel(F.col("_u"), rounding).alias("u"), to_pixel(F.col("_v"), rounding).alias("v"), "depth", "width", "height")
     inside = pixels.where(in_frame(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height"), near, margin))
     return inside.select(*[F.col(f"vid.k{i}").alias(c) for i, c in enumerate(keys)], "view_id", "u", "v", "depth")
