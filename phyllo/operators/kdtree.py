@@ -227,8 +227,9 @@ def nearest(src: DataFrame, dst: DataFrame, k: int, keys: tuple[str, ...], coord
     found = _searched(asking, partners, names, k, drop_self)
     if rounds:
         found = cut(found, "knn-own-leaf")
+        # A row for each point, so not broadcast however small its file is.
         reached = found.where(F.col("place") == k).select("gid", F.col("src").alias("vid"), F.col("d").alias("_d"))
-        balls = asking.join(reached, ["gid", "vid"], "left").withColumn("reach", F.coalesce("_d", "reach")).drop("_d")
+        balls = asking.join(reached.hint("merge"), ["gid", "vid"], "left").withColumn("reach", F.coalesce("_d", "reach")).drop("_d")
         balls = balls.select("gid", F.col("path").alias("home"), F.lit(0).cast("long").alias("path"), "vid", "reach", *names)
         across = cut(_cut_leaves(balls, rounds, names), "knn-across")
         found = found.unionByName(_searched(across, partners, names, k, drop_self))

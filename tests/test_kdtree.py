@@ -77,3 +77,13 @@ def test_leaves_stay_small_and_far_points_cost_no_pairs(spark):
         balls = dealt.select("gid", F.col("path").alias("home"), F.lit(0).cast("long").alias("path"), "vid", F.when(F.col("vid") < 8, F.lit(10.0)).otherwise(F.lit(0.045)).alias("reach"), *names)
         cuts.append(kdtree._cut_leaves(balls, [leaves], names).count())
     assert cuts[1] <= 1.2 * cuts[0]
+
+
+def test_reach_of_points_is_not_broadcast(spark, monkeypatch):
+    plans = []
+    real = kdtree.cut
+    monkeypatch.setattr(kdtree, "cut", lambda df, name="cut": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    df = spark.range(3000).selectExpr("'a' AS uid", "id AS vid", "rand(1) AS x", "rand(2) AS y", "rand(3) AS z")
+    assert kdtree.nearest(df, df, 4, ("uid",), ("x", "y", "z"), leaf=200).count() == 12000
+    joins = [line for name, plan in plans if name == "knn-across" for line in plan.splitlines() if "LeftOuter" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
