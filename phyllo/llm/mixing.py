@@ -62,21 +62,21 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     weights = F.array(*map(F.lit, WEIGHTS))
     ranked = ranked.withColumn("weight", F.element_at(weights, (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double")).withColumn("cap", F.col("source_size") * F.lit(MOST))
     order = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "place")
-    run = _sums_before(ranked.withColumn("_order", order), "_order", {"full": "cap", "full_weight": "weight"})
-    totals = sizes.agg(F.sum("source_size").alias("words")).crossJoin(ranked.agg(F.sum("weight").alias("weights")))  # one row
-    level = (F.lit(SHARE) * F.col("words") - F.col("full")) / (F.col("weights") - F.col("full_weight"))
-    run = cut(run.crossJoin(totals).withColumn("level", level), "mix-levels")
+    run = _sums_before(ranked.withColumn("_order", order), "_order", {"full": "cap", "full_weight": "weight", "full_words": "source_size"})
+    level = (F.lit(SHARE) * F.col("all_full_words") - F.col("full")) / (F.col("all_full_weight") - F.col("full_weight"))
+    run = cut(run.select("source", "source_size", "damped", "weight", "cap", "_order", level.alias("level")), "mix-levels")
     first_open = run.agg(F.min_by("level", F.when(F.col("_order.ratio") > F.col("level"), F.col("_order"))).alias("first_open"))  # one row
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("first_open", F.lit(0.0)))
     return run.crossJoin(first_open).select("source", "source_size", "damped", target.alias("target"))
 
 
 def _sums_before(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
-    """``df`` with sums of columns over all rows before a row, in an order without ties: by ranges, whose totals are one row each."""
+    """``df`` with sums of columns over all rows before a row, in an order without ties, and over all rows (``all_``): by ranges, whose totals are one row each."""
     dealt = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    every = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     starts = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums], *[F.sum(f"_{n}").over(every).alias(f"all_{n}") for n in sums])
     within = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return dealt.join(starts, "_range").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).drop("_range", *[f"_{n}" for n in sums])
 
@@ -133,12 +133,20 @@ def _part(rank: Column) -> Column:
     return F.floor((place - F.floor(place)) * CELLS)
 
 
-def _reached(rows: DataFrame, cell: str, base: Column) -> DataFrame:
-    """``(source, cell, before)``: the cell in which a source's missing words are reached, and the words before it."""
-    cells = rows.groupBy("source", "missing", base.alias("base"), cell).agg(F.sum("size").alias("words"))
-    running = F.col("base") + F.sum("words").over(W.partitionBy("source").orderBy(cell))
+def _ranked(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """The rows with words of the sources in ``open_``, whose columns they carry, with their rank and its cell and part."""
+    joined = rows.where(F.col("size") > 0).alias("d").join(open_.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")))
+    ranked = joined.select("o.*", "d.size", _key(F.col("d.doc_id")).alias("key"), _rank(F.col("d.size"), F.col("d.doc_id"), F.col("o.per_word")).alias("rank"))
+    return ranked.withColumns({"cell": _cell(F.col("rank")), "part": _part(F.col("rank"))})
+
+
+def _reached(ranked: DataFrame, held: list[str], cell: str) -> DataFrame:
+    """``(*held, last_..., before)``: the cell in which a source's missing words are reached, and the words before it. ``held``: columns that a source has one value of."""
+    cells = ranked.groupBy(*held, "before", cell).agg(F.sum("size").alias("words"))
+    running = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy(cell))
     last = cells.withColumn("up_to", running).where(F.col("up_to") >= F.col("missing"))
-    return cut(last.groupBy("source").agg(F.min(F.struct(cell, (F.col("up_to") - F.col("words")).alias("before"))).alias("at")).select("source", "at.*"), "mix-cells")
+    first = last.groupBy(*held).agg(F.min(F.struct(F.col(cell).alias(f"last_{cell}"), (F.col("up_to") - F.col("words")).alias("before"))).alias("at"))
+    return cut(first.select(*held, "at.*"), "mix-cells")
 
 
 def plan_mix(docs: DataFrame) -> Mix:
@@ -153,21 +161,19 @@ def plan_mix(docs: DataFrame) -> Mix:
     rows = cut(docs.select(F.col("doc_id"), "source", n_words("text").alias("size")), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * _damping(F.col("size"))).alias("damped"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = source_targets(cut(sums, "mix-sums")).withColumn("whole", whole).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = source_targets(sums).withColumn("whole", whole).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.withColumn("per_word", F.when(F.col("damped") > 0, F.col("missing") / F.col("damped")).otherwise(0.0)), "mix-targets")
-    joined = rows.where(F.col("size") > 0).alias("d").join(plan.where(F.col("missing") > 0).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    ranked = joined.select("p.source", "p.missing", F.col("d.size"), _key(F.col("d.doc_id")).alias("key"), _rank(F.col("d.size"), F.col("d.doc_id"), F.col("p.per_word")).alias("rank"))
-    ranked = ranked.withColumns({"cell": _cell(F.col("rank")), "part": _part(F.col("rank"))})
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    last = _reached(ranked, "cell", F.lit(0))
-    edge = ranked.alias("r").join(last.alias("l"), same("r", "l") & (F.col("r.cell") == F.col("l.cell"))).select("r.*", "l.before")
-    inner = _reached(edge, "part", F.col("before"))
-    edge = edge.drop("before").alias("r").join(inner.alias("l"), same("r", "l") & (F.col("r.part") == F.col("l.part"))).select("r.*", "l.before")
-    up_to = F.sum("size").over(W.partitionBy("source").orderBy("rank", "key").rowsBetween(W.unboundedPreceding, 0))
-    taken = edge.withColumn("up_to", F.col("before") + up_to).where(F.col("up_to") - F.col("size") / 2 <= F.col("missing"))
-    ends = taken.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("end")).select("source", F.col("end.rank").alias("last_rank"), F.col("end.key").alias("last_key"))
-    out = plan.alias("p").join(last.alias("l"), same("p", "l"), "left").join(inner.alias("i"), same("p", "i"), "left").join(ends.alias("e"), same("p", "e"), "left")
-    return Mix(cut(out.select("p.*", F.col("l.cell").alias("last_cell"), F.col("i.part").alias("last_part"), "e.last_rank", "e.last_key"), "mix-plan"), rows)
+    held = ["source", "missing", "per_word"]
+    open_ = plan.where(F.col("missing") > 0).select(*held, F.lit(0).cast("long").alias("before"))
+    last = _reached(_ranked(rows, open_), held, "cell")
+    edge = _ranked(rows, last).where(F.col("cell") == F.col("last_cell"))
+    inner = _reached(edge, [*held, "last_cell"], "part")
+    edge = _ranked(rows, inner).where((F.col("cell") == F.col("last_cell")) & (F.col("part") == F.col("last_part")))
+    up_to = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("rank", "key").rowsBetween(W.unboundedPreceding, 0))
+    taken = F.when(F.col("up_to") - F.col("size") / 2 <= F.col("missing"), F.struct("rank", "key"))
+    ends = edge.withColumn("up_to", up_to).groupBy("source", "last_cell", "last_part").agg(F.max(taken).alias("end"))
+    out = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
+    return Mix(cut(out.select("p.*", "e.last_cell", "e.last_part", F.col("e.end.rank").alias("last_rank"), F.col("e.end.key").alias("last_key")), "mix-plan"), rows)
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -242,6 +242,14 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_a_mix_takes_few_jobs(spark, docs):
+    """Every job leaves buffers of some MB on the driver, so their number is what a mix costs it: 51 before totals came from the ranges' sums and sources carried what is known of them."""
+    jobs = lambda: spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+    before = jobs()
+    mixing.mix(docs).write.format("noop").mode("overwrite").save()
+    assert jobs() - before <= 40
+
+
 def test_mixing_comes_near_its_targets(spark):
     got = registry.QUERIES["op8_pareto_mixing"](spark, "/root/testdata/sf0.01").toPandas()
     for _, g in got.groupby("source"):
