@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from phyllo.operators import images, refine, spatial, views
+from phyllo.operators import features, images, refine, spatial, views
 
 
 def _plan(df):
@@ -66,3 +66,29 @@ def test_crowded_cells_of_radius_joins_are_many_tasks(spark, monkeypatch):
     tasks = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 20 and max(tasks) < len(got) / 10
     assert {x["d"] for x in spatial.radius_join(df, df, 1.0, digits=1).collect()} == {round(x["d"], 1) for x in got}
+
+
+def test_close_superpoints_are_never_dealt_as_pairs(spark, monkeypatch):
+    """All pairs went through ``distinct`` and two joins before: the disk had them three times."""
+    for name, value in (("COPIES", 3), ("SPOTS", 4), ("BLOCK", 16), ("HANDFUL", 4), ("PAIRS", 1000)):
+        monkeypatch.setattr(spatial, name, value)
+    r = np.random.default_rng(8)
+    p = np.concatenate([r.random((150, 3)), np.repeat(r.random((5, 3)), 10, axis=0), r.random((20, 3)) * 9]).round(3)
+    low, views = r.choice([0.1, 0.9], len(p)), [{v: int(r.integers(2)) for v in range(3) if r.random() < 0.6} for _ in p]
+    stats = spark.createDataFrame([(i, float(low[i]), *map(float, x)) for i, x in enumerate(p)], "sp long, confidence double, x double, y double, z double")
+    seen = spark.createDataFrame([(i, v, k) for i, x in enumerate(views) for v, k in x.items()], "sp long, view_id int, label int")
+    out = features.superpoint_distances(stats, seen, within=0.4)
+    plan = _plan(out.where("distance > 99"))
+    assert plan.count("Exchange") <= 3 and "HashAggregate" not in plan  # blocks to their cells, and pairs of blocks to tasks
+
+    def apart(i, j):
+        both = [views[i][v] == views[j][v] for v in set(views[i]) & set(views[j])]
+        agree = sum(both) / len(both) if both else None
+        return (2.0 if min(low[i], low[j]) < 0.25 else 0.25) if agree is None else 0.02 * (1 - agree) if agree >= 0.65 else 50.0
+
+    near = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2)) < 0.4
+    want = {(i, j): apart(i, j) for i in range(len(p)) for j in range(i + 1, len(p)) if near[i, j]}
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(want) > 2000 and all(abs(d - want[a, b]) < 1e-12 for a, b, d in got)
+    listed = spark.createDataFrame(list(want), "a long, b long")
+    assert sorted(got) == sorted(map(tuple, features.superpoint_distances(stats, seen, pairs=listed).collect()))
