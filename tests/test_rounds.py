@@ -153,3 +153,25 @@ def test_radius_components_of_crowds_and_chains(spark, monkeypatch):
     want = _walk(len(p), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
     assert got == {("a", i): c for i, c in want.items()} | {("b", 0): 0}
     assert all(m.count() == 0 for m in met)  # no two points of a crowd meet one by one
+
+
+def test_superpoints_that_are_nowhere_far_merge_without_rounds(spark, monkeypatch):
+    """All pairs of a crowd went through the rounds before. One far pair in a component sends that one there, and only it."""
+    written = []
+    real = features.cut
+    monkeypatch.setattr(features, "cut", lambda df, name="cut": written.append((name, real(df, name))) or written[-1][1])
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.random(60) * 0.3, 1 + r.random(60) * 0.3, 2 + 0.03 * np.arange(12), [5.0]])  # the last are a chain and one alone
+    stats = spark.createDataFrame([(int(i), 0.5, float(v), 0.0, 0.0) for i, v in enumerate(x)] + [(900, 0.5, None, 0.0, 0.0)], "sp long, confidence double, x double, y double, z double")
+    views = spark.createDataFrame([(i, 1, 1 if i != 70 else 2) for i in range(len(x))], "sp long, view_id int, label int")
+    whole = features.superpoint_distances(stats, views.where("sp != 70"), within=0.04)
+    got = {a["sp"]: a["cluster"] for a in features.agglomerate(stats, whole).collect()}
+    assert [len({got[i] for i in s}) for s in (range(60), range(60, 120), range(120, 132), (0, 60, 120, 132, 900))] == [1, 1, 1, 5]
+    assert not [n for n, _ in written if n in ("linkage-round", "linkage-edges")]
+    far = features.superpoint_distances(stats, views, within=0.04)
+    got = {a["sp"]: a["cluster"] for a in features.agglomerate(stats, far).collect()}
+    edges = [df for n, df in written if n == "linkage-edges"][0]
+    assert {a for e in edges.collect() for a in (e["a"], e["b"])} <= set(range(60, 120)) and len({got[i] for i in range(60)}) == 1
+    known = {(d["a"], d["b"]): d["distance"] for d in far.collect()}
+    want = _linked(len(x), known, set(known), 0.6, 0.4)
+    assert len(set(got.values())) - 1 == len(set(want.values())) and all(got[i] == got[j] for i, j in want.items())
