@@ -92,3 +92,15 @@ def test_close_superpoints_are_never_dealt_as_pairs(spark, monkeypatch):
     assert len(got) == len(want) > 2000 and all(abs(d - want[a, b]) < 1e-12 for a, b, d in got)
     listed = spark.createDataFrame(list(want), "a long, b long")
     assert sorted(got) == sorted(map(tuple, features.superpoint_distances(stats, seen, pairs=listed).collect()))
+
+
+def test_copies_meet_in_few_blocks_and_by_handfuls(spark, monkeypatch):
+    """Blocks of 256 points before: twelve for 3,000 copies, so 144 pairs of them were dealt; 10 points of their own are one block, too."""
+    kept, real = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df, name="cut": kept.append(real(df, name)) or kept[-1])
+    points = spark.range(3010).select(F.lit("a").alias("uid"), F.col("id").alias("vid"), *[F.when(F.col("id") < 3000, 0.5).otherwise(20.0 + F.col("id") % 10 / 100).alias(c) for c in "xyz"])
+    assert spatial.radius_join(points, points, 1.0).count() == 3000 * 3000 + 100
+    blocks = kept[0]
+    assert blocks.count() <= 4 and blocks.where("_c0 >= 20").count() == 1
+    sizes = blocks.select("_c0", spatial._handfuls("_spots", "_n").alias("h")).selectExpr("_c0", "aggregate(h, 0, (t, s) -> t + size(s._vids)) AS n").toPandas()
+    assert sizes[sizes._c0 < 20].n.max() < 200 and sizes[sizes._c0 >= 20].n.max() <= spatial.HANDFUL and sizes.n.sum() == 3010
